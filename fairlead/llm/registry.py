@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decontamination, jaccard, quality, toxicity
+from . import bitplanes, decontamination, htmltext, jaccard, linededup, mixing, pseudonyms, quality, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pivot_topk": topk.op1_pivot_topk,
+        "op2_consensus_text": htmltext.op2_consensus_text,
         "op3_bitplane_tokens": bitplanes.op3_bitplane_tokens,
         "op4_quality_votes": quality.op4_quality_votes,
+        "op5_raked_mixture": mixing.op5_raked_mixture,
+        "op6_feistel_pseudonyms": pseudonyms.op6_feistel_pseudonyms,
         "op7_noisy_or_toxicity": toxicity.op7_noisy_or_toxicity,
+        "op8_line_chunks": linededup.op8_line_chunks,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_positional_decontamination": decontamination.op10_positional_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_pivot_topk": topk.OP1_SQL}

@@ -62,7 +62,7 @@ def joined_objects(spark: SparkSession, path: str, schema: T.StructType, first:
     Objects are parted at a closing brace followed by an opening one with only white space between; inside a JSON text
     such a sequence needs a comma or a quotation mark around it.
     """
-    text = spark.read.option("wholetext", "true").text(path).withColumn("file", F.col("_metadata.file_path"))
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     parts = F.split(F.trim(F.regexp_replace("value", r"\}\s*\{", "}\u001e{")), "\u001e")
     rows = text.select("file", F.posexplode(parts).alias("idx", "body")).where("trim(body) <> ''")
     rows = rows.where(F.col("idx") >= first)

@@ -40,14 +40,17 @@ def _previous(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         micros = int(last["event_time"].value // 1000)
         if at is None or micros >= at:
             state.update((float(last["lat"]), float(last["lon"]), micros))
-        state.setTimeoutDuration(STATE_DAYS * 24 * 3600 * 1000)
+        expires = max(micros, at or 0) // 1000 + STATE_DAYS * 24 * 3600 * 1000
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
     yield pd.concat([rows, before], axis=1)
 
 
 def previous_fix(positions: DataFrame) -> DataFrame:
-    """The stream's own LAG: mmsi, event_time, lat, lon, speed, nav_status and the previous fix, with distance and speed."""
-    base = positions.select(F.col("mmsi").cast("long").alias("mmsi"), "event_time", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("speed").cast("double").alias("speed"), F.col("nav_status").cast("int").alias("nav_status"))
-    out = base.groupBy("mmsi").applyInPandasWithState(_previous, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """The stream's own LAG: mmsi, event_time, lat, lon, speed, nav_status and the previous fix, with distance and speed.
+
+    A vessel is forgotten ``STATE_DAYS`` of event time after its last fix."""
+    base = positions.withWatermark("event_time", LATENESS).select(F.col("mmsi").cast("long").alias("mmsi"), "event_time", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("speed").cast("double").alias("speed"), F.col("nav_status").cast("int").alias("nav_status"))
+    out = base.groupBy("mmsi").applyInPandasWithState(_previous, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     hours = (F.unix_timestamp("event_time") - F.unix_timestamp("prev_event_time")) / 3600.0
     return out.withColumn("distance_nm", great_circle_nm("prev_lat", "prev_lon", "lat", "lon")).withColumn("delta_h", hours).withColumn("implied_kn", F.when(F.col("delta_h") > 0, F.col("distance_nm") / F.col("delta_h")))
 

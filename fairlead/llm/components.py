@@ -32,6 +32,7 @@ def smallest_reachable(links: DataFrame, a: str = "a", b: str = "b", rounds: int
         edges = durable(small, "links")
         after = _shape(edges)
         if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = after
     raise RuntimeError("components did not settle")

@@ -33,6 +33,20 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete tables of ``durable`` once everything made from them is stored itself, and let Spark drop old shuffles."""
+    import gc
+
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()  # unreferenced shuffles go only when the driver's garbage is collected
+
+
 def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -19,20 +19,24 @@ as they came.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, durable, mix64, slices, spans, table, whole_text
+from .common import SpanHash, durable, mix64, release, slices, spans, table, whole_text
 from .components import smallest_reachable
 
 #: Minimum hashes by which hubs are found.
 HUB_KEYS = 6
-#: A shingle in so many index prefixes goes last in the order; at most so many are kept. Either only moves work around:
-#: results are exact under any order.
-COMMON_FROM, COMMON_KEPT = 24, 1_000_000
+#: A shingle in so many documents goes last in the order, and one in a single document is no one's link. Both kinds are
+#: known by bitmaps of fixed size over leading hash bits; a bit that is set for another's sake only adds or moves work,
+#: since results are exact under any order.
+COMMON_FROM, COMMON_BITS = 12, 27
+#: Shingles that a task counts before it passes the counts on.
+COUNTED_AT_ONCE = 4_000_000
 #: Bits of the sieve that a scan for wanted documents uses before the exact join.
 SIEVE_BITS = 1 << 24
 #: A table of at most so many rows may be broadcast (16 bytes a row).
@@ -83,10 +87,23 @@ class JaccardJoin:
         self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
         self.words, self.num, self.den = words, num, den
 
-    # One pass: sizes, signatures, minimum hashes, and which prefix shingles a task met more than once.
+    # One pass: sizes, signatures, minimum hashes, and document counts of all shingles, by ranges of their hash.
     def _summaries(self) -> DataFrame:
-        words, num, den = self.words, self.num, self.den
+        words = self.words
         salts = mix64(np.arange(1, HUB_KEYS + 1, dtype=np.uint64))
+        self.ranges = ranges = max(64, 1 << (2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+        def counts(met):
+            # 32 leading bits do for an order; ascending values are kept as differences, by byte, to pack well.
+            value, n = np.unique((np.concatenate(met) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+            edge = np.searchsorted(value, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32 - ranges.bit_length() + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(edge)):
+                v, c = value[edge[k] : edge[k + 1]], n[edge[k] : edge[k + 1]]
+                step = np.diff(v, prepend=np.uint32(0)).astype("<u4")
+                rows.append((int(k), step.view(np.uint8).reshape(-1, 4).T.tobytes(), np.minimum(c, 255).astype(np.uint8).tobytes()))
+            out = pd.DataFrame(rows, columns=["range", "steps", "counts"])
+            return pd.DataFrame({"doc_id": pd.array([None] * len(out), dtype="Int64"), "n": -1, "signature": None, "keys": [[]] * len(out), "range": out["range"], "steps": out["steps"], "counts": out["counts"]})
 
         def run(batches):
             met = []
@@ -98,24 +115,46 @@ class JaccardJoin:
                     keys = [int(mix64(s ^ salt).min().view(np.int64)) for salt in salts] if n else []
                     rows.append((pdf["doc_id"].iloc[i], n, signature, keys))
                     if n:
-                        met.append(s[: prefix_length(n, num, den)])
+                        met.append(s)
                 if rows:
                     out = pd.DataFrame(rows, columns=["doc_id", "n", "signature", "keys"])
                     out["doc_id"] = out["doc_id"].astype("Int64")
-                    yield out.assign(shingles=None, counts=None)
-                if sum(map(len, met)) > 4_000_000:
-                    yield tally(met)
+                    yield out.assign(range=-1, steps=None, counts=None)
+                if sum(map(len, met)) > COUNTED_AT_ONCE:
+                    yield counts(met)
                     met = []
             if met:
-                yield tally(met)
-
-        def tally(met):
-            value, count = np.unique(np.concatenate(met), return_counts=True)
-            return pd.DataFrame({"doc_id": pd.array([None], dtype="Int64"), "n": [-1], "signature": [None], "keys": [[]], "shingles": [_signed(value[count > 1])], "counts": [count[count > 1].astype(np.int32)]})
+                yield counts(met)
 
-        schema = "doc_id long, n long, signature binary, keys array<long>, shingles array<long>, counts array<int>"
+        schema = "doc_id long, n long, signature binary, keys array<long>, range int, steps binary, counts binary"
         return durable(self.documents.mapInPandas(run, schema), "summaries")
 
+    def _common(self, seen: DataFrame):
+        """Bitmaps of shingles that are common, and that are in two documents or more, from the counts of all documents; each range of hashes is summed on its own."""
+        ranges, low = self.ranges, 32 - COMMON_BITS
+        size = (1 << COMMON_BITS) // 8 // ranges
+
+        def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+            values = [np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32) for x in pdf["steps"]]
+            value, back = np.unique(np.concatenate(values), return_inverse=True)
+            total = np.bincount(back, np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["counts"]]))
+            k = int(pdf["range"].iloc[0])
+            at = (value >> np.uint32(low)).astype(np.int64) - k * size * 8
+
+            def packed(chosen):
+                bits = np.zeros(size * 8, np.uint8)
+                bits[at[chosen]] = 1
+                return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+
+            return pd.DataFrame({"range": [k], "common": [packed(total >= COMMON_FROM)], "shared": [packed(total > 1)]})
+
+        counted = seen.where("n < 0").select("range", "steps", "counts")
+        common, shared = (np.zeros((1 << COMMON_BITS) // 8, np.uint8) for _ in range(2))
+        for k, a, b in counted.groupBy("range").applyInPandas(mark, "range int, common binary, shared binary").toLocalIterator():
+            common[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(a), np.uint8)
+            shared[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(b), np.uint8)
+        return self.spark.sparkContext.broadcast((common, shared))
+
     def _sieve(self, ids: DataFrame):
         """A bitmap of fixed size over hashed ids; what it lets through is joined exactly later."""
         slot = F.pmod(F.xxhash64("id"), F.lit(SIEVE_BITS))
@@ -145,8 +184,8 @@ class JaccardJoin:
     def _compared(self, pairs: DataFrame, label: str) -> DataFrame:
         """(a, b, common, size_a, size_b) of each pair, counted on whole sets."""
         pairs = durable(pairs.select("a", "b").distinct(), f"{label}-pairs")
-        ids = durable(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{label}-ids")
-        sets = durable(self._sets_of(ids).join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{label}-sets")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = durable(self._sets_of(ids), f"{label}-sets")
 
         def run(batches):
             for pdf in batches:
@@ -159,33 +198,33 @@ class JaccardJoin:
                 yield pd.DataFrame(rows, columns=["a", "b", "common", "size_a", "size_b"])
 
         met = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        return durable(met.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, common long, size_a long, size_b long"), f"{label}-compared")
+        compared = durable(met.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, common long, size_a long, size_b long"), f"{label}-compared")
+        release(sets)
+        return compared
 
     def _linked(self):
         return F.col("common") * self.den >= self.num * (F.col("size_a") + F.col("size_b") - F.col("common"))
 
-    def _prefixes(self, common: np.ndarray) -> DataFrame:
-        shared, words, num, den = self.spark.sparkContext.broadcast(common), self.words, self.num, self.den
+    def _prefixes(self, bitmaps) -> DataFrame:
+        words, num, den = self.words, self.num, self.den
 
         def run(batches):
-            last = shared.value
+            common, shared = bitmaps.value
             for pdf in batches:
                 rows = []
                 for i, s in shingle_sets(pdf["text"], words):
                     if len(s):
-                        k = prefix_length(len(s), num, den)
-                        if len(last):
-                            at = np.searchsorted(last, s)
-                            at[at == len(last)] = 0
-                            late = last[at] == s
-                            s, n = np.concatenate([s[~late][:k], s[late][:k]])[:k], len(s)
-                        else:
-                            s, n = s[:k], len(s)
-                        rows.append((int(pdf["doc_id"].iloc[i]), n, _signed(s)))
+                        n, k = len(s), prefix_length(len(s), num, den)
+                        at = (s >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
+                        byte, bit = at >> 3, (at & 7).astype(np.uint8)
+                        late = (common[byte] >> bit) & 1 == 1
+                        order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:k]
+                        met = np.flatnonzero((shared[byte[order]] >> bit[order]) & 1)
+                        rows.append((int(pdf["doc_id"].iloc[i]), n, met.astype(np.int32), _signed(s[order[met]])))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["id", "n", "prefix"])
+                    yield pd.DataFrame(rows, columns=["id", "n", "places", "prefix"])
 
-        return self.documents.where("doc_id is not null").mapInPandas(run, "id long, n long, prefix array<long>")
+        return self.documents.where("doc_id is not null").mapInPandas(run, "id long, n long, places array<int>, prefix array<long>")
 
     def _band(self, size):
         return F.floor(F.log(size.cast("double")) / F.lit(float(np.log(1.02)))).cast("int")
@@ -200,20 +239,20 @@ class JaccardJoin:
         classes = seen.where("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
         classes = durable(classes, "classes")
 
-        # Hubs: each set against the smallest with an equal minimum hash.
+        # Hubs: each set against the one that shares most minimum hashes with it, half of them at least; whatever this
+        # passes over is found by the index.
         keyed = classes.select("rep", "n", F.posexplode("keys").alias("which", "key"))
         heads = keyed.groupBy("which", "key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("rows")).where("rows > 1").select("which", "key", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"))
-        stars = keyed.join(heads, ["which", "key"]).where((F.col("rep") != F.col("head")) & (F.least("n", "head_n") * den >= F.greatest("n", "head_n") * num)).select(F.col("rep").alias("a"), F.col("head").alias("b"))
+        near = keyed.join(heads, ["which", "key"]).where((F.col("rep") != F.col("head")) & (F.least("n", "head_n") * den >= F.greatest("n", "head_n") * num)).groupBy("rep", "head").agg(F.count("*").alias("equal")).where(F.col("equal") * 2 >= HUB_KEYS)
+        stars = near.groupBy(F.col("rep").alias("a")).agg(F.max_by("head", F.struct("equal", -F.col("head"))).alias("b"))
         starred = self._compared(stars, "hub").where(self._linked())
         distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
         nearest = starred.groupBy(F.col("a").alias("rep")).agg(F.min(F.struct(F.col("b").alias("hub"), distance.alias("away"))).alias("best"))
         hubs = durable(classes.join(nearest, "rep", "left").select("rep", "n", F.coalesce("best.hub", "rep").alias("hub"), F.coalesce("best.away", F.lit(0.0)).alias("away")), "hubs")
 
         # The positional index, common shingles last.
-        often = seen.where("n < 0").select(F.explode(F.arrays_zip("shingles", "counts")).alias("x")).groupBy(F.col("x.shingles").alias("shingle")).agg(F.sum("x.counts").alias("rows")).where(F.col("rows") >= COMMON_FROM)
-        common = np.array([r[0] for r in often.orderBy(F.desc("rows"), "shingle").limit(COMMON_KEPT).select("shingle").collect()], np.int64).view(np.uint64)
-        prefixes = durable(self._prefixes(np.sort(common)).join(hubs.select("rep", "hub", "away"), F.col("id") == F.col("rep")).dropDuplicates(["id"]).select("id", "n", "hub", "away", "prefix"), "prefixes")
-        entries = prefixes.select("id", "n", "hub", "away", F.posexplode("prefix").alias("pos", "shingle"))
+        prefixes = durable(self._prefixes(self._common(seen)).join(hubs.select("rep", "hub", "away"), F.col("id") == F.col("rep")).dropDuplicates(["id"]).select("id", "n", "hub", "away", "places", "prefix"), "prefixes")
+        entries = prefixes.select("id", "n", "hub", "away", F.explode(F.arrays_zip("places", "prefix")).alias("e")).select("id", "n", "hub", "away", F.col("e.places").alias("pos"), F.col("e.prefix").alias("shingle"))
         # A list within one hub says nothing new.
         shared = durable(entries.groupBy("shingle").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).where("low < high").select("shingle"), "shared")
         side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
@@ -226,17 +265,20 @@ class JaccardJoin:
         seek = seek.select("shingle", F.col("hub").alias("a"), F.col("least").alias("least_a"), F.col("left").alias("left_a"), F.explode(F.sequence(self._band(F.col("lo")), self._band(F.col("hi")))).alias("band"))
         hit = blocks.select("shingle", "band", F.col("hub").alias("b"), F.col("least").alias("least_b"), F.col("left").alias("left_b"))
         met = seek.join(hit, ["shingle", "band"]).where((F.col("a") != F.col("b")) & (F.least("left_a", "left_b") * (num + den) >= num * (F.col("least_a") + F.col("least_b"))))
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        between = self._compared(pairs, "between")
+        met = durable(met.select("shingle", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+        between = self._compared(met.select("a", "b"), "between")
 
         # Members whose hubs leave them open: d(x, y) >= d(hubs) - d(x, hub) - d(y, hub).
         limit = 1 - num / den + 1e-9
-        big = hubs.where("rep != hub").select(F.col("hub")).distinct()
+        radius = hubs.groupBy("hub").agg(F.max("away").alias("radius"))
+        of = lambda side: radius.select(F.col("hub").alias(side), F.col("radius").alias(f"radius_{side}"))
         unsettled = between.where(~self._linked()).withColumn("gap", distance).where(F.col("gap") <= 3 * limit).select("a", "b", "gap")
-        unsettled = unsettled.join(big.select(F.col("hub").alias("a"), F.lit(1).alias("big_a")), "a", "left").join(big.select(F.col("hub").alias("b"), F.lit(1).alias("big_b")), "b", "left").where("big_a = 1 or big_b = 1").select("a", "b", "gap")
+        # A hub without members has no radius, so its partner's members must come that much nearer themselves.
+        unsettled = unsettled.join(of("a"), "a").join(of("b"), "b").where((F.greatest("radius_a", "radius_b") > 0) & (F.col("gap") - F.col("radius_a") - F.col("radius_b") <= limit))
         x = lists.select("shingle", F.col("hub").alias("a"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("away").alias("dx"))
         y = lists.select("shingle", F.col("hub").alias("b"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("away").alias("dy"))
-        left = unsettled.join(x, "a").where(F.col("gap") - F.col("dx") <= 2 * limit)
+        # Only lists that both hubs are on, and of each only the members near enough to the other hub.
+        left = met.join(unsettled, ["a", "b"]).join(x, ["shingle", "a"]).where(F.col("gap") - F.col("dx") <= limit + F.col("radius_b"))
         members = left.join(y, ["shingle", "b"]).where((F.col("gap") - F.col("dx") - F.col("dy") <= limit) & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num) & self._could_meet(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
         members = members.where((F.col("x") != F.col("a")) | (F.col("y") != F.col("b"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         members = durable(members, "members")

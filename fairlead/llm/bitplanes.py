@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -22,48 +23,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text, work_folder
+from .common import durable, table, whole_text, work_folder
 
 BLOCK_IDS = 65_536
 #: Entries that a Python worker keeps of the words it has encoded; later ones are encoded anew each time.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 BLOCKS = "part int, seq int, start long, n_ids int, mode string, plane_bytes array<int>, planes binary, first_doc long, doc_ids array<long>, doc_ids_in_block array<int>, continues boolean, ends boolean"
 
 # The split pattern of the byte-level vocabulary, with classes of the standard module for the letters and
 # digits that it shares with the original; texts with any other character take the tokenizer's own split.
 _WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_UNUSUAL = re.compile(r"[^\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞₠-₿]|<\|")
-_LOOSE_SPACE = re.compile(r"\s | \s|^ | $")
+_UNUSUAL = re.compile(r"[^\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞₠-₿]")
+_USUAL_LATIN = bytes(c for c in range(256) if not _UNUSUAL.match(chr(c)))
+_LOOSE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+
+
+def _unusual(text: str) -> bool:
+    try:
+        return bool(text.encode("latin-1").translate(None, _USUAL_LATIN))
+    except UnicodeEncodeError:
+        return bool(_UNUSUAL.search(text))
+
+
+def _loose_space(text: str) -> bool:
+    """A blank beside other white space, or at an end: words are not simply parted at blanks then."""
+    return text[:1] == " " or text[-1:] == " " or any(x in text for x in _LOOSE)
 
 
 class WordEncoder:
     """Encodes whole texts with a ``tokenizers`` file, each distinct word once as far as the cache reaches.
 
-    The vocabulary's own rule first splits a text into words and never merges across them, so the ids of a text are the
-    ids of its words in order.
+    The byte-level vocabulary's own rule first splits a text into words and never merges across them, so the ids of a
+    text are the ids that the library's model gives its words, in order. Texts with characters whose class the standard
+    module sees otherwise, and other kinds of tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.by_word = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
+        self.model = self.tokenizer.model
+        # The vocabulary writes a byte as the character of its number where that is visible, else as one from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.limit = cache_words
         self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
-    @staticmethod
-    def _packed(ids) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _look_up(self, wanted: set[str]) -> dict[str, bytes]:
-        new = [w for w in wanted if w not in self.words]
-        fresh = {}
-        if new:
-            fresh = {w: self._packed(e.ids) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            got = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
             if len(self.words) < self.limit:
-                self.words.update(fresh)
-        return fresh
+                self.words[word] = got
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -71,32 +87,24 @@ class WordEncoder:
         split: dict[int, list[str]] = {}
         whole = []
         for i, text in enumerate(texts):
-            if _UNUSUAL.search(text):
+            if not self.by_word or _unusual(text):
                 whole.append(i)
-            elif _LOOSE_SPACE.search(text):
+            elif _loose_space(text):
                 split[i] = _WORD.findall(text)
             else:  # every space here stands between two visible characters, and a word begins with it
-                head, *rest = text.split(" ")
-                split[i] = [head, *[" " + x for x in rest]]
+                split[i] = text.replace(" ", "\0 ").split("\0")
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-                out[i] = self._packed(e.ids)
-        units = self.units
-        missing = {w for ws in split.values() for w in ws if w not in units}
-        parts = {w: _WORD.findall(w) for w in missing}
-        fresh = self._look_up({p for ps in parts.values() for p in ps})
-        words = self.words
-        made = {w: b"".join([words.get(p) or fresh[p] for p in ps]) for w, ps in parts.items()}
-        if len(units) < self.limit:
-            units.update(made)
-            made = {} if len(units) < self.limit else made
-        if made:
-            for i, ws in split.items():
-                out[i] = b"".join([units.get(w) or made.get(w, b"") for w in ws])
-        else:
-            get = units.__getitem__
-            for i, ws in split.items():
-                out[i] = b"".join(map(get, ws))
+                out[i] = array("I", e.ids).tobytes()
+        units, word = self.units, self._word
+        missing = set().union(*split.values()).difference(units)
+        for w in missing:
+            units[w] = b"".join([word(p) for p in _WORD.findall(w)])
+        get = units.__getitem__
+        for i, ws in split.items():
+            out[i] = b"".join(map(get, ws))
+        for w in list(missing)[: max(0, len(units) - self.limit)]:
+            del units[w]
         return out
 
 
@@ -253,7 +261,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def joined_crc(pieces: pd.Series) -> pd.Series:
         return pd.Series([zlib.crc32(b"".join(x["piece"] for x in sorted(ps, key=lambda x: x["seq"]))) for ps in pieces])
 
-    found = blocks.mapInPandas(run, schema)
+    found = durable(blocks.mapInPandas(run, schema), "pieces")  # blocks are opened once
     whole = found.where("piece is null").select("part", "doc_id", "start", "n_tokens", "ids_crc32")
     # A document that lies across blocks: its pieces meet, and are no longer than its own text.
     cut = (

@@ -28,6 +28,8 @@ PIVOTS, PIVOT_SAMPLE, ANNULI = 48, 4096, 16
 BLOCK_VECTORS, BLOCK_QUERIES = 256, 128
 #: Annuli met by a query in the rounds before the last, which meets all that its bound leaves.
 ROUNDS = (1, 6, 32)
+#: Fills the id rows of vectors with fewer copies; no id of a row.
+NO_ID = -(1 << 63)
 #: Slack for rounding in distances, against scores that are exact integers.
 SLACK = 1e-6
 
@@ -131,7 +133,17 @@ class PivotIndex:
         self.directory = [tuple(r) for r in counts.orderBy("pivot", "annulus").collect()]  # at most pivots x annuli rows
         share = self.spark.createDataFrame([(p, a, -(-n // BLOCK_VECTORS)) for p, a, n, _, _ in self.directory], "pivot int, annulus int, parts long")
         dealt = ringed.join(F.broadcast(share), ["pivot", "annulus"]).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")))
-        self.blocks = durable(dealt.groupBy("pivot", "annulus", "part").agg(F.collect_list(F.struct("entry", "v", "away", "ids")).alias("members")), "annuli")
+        width = self.k + 1
+
+        def block(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids = np.full((len(pdf), width), NO_ID, np.int64)
+            for i, x in enumerate(pdf["ids"]):
+                ids[i, : len(x)] = x
+            one = pdf.iloc[:1][["pivot", "annulus", "part"]]
+            return one.assign(vectors=b"".join(pdf["v"]), ids=ids.tobytes())
+
+        # About BLOCK_VECTORS rows meet in a group, since an annulus is dealt over as many as it needs.
+        self.blocks = durable(dealt.select("pivot", "annulus", "part", "entry", "v", "ids").groupBy("pivot", "annulus", "part").applyInPandas(block, "pivot int, annulus int, part long, vectors binary, ids binary"), "annuli")
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(entry of the query vector, rank-ready hits): for each distinct query vector its k + 1 best (score, vec_id)."""
@@ -172,28 +184,30 @@ class PivotIndex:
                     yield pd.DataFrame(out, columns=["entry", "v", "pivot", "annulus", "bound"])
 
             visits = state.mapInPandas(plan, "entry long, v binary, pivot int, annulus int, bound double")
-            chunks = visits.withColumn("chunk", F.pmod(F.xxhash64("entry"), F.lit(groups))).groupBy("pivot", "annulus", "chunk").agg(F.collect_list(F.struct("entry", "v", "bound")).alias("askers"))
+            def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+                one = pdf.iloc[:1][["pivot", "annulus"]]
+                return one.assign(askers=pdf["entry"].to_numpy(np.int64).tobytes(), wanted=b"".join(pdf["v"]), bounds=pdf["bound"].fillna(-np.inf).to_numpy(np.float64).tobytes())
+
+            # About BLOCK_QUERIES queries meet in a group.
+            chunks = visits.withColumn("chunk", F.pmod(F.xxhash64("entry"), F.lit(groups))).groupBy("pivot", "annulus", "chunk").applyInPandas(chunk, "pivot int, annulus int, askers binary, wanted binary, bounds binary")
 
             def meet(batches):
                 for pdf in batches:
-                    for askers, members in zip(pdf["askers"], pdf["members"]):
-                        q = np.frombuffer(b"".join(a["v"] for a in askers), np.int64).reshape(len(askers), size)
-                        x = np.frombuffer(b"".join(m["v"] for m in members), np.int64).reshape(len(members), size)
-                        score = _products(q, x)
-                        floor = np.array([-np.inf if a["bound"] is None or a["bound"] != a["bound"] else a["bound"] for a in askers])
+                    for askers, wanted, bounds, vectors, ids in zip(pdf["askers"], pdf["wanted"], pdf["bounds"], pdf["vectors"], pdf["ids"]):
+                        score = _products(np.frombuffer(wanted, np.int64).reshape(-1, size), np.frombuffer(vectors, np.int64).reshape(-1, size))
+                        ids = np.frombuffer(ids, np.int64).reshape(-1, k + 1)
                         rows = []
-                        ids = [m["ids"] for m in members]
-                        for j, a in enumerate(askers):
-                            s = score[j]
-                            near = np.flatnonzero(s >= floor[j])
+                        for entry, floor, s in zip(np.frombuffer(askers, np.int64), np.frombuffer(bounds), score):
+                            near = np.flatnonzero(s >= floor)
                             if len(near) > k + 1:
                                 kth = np.partition(s[near], len(near) - k - 1)[len(near) - k - 1]
                                 near = near[s[near] >= kth]
-                            found = sorted((-int(s[i]), int(x)) for i in near for x in ids[i])[: k + 1]
-                            rows += [(a["entry"], -n, x) for n, x in found]
-                        yield pd.DataFrame(rows, columns=["entry", "score", "vec_id"])
+                            found = sorted((-int(s[i]), int(x)) for i in near for x in ids[i] if x != NO_ID)[: k + 1]
+                            rows += [(int(entry), -n, x) for n, x in found]
+                        if rows:
+                            yield pd.DataFrame(rows, columns=["entry", "score", "vec_id"])
 
-            hits = chunks.join(self.blocks, ["pivot", "annulus"]).select("askers", "members").mapInPandas(meet, "entry long, score long, vec_id long")
+            hits = chunks.join(self.blocks, ["pivot", "annulus"]).select("askers", "wanted", "bounds", "vectors", "ids").mapInPandas(meet, "entry long, score long, vec_id long")
             if best is not None:
                 hits = hits.unionByName(best.select("entry", F.explode("hits").alias("h")).select("entry", "h.score", "h.vec_id"))
             rank = F.row_number().over(W.partitionBy("entry").orderBy(F.desc("score"), "vec_id"))

@@ -1,10 +1,15 @@
 """Line dedup over content-defined chunks of lines.
 
-A hash rolls over the hashes of a few lines; where its remainder is zero a chunk ends, so the same run of lines is cut in
-the same places wherever it stands, whatever comes before it. A chunk may also end at a line count that keeps chunks
-bounded, counted from its own start. Chunks of two lines or more that occur more than once in the whole corpus keep
-their first occurrence (smallest doc_id, then place in the text); the others are removed once their bytes agree with the
-first's. A chunk of fewer than ``least_chars`` bytes stays.
+A chunk starts at every line with text and ends where it first holds two lines with text and ``least_chars`` bytes; the
+same is done backwards from every line, so the bounds follow from the lines alone, whatever comes before or after. Chunks
+overlap: together they cover every line of every run of several lines that occurs more than once, however short the run
+and wherever it stands. A prefix sum hashes them all at once. Repeated chunks of the whole corpus keep their first
+occurrence (smallest doc_id, then place in the text); the lines of the others are removed once their bytes agree with the
+first's. Within one document an occurrence that overlaps the first one stays, so a run of equal lines keeps one chunk.
+
+Lines without text count towards no chunk, but go with a chunk that they stand in. A line that is repeated on its own, and
+a run of fewer than ``least_chars`` bytes, stay. As chunks overlap, the first place of one may lose a line to another
+chunk that stood earlier still; the earliest place of each line is never removed.
 
 Null and empty texts have no chunks. Rows that repeat a doc_id and its text are one document and come out alike; rows
 without doc_id come last. A document may end up empty; its row stays.
@@ -17,68 +22,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, durable, mix64, slices, spans, table, whole_text
+from .common import SpanHash, durable, slices, table, whole_text
 
-#: Lines that the rolling hash sees, one boundary in so many lines, and the most lines of a chunk.
-ROLL, ONE_IN, MOST_LINES = 2, 4, 64
-LEAST_CHARS = 20
+LEAST_LINES, LEAST_CHARS = 2, 20
 #: Bits of the sieve for repeated chunks (exact joins follow it).
 SIEVE_BITS = 1 << 24
 
 
-def chunks_of(texts, roll: int = ROLL, one_in: int = ONE_IN, most: int = MOST_LINES):
-    """Yield (position, chunk hashes, line counts, byte bounds of the chunks, text's bytes) of each text."""
-    for first, last, encoded in slices(texts):
+def chunks_of(texts, least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS):
+    """Yield (position, chunk hashes, first and last line of each chunk, byte bounds of the lines, text's bytes) of each text."""
+    for first, _, encoded in slices(texts):
         buffer = np.frombuffer(b"".join(encoded), np.uint8)
         hashed = SpanHash(buffer)
         base = 0
         for i, raw in enumerate(encoded):
             n = len(raw)
-            if not n:
-                yield first + i, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), raw
-                continue
             part = buffer[base : base + n]
             ends = np.r_[np.flatnonzero(part == 10), n]  # a line ends before its break
             starts = np.r_[0, ends[:-1] + 1]
-            line = hashed.of(starts + base, ends + base)
-            rolled = np.zeros(len(line), np.uint64)
-            for k in range(roll):  # the last `roll` lines, the latest weighing least
-                rolled[k:] += mix64(line[: len(line) - k] + np.uint64(k + 1))
-            cut = mix64(rolled) % np.uint64(one_in) == 0
-            cut[-1] = True
-            stops = np.flatnonzero(cut)
-            bounds, at = [], 0
-            for s in stops:
-                while s + 1 - at > most:
-                    bounds.append((at, at + most))
-                    at += most
-                bounds.append((at, s + 1))
-                at = s + 1
-            lines = np.array(bounds)
-            span = np.stack([starts[lines[:, 0]], ends[lines[:, 1] - 1]], axis=1)
-            yield first + i, hashed.of(span[:, 0] + base, span[:, 1] + base, 3), lines[:, 1] - lines[:, 0], span, raw
+            full = np.flatnonzero(np.logical_or.reduceat(np.append(part > 32, False), starts))  # lines with text
+            a, b, place = starts[full], ends[full], np.arange(len(full))
+            stop = np.maximum(place + least_lines - 1, np.searchsorted(b, a + least_chars))
+            start = np.minimum(place - least_lines + 1, np.searchsorted(a, b - least_chars, "right") - 1)
+            ahead, behind = stop < len(full), start >= 0
+            size = len(full) + 1
+            head, tail = np.divmod(np.unique(np.r_[(place * size + stop)[ahead], (start * size + place)[behind]]), size)
+            yield first + i, hashed.of(a[head] + base, b[tail] + base, 3), np.c_[full[head], full[tail]], np.c_[starts, ends], raw
             base += n
 
 
-def dedup_lines(documents: DataFrame, least_lines: int = 2, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(documents: DataFrame, least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, text without repeated chunks, n_chunks, n_removed (chunks), chars_removed; a row for each document."""
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "at")
 
     def summaries(batches):
         for pdf in batches:
-            docs, keys, out = pdf["doc_id"].tolist(), pdf["key"].tolist(), []
-            for i, h, lines, span, _ in chunks_of(pdf["text"]):
-                for j in np.flatnonzero((lines >= least_lines) & (span[:, 1] - span[:, 0] >= least_chars)):
-                    out.append((docs[i], keys[i], int(j), int(h[j].view(np.int64))))
-            got = pd.DataFrame(out, columns=["doc_id", "key", "at", "chunk"])
-            got["doc_id"] = got["doc_id"].astype("Int64")
-            yield got
+            found = [h.view(np.int64) for _, h, *_ in chunks_of(pdf["text"], least_lines, least_chars)]
+            yield pd.DataFrame({"chunk": np.concatenate(found) if found else np.zeros(0, np.int64)})
 
-    met = source.select("doc_id", "key", "text").mapInPandas(summaries, "doc_id long, key long, at int, chunk long")
-    repeated = met.groupBy("chunk").agg(F.count("*").alias("rows"), F.min(order).alias("first")).where("rows > 1").select("chunk", F.col("first.doc_id").alias("first_doc"), F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at"))
-    repeated = durable(repeated, "repeated")
+    met = source.select("text").mapInPandas(summaries, "chunk long")
+    repeated = durable(met.groupBy("chunk").agg(F.count("*").alias("rows")).where("rows > 1").select("chunk"), "repeated")
 
     # A bitmap of fixed size tells a task which chunks may be repeated, so that only their bytes are sent on.
     slot = F.pmod(F.col("chunk"), F.lit(SIEVE_BITS))
@@ -92,33 +76,44 @@ def dedup_lines(documents: DataFrame, least_lines: int = 2, least_chars: int = L
         held = shared.value
         for pdf in batches:
             docs, keys, out = pdf["doc_id"].tolist(), pdf["key"].tolist(), []
-            for i, h, lines, span, raw in chunks_of(pdf["text"]):
+            for i, h, lines, span, raw in chunks_of(pdf["text"], least_lines, least_chars):
                 at = (h % np.uint64(SIEVE_BITS)).astype(np.int64)
                 maybe = (held[at // 64] >> (at % 64)) & 1 == 1
-                for j in np.flatnonzero(maybe & (lines >= least_lines) & (span[:, 1] - span[:, 0] >= least_chars)):
-                    out.append((keys[i], int(j), int(h[j].view(np.int64)), raw[span[j, 0] : span[j, 1]]))
-            yield pd.DataFrame(out, columns=["key", "at", "chunk", "body"])
+                for j in np.flatnonzero(maybe):
+                    a, b = lines[j]
+                    out.append((docs[i], keys[i], int(a), int(b), int(h[j].view(np.int64)), raw[span[a, 0] : span[b, 1]]))
+            got = pd.DataFrame(out, columns=["doc_id", "key", "start", "stop", "chunk", "body"])
+            got["doc_id"] = got["doc_id"].astype("Int64")
+            yield got
 
-    found = durable(source.select("doc_id", "key", "text").mapInPandas(bodies, "key long, at int, chunk long, body binary"), "bodies")
-    firsts = found.join(repeated.select("chunk", F.col("first_key").alias("key"), F.col("first_at").alias("at")), ["chunk", "key", "at"]).select("chunk", F.col("key").alias("first_key"), F.col("at").alias("first_at"), F.col("body").alias("first_body")).dropDuplicates(["chunk"])
-    again = found.join(firsts, "chunk").where((F.col("body") == F.col("first_body")) & ~((F.col("key") == F.col("first_key")) & (F.col("at") == F.col("first_at"))))
-    removed = durable(again.groupBy("key").agg(F.collect_set("at").alias("gone")), "removed")
+    found = durable(source.select("doc_id", "key", "text").mapInPandas(bodies, "doc_id long, key long, start int, stop int, chunk long, body binary"), "bodies")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "start", "stop", "body")
+    firsts = found.groupBy("chunk").agg(F.min(order).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    firsts = durable(firsts.select("chunk", F.col("first.key").alias("first_key"), F.col("first.stop").alias("first_stop"), F.col("first.body").alias("first_body")), "firsts")
+    again = found.join(firsts, "chunk").where((F.col("body") == F.col("first_body")) & ~((F.col("key") == F.col("first_key")) & (F.col("start") <= F.col("first_stop"))))
+    removed = durable(again.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("gone")), "removed")
 
     def rebuilt(batches):
         for pdf in batches:
             rows = []
             docs = pdf["doc_id"].tolist()
             gone_of = pdf["gone"].tolist()
-            for i, _, lines, span, raw in chunks_of(pdf["text"]):
-                gone = set() if gone_of[i] is None else set(map(int, gone_of[i]))
-                kept = raw if not gone else b"\n".join(raw[a:b] for j, (a, b) in enumerate(span) if j not in gone)
+            for i, h, _, span, raw in chunks_of(pdf["text"], least_lines, least_chars):
+                gone = [] if gone_of[i] is None else gone_of[i]
+                kept = raw
+                if len(gone):
+                    stays = np.ones(len(span), bool)
+                    for g in gone:
+                        stays[g["start"] : g["stop"] + 1] = False
+                    kept = b"\n".join(raw[a:b] for a, b in span[stays])
                 text = kept.decode("utf-8", "surrogatepass")
-                rows.append((docs[i], text, len(lines), len(gone), len(raw.decode("utf-8", "surrogatepass")) - len(text) if gone else 0))
+                rows.append((docs[i], text, len(h), len(gone), len(raw.decode("utf-8", "surrogatepass")) - len(text) if len(gone) else 0))
             got = pd.DataFrame(rows, columns=["doc_id", "text", "n_chunks", "n_removed", "chars_removed"])
             got["doc_id"] = got["doc_id"].astype("Int64")
             yield got
 
-    return source.join(removed, "key", "left").select("doc_id", "text", "gone").mapInPandas(rebuilt, "doc_id long, text string, n_chunks long, n_removed long, chars_removed long")
+    # Texts are dealt out at any size, so that the disk needed is in proportion to the input.
+    return source.join(removed.hint("merge"), "key", "left").select("doc_id", "text", "gone").mapInPandas(rebuilt, "doc_id long, text string, n_chunks long, n_removed long, chars_removed long")
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

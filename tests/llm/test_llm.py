@@ -199,6 +199,40 @@ def test_line_chunks(spark):
     assert linededup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def runs_left(texts, out, least=20):
+    """Lines of later occurrences of repeated runs of two lines that came out, by brute force over all pairs of lines."""
+    first, later = {}, defaultdict(set)
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        for j, pair in enumerate(zip(lines, lines[1:])):
+            seen = first.setdefault(pair, (i, j))
+            if seen != (i, j) and not (seen[0] == i and j <= seen[1] + 1) and len("\n".join(pair).encode()) >= least and all(x.strip() for x in pair):
+                later[i] |= {j, j + 1}
+    want = {i: "\n".join(x for j, x in enumerate((t or "").split("\n")) if j not in later[i]) for i, t in enumerate(texts)}
+    return {i for i in want if want[i] != out[i].text}
+
+
+def test_line_chunks_remove_every_run_of_lines(spark):
+    own = iter(f"own line {word(j)} stands here alone" for j in range(10_000))
+    notices = {n: [f"notice of {n} lines, its line {word(k)} of many words" for k in range(n)] for n in range(2, 9)}
+    alone = "a line that is repeated on its own"
+    texts = ["\n".join(x for n, run in notices.items() for x in [next(own), *run, next(own)])]
+    texts += ["\n".join([*[next(own) for _ in range(lead)], *run, *[next(own) for _ in range(tail)], alone, next(own)]) for run in notices.values() for lead, tail in ((0, 1), (1, 0), (3, 2), (5, 5))]
+    texts += ["\n".join([next(own), *["the same line again and again"] * 9, next(own)]), "\n".join([next(own), *["the same line again and again"] * 5])]
+    out = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert runs_left(texts, out) == set()
+    assert out[0].text == texts[0] and "notice" not in "".join(out[i].text for i in range(1, len(texts)))
+    assert sum(alone in out[i].text for i in range(len(texts))) == 28 and out[29].text.count("the same") == 2 and "the same" not in out[30].text
+
+
+def test_line_chunks_of_short_and_blank_lines(spark):
+    short = "\n".join(["ab cd", "ef", "a rather long line of the run", "x", "y"])
+    spaced = "first part of the notice\n\n \nsecond part of the notice"
+    texts = [f"one\n{short}\ntwo\n{spaced}", f"three\n{short}\nfour", f"five\n\n{spaced}\n\nsix", "seven\nq\nr", "eight\nq\nr", "nine\n\nfirst part of the notice\n\nten"]
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert out[0] == texts[0] and out[1] == "three\nfour" and out[2] == "five\n\n\nsix" and [out[i] for i in (3, 4, 5)] == texts[3:]
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------
 def components_brute(rows, n, num, den):
     sets = {}

@@ -2,7 +2,9 @@
 
 A value is found by its pattern, validated, and its number permuted by a keyed Feistel network within its own format:
 
-* card numbers (13 to 19 digits that pass the Luhn test): all digits but the last are permuted, the check digit follows;
+* card numbers (13 to 19 digits that pass the Luhn test): all digits but the last are permuted, the check digit follows.
+  In a run of numbers joined by single blanks or dashes, any neighbours that make up such a number are one, the longest
+  first and the earlier on ties, so a security code or an expiry beside a card does not hide it;
 * phone numbers with a country code: the digits after the code are permuted, punctuation stays;
 * social security numbers (ddd-dd-dddd, valid groups): permuted until valid again;
 * IPv4 addresses: all four octets as one 32-bit number;
@@ -32,7 +34,8 @@ _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\
 _DATE = r"(?<![\d./-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([/.])(?:0[1-9]|1[0-2])\1(?:19|20)\d\d)(?![\d/-])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"
-_CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])"
+# A whole run of numbers of 13 digits or more, up to where another kind of value starts; cards are sought in it.
+_CARD = rf"(?<![\d.+-])(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{_EMAIL}|{_IP}|{_SSN}|{_DATE.replace('([/.])', '(?:[/.])').replace(chr(92) + '1', '[/.]')})\d++)*+"
 PATTERN = f"{_EMAIL}|{_IP}|{_DATE}|{_SSN}|{_PHONE}|{_CARD}"
 _FIRST_DAY, _DAYS = "1900-01-01", 73049
 
@@ -101,6 +104,42 @@ def card_pseudonym(value: Column, key: str) -> Column:
     return F.when(valid, _refill(value, F.concat(fresh, check_digit(fresh)))).otherwise(value)
 
 
+def card_parts(run: Column) -> Column:
+    """The pieces of a run of numbers, in order, as array of (text, is it a card): every number that is 13 to 19 digits of
+    whole neighbours and passes the Luhn test, longest first, none overlapping another."""
+    # Each step binds its columns once, as variables of a lambda over one value.
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    text = lambda groups, i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
+
+    def of(groups, marks):
+        n = F.size(groups)
+        # Every group has a digit, so no number spans more than 19 groups.
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(n, i + 18)), lambda j: F.struct(text(groups, i, j).alias("digits"), i.alias("i"), j.alias("j")))))
+        sized = F.filter(spans, lambda x: F.length(x["digits"]).between(13, 19))
+        passed = F.filter(sized, lambda x: check_digit(F.substr(x["digits"], F.lit(1), F.length(x["digits"]) - 1)) == F.right(x["digits"], F.lit(1)))
+        ranked = F.array_sort(F.transform(passed, lambda x: F.struct((-F.length(x["digits"])).alias("size"), x["i"].alias("i"), x["j"].alias("j"))))
+        none = F.array().cast("array<struct<size:int,i:int,j:int>>")
+        chosen = F.aggregate(ranked, none, lambda s, x: F.when(F.exists(s, lambda y: (x["i"] <= y["j"]) & (y["i"] <= x["j"])), s).otherwise(F.concat(s, F.array(x))))
+        shown = lambda i, j: F.array_join(F.transform(F.sequence(i, j), lambda k: F.concat(groups[k - 1], F.when(k < j, marks[k - 1]).otherwise(""))), "")
+        pieces = lambda cards: F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), n),
+                lambda k: let(
+                    F.filter(cards, lambda c: (c["i"] <= k) & (k <= c["j"])),
+                    lambda here: F.when((F.size(here) > 0) & (F.get(here, F.lit(0))["j"] > k), F.array().cast("array<struct<text:string,card:boolean>>")).otherwise(
+                        F.array(
+                            F.struct(F.when(F.size(here) > 0, shown(F.get(here, F.lit(0))["i"], k)).otherwise(groups[k - 1]).alias("text"), (F.size(here) > 0).alias("card")),
+                            F.struct(F.coalesce(F.get(marks, k - 1), F.lit("")).alias("text"), F.lit(False).alias("card")),
+                        )
+                    ),
+                ),
+            )
+        )
+        return let(chosen, pieces)
+
+    return let(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), lambda groups: let(F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0)), lambda marks: of(groups, marks)))
+
+
 def phone_pseudonym(value: Column, key: str) -> Column:
     digits = _digits(value)
     # The country code ends at the first mark, or after one digit where there is none.
@@ -195,17 +234,20 @@ def pseudonymise(documents: DataFrame, key: str = KEY, text: str = "text") -> Da
     """``documents`` with ``text`` rewritten, and ``found``: array of (kind, value, pseudonym) in text order, changed values only."""
     source = F.col(text)
     values = F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0))
-    fresh = F.transform(F.col("__values"), lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value"), pseudonym(v, key).alias("pseudonym")))
+    one = lambda kind, value, new: F.struct(kind.alias("kind"), value.alias("value"), new.alias("pseudonym"))
+    in_run = lambda v: F.transform(card_parts(v), lambda x: one(F.lit("card"), x["text"], F.when(x["card"], card_pseudonym(x["text"], key)).otherwise(x["text"])))
+    # Each match is an array of values: a run of numbers may hold several cards, and numbers that are none.
+    fresh = F.transform(F.col("__values"), lambda v: F.when(kind_of(v) == "card", in_run(v)).otherwise(F.array(one(kind_of(v), v, pseudonym(v, key)))))
     # The pieces between values: one more than values, so that the two are zipped in order.
     pieces = F.split(source, PATTERN, -1)
-    rebuilt = F.concat_ws("", F.zip_with(F.col("__pieces"), F.col("__fresh"), lambda p, v: F.concat(p, F.coalesce(v["pseudonym"], F.lit("")))))
+    rebuilt = F.concat_ws("", F.zip_with(F.col("__pieces"), F.col("__fresh"), lambda p, v: F.concat(p, F.coalesce(F.array_join(v["pseudonym"], ""), F.lit("")))))
     hit = source.rlike(r"[0-9@]")
     return (
         documents.withColumn("__values", F.when(hit, values).otherwise(F.array().cast("array<string>")))
         .withColumn("__fresh", fresh)
         .withColumn("__pieces", F.when(F.size("__values") > 0, pieces))
         .withColumn(text, F.when(F.size("__values") > 0, rebuilt).otherwise(source))
-        .withColumn("found", F.when(F.col("__values").isNull(), F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")).otherwise(F.filter("__fresh", lambda v: v["value"] != v["pseudonym"])))
+        .withColumn("found", F.when(F.col("__values").isNull(), F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")).otherwise(F.filter(F.flatten("__fresh"), lambda v: v["value"] != v["pseudonym"])))
         .drop("__values", "__fresh", "__pieces")
     )
 

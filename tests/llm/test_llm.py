@@ -181,6 +181,27 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert got[4].found[0]["pseudonym"] == f["227.5.221.1"] != "227.5.221.1"
 
 
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [
+        f"pay {card} now", f"{card} 123", "4111111111111111 12/27", "2 4111111111111111", f"12345 67890 {card} 12 27", f"{card} 5500-0000-0000-0004", f"{card} 123-45-6789", f"{card} 2024-02-29", f"{card} 10.1.2.3", f"{card} 12@mail.example.com", f"7 8 {card} 29/02/2024 9",
+        "bad 4111111111111112 4111111111111113", "order 1234567 1234567 12", f"{card}- thanks", "1 2 3 4 5 6 7 8 9 10 11 12 13 " * 40,
+    ]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, texts)).collect()}
+    digits = lambda x: re.sub(r"\D", "", x)
+    new = got[0].found[0]["pseudonym"]
+    assert new != card and luhn(new)
+    for i in range(14):
+        assert i == 8 or re.sub(r"[0-9a-z]", "9", got[i].text) == re.sub(r"[0-9a-z]", "9", texts[i])
+        if card in texts[i] or digits(card) in texts[i]:
+            assert digits(card) not in digits(got[i].text) and digits(new) in digits(got[i].text), texts[i]
+            assert digits(new) in [digits(v["pseudonym"]) for v in got[i].found if v["kind"] == "card"]
+    kinds = lambda i: [v["kind"] for v in got[i].found]
+    assert got[1].text == f"{new} 123" and got[2].text.endswith(" 12/27") and got[3].text.startswith("2 ") and got[4].text.startswith("12345 67890 ") and got[4].text.endswith(" 12 27")
+    assert kinds(5) == ["card", "card"] and kinds(6) == ["card", "ssn"] and kinds(7) == kinds(10) == ["card", "date"] and kinds(8) == ["card", "ip"] and kinds(9) == ["card", "email"]
+    assert got[11].text == texts[11] and kinds(11) == []
+
+
 def test_feistel_is_a_permutation(spark):
     d = spark.range(1000).select(pseudonyms.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p"), pseudonyms.date_pseudonym(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), "k").alias("d"))
     assert d.select("p").distinct().count() == 1000 and d.select("d").distinct().count() == 1000

@@ -201,7 +201,7 @@ SELECT o_orderkey, saving_pct, CASE WHEN k % 10 <> 0 THEN CAST(greatest(0, k % 5
 
 # --- routes ------------------------------------------------------------------------------------------------------------
 def _points(spark, sf_dir):
-    """Each vessel's first fixes as one route."""
+    """Each vessel's fixes as one route."""
     from pyspark.sql import Window as W
 
     f = fixes(spark, sf_dir)
@@ -244,7 +244,7 @@ SELECT f.event_id, m.near_id FROM fixes f LEFT JOIN m ON f.event_id = m.event_id
 
 
 def route_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(spark, sf_dir).where("idx <= 20").withColumn("eta", F.col("event_time"))
+    p = _points(spark, sf_dir).withColumn("eta", F.col("event_time"))
     e = fixes(spark, sf_dir)
     cell = lambda c: F.floor(F.col(c) / 2) * 2
     forecast = e.groupBy(cell("lat").alias("cell_lat"), cell("lon").alias("cell_lon"), F.date_trunc("hour", "event_time").alias("valid_at")).agg(F.max("speed").alias("wave_height"))

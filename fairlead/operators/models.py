@@ -16,6 +16,8 @@ from fairlead.functions.codes import NO_COURSE, NO_HEADING
 
 MAX_MISSING_PCT, MAX_CORRELATION, FOLDS, MAX_DROP = 50.0, 0.90, 10, 0.05
 STABLE_FOLDS, LEAST_FEATURES = 6, 3
+#: Buckets of hashes of groups, for dealing them into folds.
+BUCKETS = 256
 
 
 def clear_sentinels(df: DataFrame, course: str = "cog", heading: str = "heading") -> DataFrame:
@@ -80,11 +82,16 @@ def feature_screen(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def with_folds(df: DataFrame, group: str, label: str, folds: int = FOLDS) -> DataFrame:
-    """``fold``: all rows of a group in one fold; groups are dealt by their majority label and, within it, by hash."""
+    """``fold``: all rows of a group in one fold; groups are dealt in turn within their majority label, in
+    the order of their hashes, so folds differ by one group at most, over all and in each label."""
     groups = df.groupBy(group).agg(F.avg(F.col(label).cast("double")).alias("__share"), F.count("*").alias("__n"))
     kind = (F.col("__share") >= 0.5).cast("int")
-    # Dealing needs no order over all groups: the hash is even.
-    dealt = groups.select(F.col(group), F.pmod(F.xxhash64(F.col(group), kind), F.lit(folds)).cast("int").alias("fold"))
+    # A rank needs no order over all groups: buckets of hashes are counted, and groups ranked inside their bucket.
+    held = groups.select(F.col(group), F.coalesce(kind, F.lit(0)).alias("__kind"), F.xxhash64(group).alias("__hash")).withColumn("__bucket", F.pmod("__hash", F.lit(BUCKETS)))
+    before = W.orderBy("__kind", "__bucket").rowsBetween(W.unboundedPreceding, -1)  # one row for each bucket
+    offsets = held.groupBy("__kind", "__bucket").agg(F.count("*").alias("__n")).select("__kind", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(W.partitionBy("__kind", "__bucket").orderBy("__hash", group)) - 1
+    dealt = held.withColumn("__rank", rank).join(F.broadcast(offsets), ["__kind", "__bucket"]).select(group, F.pmod(F.col("__before") + F.col("__rank"), F.lit(folds)).cast("int").alias("fold"))
     return df.join(dealt, group)
 
 
@@ -126,23 +133,28 @@ def confusion_metrics(predicted: DataFrame, keys: list[str], label: str = "label
 
 
 def grouped_cv(df: DataFrame, features: list[str], label: str, group: str, folds: int = FOLDS, models: dict | None = None) -> DataFrame:
-    """Metrics of each model and fold; all fitting and scoring is MLlib's. The number of models and folds is fixed."""
+    """Metrics of each model and fold; all fitting and scoring is MLlib's. The number of models and folds is fixed.
+    A fold that cannot be scored is a row without metrics whose ``reason`` says why."""
     parts = balanced(with_folds(df, group, label, folds), label).persist()
     try:
         if leakage(parts, group):
             raise ValueError("a group is in two folds")
-        out = None
+        schema = confusion_metrics(parts.select(F.lit("").alias("model"), F.lit(0).alias("fold"), "label", F.lit(0.0).alias("prediction")), ["model", "fold"]).schema.add("auc", "double").add("reason", "string")
+        for f in schema:
+            f.nullable = True
+        rows = []
         for name, estimator in (models or candidates()).items():
             for k in range(folds):
                 train, test = parts.where(F.col("fold") != k), parts.where(F.col("fold") == k)
-                if test.isEmpty() or train.select("label").distinct().count() < 2:
+                reason = "no test rows" if test.isEmpty() else "training rows of one class" if train.select("label").distinct().count() < 2 else None
+                if reason:
+                    rows.append((name, k, *[None] * (len(schema) - 3), reason))
                     continue
                 scored = pipeline(features, estimator).fit(train).transform(test)
                 auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored)
-                one = confusion_metrics(scored.withColumn("model", F.lit(name)).withColumn("fold", F.lit(k)), ["model", "fold"]).withColumn("auc", F.lit(auc))
-                rows = df.sparkSession.createDataFrame(one.collect(), one.schema)  # one row
-                out = rows if out is None else out.unionByName(rows)
-        return out
+                one = confusion_metrics(scored.withColumn("model", F.lit(name)).withColumn("fold", F.lit(k)), ["model", "fold"])
+                rows += [(*r, auc, None) for r in one.collect()]  # one row
+        return df.sparkSession.createDataFrame(rows, schema)
     finally:
         parts.unpersist()
 

@@ -387,8 +387,7 @@ def feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    only = {"logistic_regression": models.candidates()["logistic_regression"]}
-    return models.grouped_cv(_samples(spark, sf_dir), ["chars", "words", "signs"], "quality", "source", folds=3, models=only)
+    return models.grouped_cv(_samples(spark, sf_dir), ["chars", "words", "signs"], "quality", "source")
 
 
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+from fairlead.operators import models
 from fairlead.plans import analytics, proxies
 
 
@@ -28,3 +29,24 @@ def test_route_weather_asks_along_the_whole_route(spark, tmp_path):
     assert min(map(len, tracks.values())) > 20
     got = {(r.route_id, r.idx): (r.source_place, r.wave_height) for r in analytics.route_weather(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_folds_are_balanced_by_label_and_empty_ones_are_reported(spark):
+    rows = [(f"g{g}", int(g < 12), float(g * 7 % 11 + r)) for g in range(20) for r in range(4)]
+    d = spark.createDataFrame(rows, "source string, quality int, x double")
+    dealt = models.with_folds(d, "source", "quality").select("source", "fold", "quality").distinct().collect()
+    sizes = lambda keep: [sum(r.fold == k and keep(r) for r in dealt) for k in range(models.FOLDS)]
+    assert len(dealt) == 20 and sizes(lambda r: True) == [2] * 10
+    assert set(sizes(lambda r: r.quality == 1)) == {1, 2} and set(sizes(lambda r: r.quality == 0)) == {0, 1}
+    only = {"logistic_regression": models.candidates()["logistic_regression"]}
+    few = d.where("source in ('g1', 'g2', 'g15')")
+    got = {r.fold: r for r in models.grouped_cv(few, ["x"], "quality", "source", folds=4, models=only).collect()}
+    assert sorted(got) == [0, 1, 2, 3] and sum(r.reason == "no test rows" and r.auc is None for r in got.values()) == 1
+    assert sum(r.reason == "training rows of one class" for r in got.values()) == 1 and sum(r.reason is None and r.auc is not None for r in got.values()) == 2
+
+
+def test_grouped_cv_is_registered_over_the_whole_comparison(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(models, "grouped_cv", lambda *a, folds=models.FOLDS, models=None: asked.update(folds=folds, models=models))
+    analytics.grouped_cv(spark, "/root/testdata/sf0.001")
+    assert asked == {"folds": 10, "models": None}

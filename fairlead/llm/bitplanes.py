@@ -6,8 +6,10 @@ planes); each plane is compressed with zstandard on its own. One row of the file
 entry that says where it starts and which documents have ids in it. Rows are Parquet rows written by Spark, so a task
 that runs again replaces its own output, and any store that Spark writes to will do.
 
-Null texts are empty (only the end id); null doc_ids sort first; equal doc_ids are ordered by text; no documents give no
-blocks.
+Null texts are empty (only the end id); null doc_ids sort first; equal doc_ids are ordered by a hash of their text, then
+by text, so a doc_id with very many rows is dealt over several ranges too; rows that repeat both are encoded each. No
+documents give no blocks. A text that holds an added token's string, such as an end mark, gets that token's id, as the
+library gives it. Columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -23,12 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, whole_text, work_folder
+from .common import as_batch, durable, table, whole_text, work_folder
 
 BLOCK_IDS = 65_536
 #: Entries that a Python worker keeps of the words it has encoded; later ones are encoded anew each time.
-CACHE_WORDS = 400_000
-BLOCKS = "part int, seq int, start long, n_ids int, mode string, plane_bytes array<int>, planes binary, first_doc long, doc_ids array<long>, doc_ids_in_block array<int>, continues boolean, ends boolean"
+CACHE_WORDS = 700_000
+BLOCKS = (
+    "part int, seq int, start long, n_ids int, mode string, plane_bytes array<int>, planes binary, "
+    "first_doc long, doc_ids array<long>, doc_ids_in_block array<int>, continues boolean, ends boolean"
+)
 
 # The split pattern of the byte-level vocabulary, with classes of the standard module for the letters and
 # digits that it shares with the original; texts with any other character take the tokenizer's own split.
@@ -55,56 +60,65 @@ class WordEncoder:
 
     The byte-level vocabulary's own rule first splits a text into words and never merges across them, so the ids of a
     text are the ids that the library's model gives its words, in order. Texts with characters whose class the standard
-    module sees otherwise, and other kinds of tokenizer, are encoded whole.
+    module sees otherwise, texts that hold an added token's string, and other kinds of tokenizer are encoded whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.by_word = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         # The vocabulary writes a byte as the character of its number where that is visible, else as one from 256 on.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.letters = [chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)]
         self.limit = cache_words
         self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            got = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            if len(self.words) < self.limit:
-                self.words[word] = got
+        written = "".join(map(self.letters.__getitem__, word.encode()))
+        got = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        if len(self.words) < self.limit:
+            self.words[word] = got
         return got
 
+    def _unit(self, unit: str) -> bytes:
+        known, ids = self.words.get, b""
+        for word in _WORD.findall(unit):
+            ids += known(word) or self._word(word)
+        return ids
+
+    def _by_word(self, text: str) -> bool:
+        return self.by_word and not _unusual(text) and not any(x in text for x in self.added)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        whole = []
+        whole, units = [], self.units
         for i, text in enumerate(texts):
-            if not self.by_word or _unusual(text):
+            if not self._by_word(text):
                 whole.append(i)
-            elif _loose_space(text):
-                split[i] = _WORD.findall(text)
+                continue
+            if _loose_space(text):
+                parts = _WORD.findall(text)
             else:  # every space here stands between two visible characters, and a word begins with it
-                split[i] = text.replace(" ", "\0 ").split("\0")
+                parts = text.replace(" ", "\0 ").split("\0")
+            ids = list(map(units.get, parts))
+            if None in ids:
+                fresh: dict[str, bytes] = {}
+                for at, known in enumerate(ids):
+                    if known is None:
+                        part = parts[at]
+                        ids[at] = fresh.get(part) or fresh.setdefault(part, self._unit(part))
+                if len(units) < self.limit:
+                    units.update(fresh)
+            out[i] = b"".join(ids)
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
                 out[i] = array("I", e.ids).tobytes()
-        units, word = self.units, self._word
-        missing = set().union(*split.values()).difference(units)
-        for w in missing:
-            units[w] = b"".join([word(p) for p in _WORD.findall(w)])
-        get = units.__getitem__
-        for i, ws in split.items():
-            out[i] = b"".join(map(get, ws))
-        for w in list(missing)[: max(0, len(units) - self.limit)]:
-            del units[w]
         return out
 
 
@@ -155,8 +169,10 @@ def encode_blocks(documents: DataFrame, tokenizer_path: str, end_id: int = 2, bl
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange(parts, "doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie", "text")
+        .select("doc_id", "text")
     )
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -187,10 +203,8 @@ def encode_blocks(documents: DataFrame, tokenizer_path: str, end_id: int = 2, bl
             seq, start, done, cut = seq + 1, start + n, done + gone, not whole
             return row
 
-        columns = [f.split()[0] for f in BLOCKS.split(", ")]
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            keys = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
+        for batch in batches:
+            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for at in range(0, len(texts), 200):
                 rows = []
                 for key, raw in zip(keys[at : at + 200], enc.encode(texts[at : at + 200])):
@@ -200,11 +214,11 @@ def encode_blocks(documents: DataFrame, tokenizer_path: str, end_id: int = 2, bl
                     while len(held) >= 4 * block_ids:
                         rows.append(block(block_ids, False))
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield as_batch(rows, BLOCKS)
         if held:
-            yield pd.DataFrame([block(len(held) // 4, True)], columns=columns)
+            yield as_batch([block(len(held) // 4, True)], BLOCKS)
 
-    return ordered.mapInPandas(run, BLOCKS)
+    return ordered.mapInArrow(run, BLOCKS)
 
 
 def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, **options) -> None:
@@ -219,8 +233,10 @@ def chunk_index(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(BLOCKS).parquet(path)
     # One row for each part: as many as the shuffle has partitions, whatever the data's size.
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    before = sizes.select("part", F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return blocks.select("part", "seq", "start", "n_ids", "plane_bytes", "doc_ids").join(F.broadcast(before), "part").withColumn("start", F.col("start") + F.col("before")).drop("before")
+    earlier = F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    before = sizes.select("part", F.coalesce(earlier, F.lit(0)).alias("before"))
+    index = blocks.select("part", "seq", "start", "n_ids", "plane_bytes", "doc_ids").join(F.broadcast(before), "part")
+    return index.withColumn("start", F.col("start") + F.col("before")).drop("before")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -242,37 +258,42 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     schema = "part int, doc_no long, seq int, doc_id long, start long, n_tokens long, ids_crc32 long, piece binary"
 
     def run(batches):
-        columns = [f.split()[0] for f in schema.split(", ")]
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                raw = restore_ids(r.n_ids, r.mode, r.plane_bytes, r.planes).astype("<u4").tobytes()
-                at, rows, k = 0, [], len(r.doc_ids)
-                for j, (key, n) in enumerate(zip(r.doc_ids, r.doc_ids_in_block)):
+        for batch in batches:
+            for r in batch.to_pylist():
+                raw = restore_ids(r["n_ids"], r["mode"], r["plane_bytes"], r["planes"]).astype("<u4").tobytes()
+                at, rows, last = 0, [], len(r["doc_ids"]) - 1
+                for j, (key, n) in enumerate(zip(r["doc_ids"], r["doc_ids_in_block"])):
                     body = raw[4 * at : 4 * (at + n)]
-                    part_only = (j == 0 and r.continues) or (j == k - 1 and not r.ends)
-                    rows.append((r.part, r.first_doc + j, r.seq, None if pd.isna(key) else int(key), r.start + at, n, None if part_only else zlib.crc32(body), body if part_only else None))
+                    part_only = (j == 0 and r["continues"]) or (j == last and not r["ends"])
+                    crc, piece = (None, body) if part_only else (zlib.crc32(body), None)
+                    rows.append((r["part"], r["first_doc"] + j, r["seq"], key, r["start"] + at, n, crc, piece))
                     at += n
-                out = pd.DataFrame(rows, columns=columns)
-                for c in ("doc_id", "ids_crc32"):
-                    out[c] = out[c].astype("Int64")
-                yield out
+                yield as_batch(rows, schema)
 
     @F.pandas_udf("long")
     def joined_crc(pieces: pd.Series) -> pd.Series:
         return pd.Series([zlib.crc32(b"".join(x["piece"] for x in sorted(ps, key=lambda x: x["seq"]))) for ps in pieces])
 
-    found = durable(blocks.mapInPandas(run, schema), "pieces")  # blocks are opened once
+    found = durable(blocks.mapInArrow(run, schema), "pieces")  # blocks are opened once
     whole = found.where("piece is null").select("part", "doc_id", "start", "n_tokens", "ids_crc32")
     # A document that lies across blocks: its pieces meet, and are no longer than its own text.
     cut = (
         found.where("piece is not null")
         .groupBy("part", "doc_no")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.collect_list(F.struct("seq", "piece")).alias("pieces"))
+        .agg(
+            F.min("doc_id").alias("doc_id"),
+            F.min("start").alias("start"),
+            F.sum("n_tokens").alias("n_tokens"),
+            F.collect_list(F.struct("seq", "piece")).alias("pieces"),
+        )
         .select("part", "doc_id", "start", "n_tokens", joined_crc("pieces").alias("ids_crc32"))
     )
+    # One row for each part: as many as the shuffle has partitions, whatever the data's size.
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    before = sizes.select("part", F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return whole.unionByName(cut).join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    earlier = F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    before = sizes.select("part", F.coalesce(earlier, F.lit(0)).alias("before"))
+    rows = whole.unionByName(cut).join(F.broadcast(before), "part")
+    return rows.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(documents: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

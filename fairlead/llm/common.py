@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder all executors share: ``spark.checkpoint.dir``, which a cluster must name. A local session without it
+    uses its warehouse, since its driver and executors are one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local["):
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/fairlead"
 
 
@@ -47,6 +55,49 @@ def release(*frames: DataFrame) -> None:
         frames[0].sparkSession._jvm.System.gc()  # unreferenced shuffles go only when the driver's garbage is collected
 
 
+# Arrow types of the column types that operators return.
+_ARROW = {
+    "int": pa.int32(),
+    "long": pa.int64(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+    "boolean": pa.bool_(),
+    "array<int>": pa.list_(pa.int32()),
+    "array<long>": pa.list_(pa.int64()),
+}
+
+
+def as_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """An Arrow batch of ``rows`` under a schema like ``"doc_id long, text string"``; integers stay exact beside nulls."""
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
+
+
+def with_columns(df: DataFrame, using: list, schema: str, work: Callable) -> DataFrame:
+    """``df`` with the columns of ``schema`` after its own. ``work`` gets the values of the ``using`` columns of a batch,
+    a list each, and returns a list of values for each new column. Columns of ``df`` pass through as Arrow has them, so
+    ids and other integers stay exact beside nulls; ``using`` may hold any expressions, whatever ``df``'s names are."""
+    fields = [f.split() for f in schema.split(", ")]
+    plain, given = df.columns, [f"__given_{i}" for i in range(len(using))]
+    while set(given) & set(plain):
+        given = [f"_{g}" for g in given]
+    full = df.schema
+    for name, kind in fields:
+        full = full.add(name, kind)
+    width = len(plain)
+
+    def run(batches):
+        for batch in batches:
+            made = work(*[batch.column(width + i).to_pylist() for i in range(len(given))])
+            new = [pa.array(values, _ARROW[kind]) for values, (_, kind) in zip(made, fields)]
+            names = [*batch.schema.names[:width], *[name for name, _ in fields]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=names)
+
+    return df.select("*", *[c.alias(g) for c, g in zip(using, given)]).mapInArrow(run, full)
+
+
 def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 #: At most this many bytes of text are worked on at once in a Python task.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,7 @@ _ARROW = {
     "boolean": pa.bool_(),
     "array<int>": pa.list_(pa.int32()),
     "array<long>": pa.list_(pa.int64()),
+    "array<struct<first:int,past:int,probability:double>>": pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32()), ("probability", pa.float64())])),
 }
 
 
@@ -75,15 +76,15 @@ def as_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
 
 
-def with_columns(df: DataFrame, using: list, schema: str, work: Callable) -> DataFrame:
-    """``df`` with the columns of ``schema`` after its own. ``work`` gets the values of the ``using`` columns of a batch,
+def with_columns(df: DataFrame, using: list, schema: str, work: Callable, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with the columns of ``schema`` after its own. ``work`` gets the values of the ``using`` columns of a batch,
     a list each, and returns a list of values for each new column. Columns of ``df`` pass through as Arrow has them, so
     ids and other integers stay exact beside nulls; ``using`` may hold any expressions, whatever ``df``'s names are."""
     fields = [f.split() for f in schema.split(", ")]
-    plain, given = df.columns, [f"__given_{i}" for i in range(len(using))]
+    plain, given = keep or df.columns, [f"__given_{i}" for i in range(len(using))]
     while set(given) & set(plain):
         given = [f"_{g}" for g in given]
-    full = df.schema
+    full = df.select(*plain).schema
     for name, kind in fields:
         full = full.add(name, kind)
     width = len(plain)
@@ -95,7 +96,7 @@ def with_columns(df: DataFrame, using: list, schema: str, work: Callable) -> Dat
             names = [*batch.schema.names[:width], *[name for name, _ in fields]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=names)
 
-    return df.select("*", *[c.alias(g) for c, g in zip(using, given)]).mapInArrow(run, full)
+    return df.select(*plain, *[c.alias(g) for c, g in zip(using, given)]).mapInArrow(run, full)
 
 
 def whole_text(column: str = "text"):
@@ -116,16 +117,36 @@ def slices(texts, limit: int = SLICE_BYTES):
         yield start, start + len(held), held
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES):
+    """Yield (first, last, bytes, bounds) runs of consecutive texts of about ``limit`` bytes of an Arrow text column
+    without nulls. The bytes are a view of the column; ``bounds`` are each text's ends in them. No text is cut."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    n = len(column)
+    ends = np.frombuffer(offsets, kind)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, "right")) - 1)
+        last = min(last, n)
+        yield first, last, whole[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
+        first = last
+
+
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n + 1:
-        size = max(n + 1, SLICE_BYTES + 1)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INV, np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up), np.cumprod(down)]
-    return _POWERS[0], _POWERS[1]
+    if _POWERS and len(_POWERS[0]) > n:
+        return _POWERS[0], _POWERS[1]
+    size = max(n, SLICE_BYTES) + 1
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, _INV, np.uint64)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    if size == SLICE_BYTES + 1:  # those of a longer text go with it
+        _POWERS[:] = [up, down]
+    return up, down
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -144,7 +165,11 @@ class SpanHash:
     def __init__(self, buffer: np.ndarray):
         up, self.down = _powers(len(buffer))
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[: len(buffer)], out=self.sums[1:])
+        terms = self.sums[1:]
+        terms[:] = buffer
+        terms += np.uint64(1)
+        terms *= up[: len(buffer)]
+        np.cumsum(terms, out=terms)
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.down[start]
@@ -166,3 +191,16 @@ def spans(inside: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndar
     after[-1] = False
     after[:-1] = inside[1:] & ~edge[1:]
     return start, np.flatnonzero(inside & ~after) + 1
+
+
+def spans_within(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``spans``, for documents that end at ``bounds`` (as of ``text_slices``)."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[bounds] = True
+    begins = inside.copy()
+    begins[1:] &= edge[1:-1] | ~inside[:-1]
+    stops = inside.copy()
+    stops[:-1] &= edge[1:-1] | ~inside[1:]
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1

@@ -8,7 +8,9 @@ in it, keeps its own best one.
 
 Null and empty pages, and pages without text, give an empty string. A null or unreadable url belongs to the host ''.
 Ties between paths go to the longer, then the lexically smaller path; ties between containers to the earlier one. Each
-row is cut on its own, repeated page_ids too; very long pages are cut whole.
+row is cut on its own, repeated page_ids too; very long and deeply nested pages are cut whole, in time that grows with
+their length. An element is boilerplate by its tag or class words unless it holds an article or half of the page's text.
+Columns other than page_id, url and html play no part.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, with_columns
 
 #: Hosts that may be broadcast with their paths; with more of them pages meet their host's path by a salted join.
 BROADCAST_HOSTS = 50_000
 SALTS = 32
 #: A container by the host's path must hold this share of the text of the page's own best container.
-LEAST_SHARE = 0.2
+LEAST_SHARE = 1 / 3
 
 # Elements without content or end tag; elements whose content is no text; elements that end a block;
 # elements and class or id words of what surrounds an article.
@@ -45,59 +47,119 @@ _CONTAINERS = frozenset("article main section div td body".split())
 # An end of one of these tags is implied by the start of the others.
 _CLOSES = {"p": _BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+# What the start of a tag closes: open elements whose end it implies.
+_ENDED_BY: dict[str, set] = {}
+for _open, _starts in _CLOSES.items():
+    for _start in _starts:
+        _ENDED_BY.setdefault(_start, set()).add(_open)
+
+
 class Node:
-    __slots__ = ("tag", "path", "parent", "around", "pieces", "text", "linked", "order", "words")
+    __slots__ = ("tag", "step", "key", "parent", "unfit", "hidden", "around", "holds", "pieces", "raw", "text", "linked", "in_article", "taken", "words")
 
-    def __init__(self, tag, parent, attributes, order):
-        self.tag, self.parent, self.order = tag, parent, order
+    def __init__(self, tag, parent, attributes):
+        self.tag, self.parent = tag, parent
         self.pieces: list = []  # strings, nodes, in page order
-        self.text = self.linked = 0
+        self.raw = self.text = self.linked = 0
+        self.around = self.holds = self.taken = False
         found = {}
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
                 found[m[1].lower()] = html.unescape(m[2] or m[3] or m[4] or "")
         label = re.sub(r"\d+", "", found.get("class", "")).split()
         self.words = {w for x in (found.get("class", ""), found.get("id", ""), found.get("role", "")) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) if w}
-        hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        unfit = tag in _AROUND or hidden or bool(self.words & _AROUND_WORDS) and tag not in ("body", "html", "article", "main")
-        # An article's own header holds its title.
-        inside = parent
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        if tag == "header" and inside is not None and not hidden:
-            unfit = False
-        self.around = unfit or (parent is not None and parent.around)
-        self.path = (parent.path + ">" if parent is not None else "") + ".".join([tag, *sorted(set(label))]) if tag in _CONTAINERS or label else (parent.path if parent is not None else "")
+        self.hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        self.unfit = tag in _AROUND or bool(self.words & _AROUND_WORDS) and tag not in ("body", "html", "article", "main")
+        if tag == "header" and self.in_article:  # an article's own header holds its title
+            self.unfit = False
+        # A path is a chain of steps; it is compared by its key, and written out only for votes and equal keys.
+        self.step = ".".join([tag, *sorted(set(label))]) if tag in _CONTAINERS or label else None
+        before = parent.key if parent is not None else 0
+        self.key = before if self.step is None else hash((before, self.step))
+
+    @property
+    def path(self) -> str:
+        steps, node = [], self
+        while node is not None:
+            if node.step is not None:
+                steps.append(node.step)
+            node = node.parent
+        return ">".join(reversed(steps))
+
+
+def key_of(path: str) -> int:
+    key = 0
+    for step in path.split(">"):
+        key = hash((key, step))
+    return key
+
+
+def tokens(page: str):
+    """(text, closing, name, attributes) for each tag with the text before it; the last has no name. A quote that is never
+    closed makes tags end at the next '>' from there on. ``send`` takes the place to go on from."""
+    at, text_from, n, quoted = 0, 0, len(page), True
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield page[text_from:at], False, None, "", end
+            at = text_from = end
+            continue
+        m = _NAME.match(page, at)
+        if m is None and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
+            continue
+        full = _QUOTED.match(page, m.end()) if m is not None and quoted else None
+        if full is not None:
+            end, attributes = full.end(), full[1]
+        else:
+            quoted = quoted and m is None
+            end = page.find(">", at)
+            if end < 0:
+                break
+            attributes, end = page[m.end() : end] if m is not None else "", end + 1
+        moved = yield page[text_from:at], bool(m and m[1]), m[2].lower() if m is not None else None, attributes, end
+        at = text_from = end if moved is None else moved
+        if moved is not None:
+            yield None  # what send() returns
+    yield page[text_from:], False, None, "", n
 
 
 def parse(page: str) -> list[Node]:
     """The page's elements in order, under a root; tolerant of ends that are missing or misplaced."""
-    root = Node("", None, "", 0)
-    nodes, open_, at, n = [root], [root], 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else n
-        if stop > at:
-            open_[-1].pieces.append(page[at:stop])
-        if not m:
-            break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+    root = Node("", None, "")
+    nodes, open_ = [root], [root]
+    count: dict[str, int] = {}
+
+    def close(i):
+        for node in open_[i:]:
+            count[node.tag] -= 1
+        del open_[i:]
+
+    stream = tokens(page)
+    for text, closing, tag, attributes, at in stream:
+        if text:
+            open_[-1].pieces.append(text)
+        if tag is None:
             continue
-        tag, attributes = name.lower(), m[3] if m[2] else m[6]
-        if m[1] or m[4]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-                if open_[i].tag in ("article", "body", "table") and tag not in _BLOCK:
-                    break
+        if closing:
+            if count.get(tag):
+                for i in range(len(open_) - 1, 0, -1):
+                    if open_[i].tag == tag:
+                        close(i)
+                        break
+                    if open_[i].tag in ("article", "body", "table") and tag not in _BLOCK:
+                        break
             if tag in _BLOCK:
                 open_[-1].pieces.append(None)
             continue
@@ -105,27 +167,29 @@ def parse(page: str) -> list[Node]:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if end:
-                    at = end.end()
+                    stream.send(end.end())
                 elif tag in ("script", "style"):
-                    at = n
+                    break
             continue
         if tag in ("br", "hr"):
             open_[-1].pieces.append(None if tag == "hr" else " ")
             continue
         if tag in _VOID:
             continue
-        if tag in _BLOCK:  # an open paragraph (or item, or cell) ends here, with the inline elements in it
+        if tag in _BLOCK and any(count.get(t) for t in _ENDED_BY.get(tag, ())):
+            # An open paragraph (or item, or cell) ends here, with the inline elements in it.
             for i in range(len(open_) - 1, 0, -1):
                 if tag in _CLOSES.get(open_[i].tag, ()):
-                    del open_[i:]
+                    close(i)
                     break
                 if open_[i].tag in _BLOCK:
                     break
-        node = Node(tag, open_[-1], attributes, len(nodes))
+        node = Node(tag, open_[-1], attributes)
         nodes.append(node)
         open_[-1].pieces.append(node)
         if not attributes.endswith("/"):
             open_.append(node)
+            count[tag] = count.get(tag, 0) + 1
     return nodes
 
 
@@ -164,18 +228,24 @@ def blocks(node: Node) -> list[str]:
 
 
 def weigh(nodes: list[Node]) -> None:
-    """Characters of plain and of linked text in each element, boilerplate left out."""
+    """Marks boilerplate, and counts characters of plain and of linked text in each element without it."""
+    for node in reversed(nodes):
+        node.raw += sum(len(p) for p in node.pieces if isinstance(p, str) and not p.isspace())
+        if node.parent is not None and not node.hidden:
+            node.parent.raw += node.raw
+            node.parent.holds = node.parent.holds or node.holds or node.tag in ("article", "main")
+    for node in nodes:
+        soft = node.unfit and not node.holds and 2 * node.raw < nodes[0].raw
+        node.around = node.hidden or soft or (node.parent is not None and node.parent.around)
     for node in reversed(nodes):
         if node.around:
-            node.text = node.linked = 0
             continue
-        own = sum(len(p) for p in node.pieces if isinstance(p, str) and not p.isspace())
-        for p in node.pieces:
-            if isinstance(p, Node):
-                own, node.linked = own + p.text, node.linked + p.linked
-        node.text = own
+        node.text += sum(len(p) for p in node.pieces if isinstance(p, str) and not p.isspace())
         if node.tag == "a":
-            node.linked = own
+            node.linked = node.text
+        if node.parent is not None:
+            node.parent.text += node.text
+            node.parent.linked += node.linked
 
 
 def score(node: Node) -> float:
@@ -189,8 +259,8 @@ def best_container(nodes: list[Node]) -> Node:
     for node in nodes:
         if node.tag in _CONTAINERS and not node.around and node.text:
             s = score(node)
-            # An inner container takes over when it keeps nearly all of the text.
-            if s > most or (s >= 0.9 * most and node.text >= 0.9 * best.text):
+            # An inner container takes over when it keeps all of the plain text, headings and leads included.
+            if s > most or (s >= 0.9 * most and node.text - node.linked >= 0.99 * (best.text - best.linked)):
                 best, most = node, max(s, most)
     return best
 
@@ -203,21 +273,17 @@ def _cut(page: str, path: str | None) -> str:
     own = best_container(nodes)
     chosen = [own]
     if path is not None and own.path != path:
-        by_path = [x for x in nodes if x.path == path and x.tag in _CONTAINERS and not x.around and x.text]
-        outer = [x for x in by_path if not any(y.parent is not None and _within(x, y) for y in by_path if y is not x)]
-        if sum(x.text for x in outer) >= LEAST_SHARE * own.text and own.text:
-            chosen = outer
+        key, by_path = key_of(path), []
+        for x in nodes[1:]:  # the outermost ones by the host's path
+            x.taken = x.parent.taken
+            if not x.taken and x.key == key and x.tag in _CONTAINERS and not x.around and x.text and x.path == path:
+                x.taken = True
+                by_path.append(x)
+        if own.text and sum(x.text for x in by_path) >= LEAST_SHARE * own.text:
+            chosen = by_path
     return "\n".join(b for x in chosen for b in blocks(x))
 
 
-def _within(x: Node, y: Node) -> bool:
-    while x.parent is not None:
-        x = x.parent
-        if x is y:
-            return True
-    return False
-
-
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
@@ -257,12 +323,12 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
-    def run(batches):
-        for pdf in batches:
-            text = [_cut(page, path) for page, path in zip(pdf["html"], pdf["path"])]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text], "path": pdf["path"]})
+    def work(pages, paths):
+        text = [_cut(page, path) for page, path in zip(pages, paths)]
+        return text, [len(t) for t in text]
 
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path").mapInPandas(run, "page_id long, url string, text string, n_chars long, path string")
+    made = with_columns(joined.withColumn("page_id", F.col("page_id").cast("long")), [F.col("html"), F.col("path")], "text string, n_chars long", work, keep=["page_id", "url", "path"])
+    return made.select("page_id", "url", "text", "n_chars", "path")
 
 
 def op2_consensus_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,17 +3,18 @@
 Every document becomes a set of hashed word shingles (64 bits). Identical sets collapse into classes, so copies never
 meet as pairs. Two kinds of skipping keep the rest exact without comparing all pairs:
 
-* Lists by position. The rare end of each set, in one global order, is indexed with its position. A list's entries are
+* Lists by position. The first end of each set, in one global order, is indexed with its position. A list's entries are
   held in blocks of one size band; a block is met only by size bands that can still reach the threshold from its best
   position. Shingles that many documents share go last in the order, so they seldom reach an index.
-* Answers from a similar set. Sets with an equal minimum hash are compared with the smallest of them; one that is
-  similar enough hangs on that hub at a known distance. Hubs are compared with hubs, and by the triangle inequality of
-  the Jaccard distance a hub's answer settles its members' answers, but for pairs that it leaves open, which are
-  compared one by one.
+* Answers from a similar set. Sets with an equal minimum hash are compared with the first of them; one that is similar
+  enough hangs on that hub at a known distance. Hubs are compared with hubs, and by the triangle inequality of the
+  Jaccard distance a hub's answer settles its members' answers, but for pairs that it leaves open, which are compared one
+  by one.
 
 What comes out is the smallest doc_id that each document reaches by links. Null texts and texts without words are empty
-and linked with nothing; null doc_ids keep their rows and take no part. Repeated rows with one doc_id stay in the result
-as they came.
+and linked with nothing; null doc_ids keep their rows and take no part. A document is a doc_id with a set: rows that
+repeat both are one document and come out alike, and texts that share a doc_id but not their set are documents of their
+own. Ties between hubs go to the smaller doc_id. Texts of any length are taken whole. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,23 +25,33 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SpanHash, durable, mix64, release, slices, spans, table, whole_text
+from .common import SpanHash, as_batch, durable, mix64, release, spans_within, table, text_slices, whole_text
 from .components import smallest_reachable
 
 #: Minimum hashes by which hubs are found.
 HUB_KEYS = 6
-#: A shingle in so many documents goes last in the order, and one in a single document is no one's link. Both kinds are
-#: known by bitmaps of fixed size over leading hash bits; a bit that is set for another's sake only adds or moves work,
-#: since results are exact under any order.
-COMMON_FROM, COMMON_BITS = 12, 27
+#: Shingles are counted over the whole corpus where their hash is in the first COUNTED / 16 of its range, which is where
+#: index entries come from, all but a few. A shingle in COMMON_FROM documents goes last in the order; where more than
+#: MOST_COMMON shingles could be in so many, the number grows with the corpus instead. One in a single document is no
+#: one's link. Both kinds are known by bitmaps of fixed size over COMMON_BITS leading hash bits; a bit that is set for
+#: another's sake only adds or moves work, since results are exact under any order.
+COUNTED, COMMON_FROM, MOST_COMMON, COMMON_BITS = 5, 12, 8_000_000, 28
 #: Shingles that a task counts before it passes the counts on.
-COUNTED_AT_ONCE = 4_000_000
-#: Bits of the sieve that a scan for wanted documents uses before the exact join.
-SIEVE_BITS = 1 << 24
+COUNTED_AT_ONCE = 1_500_000
+#: Bits for each wanted document of the sieve that a scan uses before the exact join, and most bits of it.
+SIEVE_SHARE, SIEVE_BITS = 16, 1 << 27
 #: A table of at most so many rows may be broadcast (16 bytes a row).
 BROADCAST_ROWS = 500_000
+#: Sets are first compared on the shingles in the first HEAD / 16 of the hash range; the sizes of the rest bound what
+#: that can add.
+HEAD = 6
+#: Partners that a hub is compared with first, those that it meets on most lists.
+LIKELIEST = 6
+#: Pairs of one set that meet it in one group; sets with more are dealt over several.
+PAIRS_TOGETHER = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,14 +60,13 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def shingle_sets(texts, words: int):
-    """Yield (position, sorted distinct 64-bit shingle hashes) of each text."""
+    """Yield (position, sorted distinct 64-bit shingle hashes) of each text of an Arrow column."""
     factors = mix64(np.arange(101, 101 + words, dtype=np.uint64)) | np.uint64(1)
-    for first, last, encoded in slices(texts):
-        buffer = _LOWER[np.frombuffer(b"".join(encoded), np.uint8)]
-        doc = np.repeat(np.arange(last - first), [len(x) for x in encoded])
-        start, end = spans(~_SPACE[buffer], doc)
+    for first, last, raw, bounds in text_slices(texts):
+        buffer = _LOWER[raw]
+        start, end = spans_within(~_SPACE[buffer], bounds)
         word = SpanHash(buffer).of(start, end)
-        edge = np.searchsorted(doc[start], np.arange(last - first + 1))
+        edge = np.searchsorted(start, bounds)
         rolled = np.zeros(max(len(word) - words + 1, 0), np.uint64)
         for i in range(words):
             rolled += word[i : i + len(rolled)] * factors[i]
@@ -71,6 +81,10 @@ def shingle_sets(texts, words: int):
                 yield first + i, np.zeros(0, np.uint64)
 
 
+def signature_of(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
@@ -79,6 +93,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _bitmap(hashes: DataFrame, bits: int, column: str) -> np.ndarray:
+    """Bits of the ``column`` (slots from 0) that occur, as 64-bit cells; at most bits / 64 rows reach the driver."""
+    cells = hashes.selectExpr(f"{column} div 64 AS cell", f"shiftleft(1L, cast({column} % 64 AS int)) AS bit").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
+    return out
+
+
+def _has(cells: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (cells[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
 class JaccardJoin:
     """A join at ``num/den`` similarity on sets of ``words``-word shingles of one table of documents."""
 
@@ -87,118 +113,150 @@ class JaccardJoin:
         self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
         self.words, self.num, self.den = words, num, den
 
-    # One pass: sizes, signatures, minimum hashes, and document counts of all shingles, by ranges of their hash.
     def _summaries(self) -> DataFrame:
+        """One pass: a row for each document with its size, signature and minimum hashes, and rows (n = -1) with counts of
+        shingles by ranges of their hash."""
         words = self.words
         salts = mix64(np.arange(1, HUB_KEYS + 1, dtype=np.uint64))
-        self.ranges = ranges = max(64, 1 << (2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+        # Of 1 << depth ranges of all hashes, those that are counted.
+        self.depth = depth = max(8, (4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+        ranges, top = COUNTED << (depth - 4), np.uint64(COUNTED << 60)
+        schema = "doc_id long, text_key long, n long, signature binary, keys array<long>, range int, steps binary, counts binary"
 
         def counts(met):
-            # 32 leading bits do for an order; ascending values are kept as differences, by byte, to pack well.
-            value, n = np.unique((np.concatenate(met) >> np.uint64(32)).astype(np.uint32), return_counts=True)
-            edge = np.searchsorted(value, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32 - ranges.bit_length() + 1))
+            # 40 leading bits do for an order; ascending values are kept as differences, by byte, to pack well.
+            value, n = np.unique(np.concatenate(met) >> np.uint64(24), return_counts=True)
+            edge = np.searchsorted(value, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(40 - depth))
             rows = []
-            for k in np.flatnonzero(np.diff(edge)):
+            for k in np.flatnonzero(np.diff(edge)).tolist():
                 v, c = value[edge[k] : edge[k + 1]], n[edge[k] : edge[k + 1]]
-                step = np.diff(v, prepend=np.uint32(0)).astype("<u4")
-                rows.append((int(k), step.view(np.uint8).reshape(-1, 4).T.tobytes(), np.minimum(c, 255).astype(np.uint8).tobytes()))
-            out = pd.DataFrame(rows, columns=["range", "steps", "counts"])
-            return pd.DataFrame({"doc_id": pd.array([None] * len(out), dtype="Int64"), "n": -1, "signature": None, "keys": [[]] * len(out), "range": out["range"], "steps": out["steps"], "counts": out["counts"]})
+                step = np.diff(v, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                rows.append((None, None, -1, None, None, k, step.T.tobytes(), np.minimum(c, 255).astype(np.uint8).tobytes()))
+            return as_batch(rows, schema)
 
         def run(batches):
-            met = []
-            for pdf in batches:
-                rows = []
-                for i, s in shingle_sets(pdf["text"], words):
-                    n = len(s)
-                    signature = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None
-                    keys = [int(mix64(s ^ salt).min().view(np.int64)) for salt in salts] if n else []
-                    rows.append((pdf["doc_id"].iloc[i], n, signature, keys))
-                    if n:
-                        met.append(s)
-                if rows:
-                    out = pd.DataFrame(rows, columns=["doc_id", "n", "signature", "keys"])
-                    out["doc_id"] = out["doc_id"].astype("Int64")
-                    yield out.assign(range=-1, steps=None, counts=None)
-                if sum(map(len, met)) > COUNTED_AT_ONCE:
-                    yield counts(met)
-                    met = []
+            met, size = [], 0
+            for batch in batches:
+                rows, ids, keys = [], batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+                for i, s in shingle_sets(batch.column("text"), words):
+                    least = [int(mix64(s ^ salt).min().view(np.int64)) for salt in salts] if len(s) else []
+                    rows.append((ids[i], keys[i], len(s), signature_of(s), least, None, None, None))
+                    met.append(s[: np.searchsorted(s, top)].copy())
+                    size += len(met[-1])
+                    if size > COUNTED_AT_ONCE:
+                        yield counts(met)
+                        met, size = [], 0
+                yield as_batch(rows, schema)
             if met:
                 yield counts(met)
 
-        schema = "doc_id long, n long, signature binary, keys array<long>, range int, steps binary, counts binary"
-        return durable(self.documents.mapInPandas(run, schema), "summaries")
+        return durable(self.documents.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, schema), "summaries")
 
     def _common(self, seen: DataFrame):
-        """Bitmaps of shingles that are common, and that are in two documents or more, from the counts of all documents; each range of hashes is summed on its own."""
-        ranges, low = self.ranges, 32 - COMMON_BITS
-        size = (1 << COMMON_BITS) // 8 // ranges
+        """Bitmaps of counted shingles that go last in the order, and that are in two documents or more; each range of
+        hashes is summed on its own."""
+        depth = self.depth
+        size, low = (1 << (COMMON_BITS - depth)) // 8, np.uint64(40 - COMMON_BITS)
+        total = seen.where("n > 0").agg(F.sum("n")).first()[0] or 0
+        least = max(COMMON_FROM, -(-total // MOST_COMMON))
 
         def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-            values = [np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32) for x in pdf["steps"]]
+            values = []
+            for x in pdf["steps"]:
+                step = np.zeros((len(x) // 5, 8), np.uint8)
+                step[:, :5] = np.frombuffer(x, np.uint8).reshape(5, -1).T
+                values.append(np.cumsum(step.view("<u8").ravel(), dtype=np.uint64))
             value, back = np.unique(np.concatenate(values), return_inverse=True)
-            total = np.bincount(back, np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["counts"]]))
+            met = np.bincount(back, np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["counts"]]))
             k = int(pdf["range"].iloc[0])
-            at = (value >> np.uint32(low)).astype(np.int64) - k * size * 8
+            at = (value >> low).astype(np.int64) - k * size * 8
 
             def packed(chosen):
                 bits = np.zeros(size * 8, np.uint8)
                 bits[at[chosen]] = 1
                 return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
 
-            return pd.DataFrame({"range": [k], "common": [packed(total >= COMMON_FROM)], "shared": [packed(total > 1)]})
+            return pd.DataFrame({"range": [k], "common": [packed(met >= least)], "shared": [packed(met > 1)]})
 
         counted = seen.where("n < 0").select("range", "steps", "counts")
-        common, shared = (np.zeros((1 << COMMON_BITS) // 8, np.uint8) for _ in range(2))
+        common, shared = (np.zeros((COUNTED << (COMMON_BITS - 4)) // 8, np.uint8) for _ in range(2))
+        # As many rows as ranges, and bitmaps of fixed size in all.
         for k, a, b in counted.groupBy("range").applyInPandas(mark, "range int, common binary, shared binary").toLocalIterator():
             common[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(a), np.uint8)
             shared[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(b), np.uint8)
         return self.spark.sparkContext.broadcast((common, shared))
 
-    def _sieve(self, ids: DataFrame):
-        """A bitmap of fixed size over hashed ids; what it lets through is joined exactly later."""
-        slot = F.pmod(F.xxhash64("id"), F.lit(SIEVE_BITS))
-        rows = ids.select(slot.alias("slot")).selectExpr("slot div 64 AS cell", "shiftleft(1L, cast(slot % 64 AS int)) AS bit").groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()
-        bits = np.zeros(SIEVE_BITS // 64, np.int64)
-        for cell, value in rows:
-            bits[cell] = value
-        return self.spark.sparkContext.broadcast(bits)
-
-    def _sets_of(self, ids: DataFrame) -> DataFrame:
-        """(id, size, set) of the wanted documents; one row for each id."""
-        shared, words = self._sieve(ids), self.words
+    def _sets_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, n, head, tail) of the wanted sets; one row for each. ``head``: the members with the smallest hashes."""
+        wanted = durable(nodes.join(self.classes.select("node", "rep", "signature"), "node"), "wanted")
+        bits = 1 << 16
+        while bits < min(SIEVE_BITS, SIEVE_SHARE * wanted.count()):
+            bits *= 2
+        slot = lambda column: F.pmod(F.xxhash64(column), F.lit(bits)).alias("slot")
+        sieve, words = self.spark.sparkContext.broadcast(_bitmap(wanted.select(slot("rep")), bits, "slot")), self.words
+        schema, top = "rep long, signature binary, n long, head binary, tail binary", np.uint64(HEAD << 60)
 
         def run(batches):
-            bits = shared.value
-            for pdf in batches:
-                slot = pdf["slot"].to_numpy(np.int64)
-                keep = (bits[slot // 64] >> (slot % 64)) & 1 == 1
-                ids, texts = pdf["doc_id"].to_numpy()[keep], pdf["text"][keep].tolist()
-                got = [(int(ids[i]), s.tobytes()) for i, s in shingle_sets(texts, words)]
-                for at in range(0, len(got), 500):
-                    yield pd.DataFrame(got[at : at + 500], columns=["id", "members"])
-
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS))
-        return self.documents.where("doc_id is not null").withColumn("slot", slot).mapInPandas(run, "id long, members binary")
-
-    def _compared(self, pairs: DataFrame, label: str) -> DataFrame:
-        """(a, b, common, size_a, size_b) of each pair, counted on whole sets."""
-        pairs = durable(pairs.select("a", "b").distinct(), f"{label}-pairs")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = durable(self._sets_of(ids), f"{label}-sets")
+            cells = sieve.value
+            for batch in batches:
+                kept = batch.filter(_has(cells, batch.column("slot").to_numpy()))
+                rows, ids = [], kept.column("doc_id").to_pylist()
+                for i, s in shingle_sets(kept.column("text"), words):
+                    cut = np.searchsorted(s, top)
+                    rows.append((ids[i], signature_of(s), len(s), s[:cut].tobytes(), s[cut:].tobytes()))
+                    if len(rows) == 500:
+                        yield as_batch(rows, schema)
+                        rows = []
+                yield as_batch(rows, schema)
+
+        scanned = self.documents.where("doc_id is not null").withColumn("slot", slot("doc_id"))
+        found = scanned.mapInArrow(run, schema).dropDuplicates(["rep", "signature"])
+        return found.join(wanted, ["rep", "signature"]).select("node", "n", "head", "tail")
+
+    def _hot(self, pairs: DataFrame, side: str) -> DataFrame:
+        """(side, parts): sets that very many pairs want, fewer than BROADCAST_ROWS, and over how many copies to deal them."""
+        together = max(PAIRS_TOGETHER, -(-pairs.count() // BROADCAST_ROWS))
+        counted = pairs.groupBy(side).agg(F.ceil(F.count("*") / together).alias("parts"))
+        return F.broadcast(durable(counted.where("parts > 1"), "hot"))
+
+    def _counted(self, pairs: DataFrame, sets: DataFrame, members: str) -> DataFrame:
+        """``pairs`` (a, b, floor, common) with the common ``members`` of both sets added to ``common``, and met_a, met_b
+        (members), size_a, size_b. Hot sets are copied and their pairs dealt over the copies."""
+        schema = "a long, b long, floor double, common long, met_a long, met_b long, size_a long, size_b long"
+        last = F.coalesce("parts", F.lit(1)) - 1
+        met = pairs
+        for side in ("a", "b"):
+            hot = self._hot(pairs, side)
+            held = sets.select(F.col("node").alias(side), F.col("n").alias(f"size_{side}"), F.col(members).alias(f"set_{side}")).join(hot, side, "left")
+            held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
+            dealt = met.join(hot, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), last + 1)).drop("parts")
+            met = dealt.join(held, [side, "part"]).drop("part")
 
         def run(batches):
-            for pdf in batches:
+            for batch in batches:
                 rows = []
-                for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"]):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                for a, b, floor, known, n, m, x, y in zip(*[batch.column(c) for c in ("a", "b", "floor", "common", "size_a", "size_b", "set_a", "set_b")]):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     at = np.searchsorted(y, x)
                     at[at == len(y)] = 0
-                    rows.append((a, b, int((y[at] == x).sum()) if len(y) else 0, len(x), len(y)))
-                yield pd.DataFrame(rows, columns=["a", "b", "common", "size_a", "size_b"])
+                    common = int((y[at] == x).sum()) if len(x) and len(y) else 0
+                    rows.append((a.as_py(), b.as_py(), floor.as_py(), known.as_py() + common, len(x), len(y), n.as_py(), m.as_py()))
+                yield as_batch(rows, schema)
+
+        return met.select("a", "b", "floor", "common", "size_a", "size_b", "set_a", "set_b").mapInArrow(run, schema)
 
-        met = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        compared = durable(met.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, common long, size_a long, size_b long"), f"{label}-compared")
+    def _compared(self, pairs: DataFrame, label: str) -> DataFrame:
+        """(a, b, common, size_a, size_b) of the pairs (a, b, floor) whose similarity is ``floor`` or more, and perhaps of
+        some others, counted on whole sets. The heads of the sets rule out most of the rest first."""
+        pairs = durable(pairs.select("a", "b", "floor", F.lit(0).cast("long").alias("common")), f"{label}-pairs")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = durable(self._sets_of(nodes), f"{label}-sets")
+        most = F.col("common") + F.least(F.col("size_a") - F.col("met_a"), F.col("size_b") - F.col("met_b"))
+        could = most >= (F.col("floor") - 1e-9) * (F.col("size_a") + F.col("size_b") - most)
+        likely = durable(self._counted(pairs, sets, "head").where(could).select("a", "b", "floor", "common"), f"{label}-likely")
+        wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+        left = sets.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi")
+        compared = durable(self._counted(likely, left, "tail").select("a", "b", "common", "size_a", "size_b"), f"{label}-compared")
         release(sets)
         return compared
 
@@ -206,91 +264,159 @@ class JaccardJoin:
         return F.col("common") * self.den >= self.num * (F.col("size_a") + F.col("size_b") - F.col("common"))
 
     def _prefixes(self, bitmaps) -> DataFrame:
+        """(rep, signature, places, prefix): the shingles of each set that can hold its first common one with a partner,
+        and their positions, without shingles known to be in one document only."""
         words, num, den = self.words, self.num, self.den
+        schema = "rep long, signature binary, places array<int>, prefix array<long>"
+        top = np.uint64(COUNTED << 60)
 
         def run(batches):
             common, shared = bitmaps.value
-            for pdf in batches:
-                rows = []
-                for i, s in shingle_sets(pdf["text"], words):
+            for batch in batches:
+                rows, ids = [], batch.column("doc_id").to_pylist()
+                for i, s in shingle_sets(batch.column("text"), words):
                     if len(s):
-                        n, k = len(s), prefix_length(len(s), num, den)
-                        at = (s >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
+                        counted = np.searchsorted(s, top)
+                        at = (s[:counted] >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
                         byte, bit = at >> 3, (at & 7).astype(np.uint8)
-                        late = (common[byte] >> bit) & 1 == 1
-                        order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:k]
-                        met = np.flatnonzero((shared[byte[order]] >> bit[order]) & 1)
-                        rows.append((int(pdf["doc_id"].iloc[i]), n, met.astype(np.int32), _signed(s[order[met]])))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["id", "n", "places", "prefix"])
+                        late, several = np.zeros(len(s), bool), np.ones(len(s), bool)
+                        late[:counted] = (common[byte] >> bit) & 1
+                        several[:counted] = (shared[byte] >> bit) & 1
+                        order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[: prefix_length(len(s), num, den)]
+                        met = np.flatnonzero(several[order])
+                        rows.append((ids[i], signature_of(s), met.astype(np.int32), _signed(s[order[met]])))
+                yield as_batch(rows, schema)
 
-        return self.documents.where("doc_id is not null").mapInPandas(run, "id long, n long, places array<int>, prefix array<long>")
+        return self.documents.where("doc_id is not null").mapInArrow(run, schema)
 
     def _band(self, size):
-        return F.floor(F.log(size.cast("double")) / F.lit(float(np.log(1.02)))).cast("int")
+        return F.floor(F.log(size.cast("double")) / F.lit(float(np.log(1.05)))).cast("int")
 
     def _could_meet(self, n1, p1, n2, p2):
         return F.least(n1 - p1, n2 - p2) * (self.num + self.den) >= self.num * (n1 + n2)
 
-    def run(self) -> DataFrame:
-        """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id: a row for each document."""
+    def _hubs(self) -> tuple[DataFrame, DataFrame]:
+        """(node, n, hub, away) of each set, and the compared pairs that hang on hubs."""
         num, den = self.num, self.den
-        seen = self._summaries()
-        classes = seen.where("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-        classes = durable(classes, "classes")
-
-        # Hubs: each set against the one that shares most minimum hashes with it, half of them at least; whatever this
-        # passes over is found by the index.
-        keyed = classes.select("rep", "n", F.posexplode("keys").alias("which", "key"))
-        heads = keyed.groupBy("which", "key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("rows")).where("rows > 1").select("which", "key", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"))
-        near = keyed.join(heads, ["which", "key"]).where((F.col("rep") != F.col("head")) & (F.least("n", "head_n") * den >= F.greatest("n", "head_n") * num)).groupBy("rep", "head").agg(F.count("*").alias("equal")).where(F.col("equal") * 2 >= HUB_KEYS)
-        stars = near.groupBy(F.col("rep").alias("a")).agg(F.max_by("head", F.struct("equal", -F.col("head"))).alias("b"))
-        starred = self._compared(stars, "hub").where(self._linked())
-        distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-        nearest = starred.groupBy(F.col("a").alias("rep")).agg(F.min(F.struct(F.col("b").alias("hub"), distance.alias("away"))).alias("best"))
-        hubs = durable(classes.join(nearest, "rep", "left").select("rep", "n", F.coalesce("best.hub", "rep").alias("hub"), F.coalesce("best.away", F.lit(0.0)).alias("away")), "hubs")
-
-        # The positional index, common shingles last.
-        prefixes = durable(self._prefixes(self._common(seen)).join(hubs.select("rep", "hub", "away"), F.col("id") == F.col("rep")).dropDuplicates(["id"]).select("id", "n", "hub", "away", "places", "prefix"), "prefixes")
-        entries = prefixes.select("id", "n", "hub", "away", F.explode(F.arrays_zip("places", "prefix")).alias("e")).select("id", "n", "hub", "away", F.col("e.places").alias("pos"), F.col("e.prefix").alias("shingle"))
+        # Each set against the one that shares most minimum hashes with it, half of them at least; whatever this passes
+        # over is found by the index.
+        keyed = self.classes.select("node", "rep", "n", F.posexplode("keys").alias("which", "key"))
+        heads = keyed.groupBy("which", "key").agg(F.min(F.struct("rep", "node", "n")).alias("head"), F.count("*").alias("rows")).where("rows > 1")
+        near = keyed.join(heads, ["which", "key"]).where(F.col("node") != F.col("head.node"))
+        near = near.where(F.least("n", "head.n") * den >= F.greatest("n", "head.n") * num)
+        near = near.groupBy("node", "head.node", "head.rep").agg(F.count("*").alias("equal")).toDF("a", "b", "rep_b", "equal")
+        stars = near.where(F.col("equal") * 2 >= HUB_KEYS).groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("rep_b"), -F.col("b"))).alias("b"))
+        starred = self._compared(stars.withColumn("floor", F.lit(num / den)), "hub").where(self._linked())
+        nearest = starred.select(F.col("a").alias("node"), F.col("b").alias("hub"), self._distance().alias("away"))
+        hubs = self.classes.join(nearest, "node", "left")
+        hubs = hubs.select("node", "rep", "signature", "n", F.coalesce("hub", "node").alias("hub"), F.coalesce("away", F.lit(0.0)).alias("away"))
+        return durable(hubs, "hubs"), starred
+
+    def _distance(self):
+        return 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
+
+    def _lists(self, hubs: DataFrame, seen: DataFrame) -> DataFrame:
+        """(node, n, hub, away, pos, shingle): the positional index, common shingles last, of lists with two hubs at least."""
+        prefixes = self._prefixes(self._common(seen)).join(hubs, ["rep", "signature"]).dropDuplicates(["node"])
+        prefixes = durable(prefixes.select("node", "n", "hub", "away", "places", "prefix"), "prefixes")
+        entries = prefixes.select("node", "n", "hub", "away", F.explode(F.arrays_zip("places", "prefix")).alias("e"))
+        entries = entries.select("node", "n", "hub", "away", F.col("e.places").alias("pos"), F.col("e.prefix").alias("shingle"))
         # A list within one hub says nothing new.
-        shared = durable(entries.groupBy("shingle").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).where("low < high").select("shingle"), "shared")
-        side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-        lists = durable(entries.join(side, "shingle"), "lists")
+        met = entries.groupBy("shingle").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).where("low < high").select("shingle")
+        met = durable(met, "shared")
+        return durable(entries.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "shingle"), "lists")
 
-        blocks = lists.withColumn("band", self._band(F.col("n"))).groupBy("shingle", "hub", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("left"))
+    def _meetings(self, lists: DataFrame) -> DataFrame:
+        """(shingle, a, b): hubs whose blocks on a list can reach the threshold."""
+        num, den = self.num, self.den
+        blocks = lists.withColumn("band", self._band(F.col("n"))).groupBy("shingle", "hub", "band")
+        blocks = blocks.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("left"))
         # The larger set looks for partners from num/den of its size up to what its best position allows.
         reach = F.least(F.col("most"), F.floor(F.col("left") * (num + den) / num).cast("long") - F.col("least"))
         seek = blocks.withColumn("lo", F.ceil(F.col("least") * num / den).cast("long")).withColumn("hi", reach).where("hi >= lo")
-        seek = seek.select("shingle", F.col("hub").alias("a"), F.col("least").alias("least_a"), F.col("left").alias("left_a"), F.explode(F.sequence(self._band(F.col("lo")), self._band(F.col("hi")))).alias("band"))
+        bands = F.explode(F.sequence(self._band(F.col("lo")), self._band(F.col("hi"))))
+        seek = seek.select("shingle", F.col("hub").alias("a"), F.col("least").alias("least_a"), F.col("left").alias("left_a"), bands.alias("band"))
         hit = blocks.select("shingle", "band", F.col("hub").alias("b"), F.col("least").alias("least_b"), F.col("left").alias("left_b"))
-        met = seek.join(hit, ["shingle", "band"]).where((F.col("a") != F.col("b")) & (F.least("left_a", "left_b") * (num + den) >= num * (F.col("least_a") + F.col("least_b"))))
-        met = durable(met.select("shingle", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-        between = self._compared(met.select("a", "b"), "between")
-
-        # Members whose hubs leave them open: d(x, y) >= d(hubs) - d(x, hub) - d(y, hub).
+        fits = F.least("left_a", "left_b") * (num + den) >= num * (F.col("least_a") + F.col("least_b"))
+        met = seek.join(hit, ["shingle", "band"]).where((F.col("a") != F.col("b")) & fits)
+        return durable(met.select("shingle", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "met")
+
+    def _between(self, hubs: DataFrame, met: DataFrame, starred: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of hubs on common lists, compared, and what reaches what by the links found. A hub is first
+        compared with those that it meets on most lists; pairs that the links found so far join already are left out,
+        since neither they nor pairs of their members can tell anything new."""
+        radius = hubs.groupBy("hub").agg(F.max("away").alias("radius")).where("radius > 0")
+        of = lambda side: radius.select(F.col("hub").alias(side), F.col("radius").alias(f"radius_{side}"))
+        pairs = met.groupBy("a", "b").agg(F.count("*").alias("lists")).join(of("a"), "a", "left").join(of("b"), "b", "left")
+        # Farther apart than by their radii and the threshold, hubs and their members have no link.
+        floor = F.lit(self.num / self.den) - F.coalesce("radius_a", F.lit(0.0)) - F.coalesce("radius_b", F.lit(0.0))
+        pairs = durable(pairs.select("a", "b", floor.alias("floor"), "lists"), "candidates")
+        ends = pairs.select(F.col("a").alias("node"), "*").unionByName(pairs.select(F.col("b").alias("node"), "*"))
+        rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("lists"), "a", "b"))
+        best = durable(ends.withColumn("rank", rank).where(F.col("rank") <= LIKELIEST).select("a", "b", "floor").distinct(), "likeliest")
+        first = self._compared(best, "likeliest")
+        reached = durable(smallest_reachable(starred.select("a", "b").unionByName(first.where(self._linked()).select("a", "b"))), "reached")
+        rest = self._apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b", "floor"), reached)
+        between = first.unionByName(self._compared(rest, "between"))
+        return between, durable(smallest_reachable(starred.select("a", "b").unionByName(between.where(self._linked()).select("a", "b"))), "reached")
+
+    def _apart(self, pairs: DataFrame, reached: DataFrame) -> DataFrame:
+        """Pairs whose ends are not known to reach one another."""
+        of = lambda side: reached.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return joined.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
+
+    def _open(self, hubs: DataFrame, lists: DataFrame, met: DataFrame, between: DataFrame, reached: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members whose hubs leave them open: d(x, y) >= d(hubs) - d(x, hub) - d(y, hub)."""
+        num, den = self.num, self.den
         limit = 1 - num / den + 1e-9
         radius = hubs.groupBy("hub").agg(F.max("away").alias("radius"))
         of = lambda side: radius.select(F.col("hub").alias(side), F.col("radius").alias(f"radius_{side}"))
-        unsettled = between.where(~self._linked()).withColumn("gap", distance).where(F.col("gap") <= 3 * limit).select("a", "b", "gap")
+        unsettled = self._apart(between.where(~self._linked()).select("a", "b", self._distance().alias("gap")), reached)
         # A hub without members has no radius, so its partner's members must come that much nearer themselves.
-        unsettled = unsettled.join(of("a"), "a").join(of("b"), "b").where((F.greatest("radius_a", "radius_b") > 0) & (F.col("gap") - F.col("radius_a") - F.col("radius_b") <= limit))
-        x = lists.select("shingle", F.col("hub").alias("a"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("away").alias("dx"))
-        y = lists.select("shingle", F.col("hub").alias("b"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("away").alias("dy"))
+        far = F.col("gap") - F.col("radius_a") - F.col("radius_b") > limit
+        unsettled = unsettled.join(of("a"), "a").join(of("b"), "b").where((F.greatest("radius_a", "radius_b") > 0) & ~far)
+        side = lambda hub, x: lists.select(
+            "shingle", F.col("hub").alias(hub), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("away").alias(f"d{x}")
+        )
         # Only lists that both hubs are on, and of each only the members near enough to the other hub.
-        left = met.join(unsettled, ["a", "b"]).join(x, ["shingle", "a"]).where(F.col("gap") - F.col("dx") <= limit + F.col("radius_b"))
-        members = left.join(y, ["shingle", "b"]).where((F.col("gap") - F.col("dx") - F.col("dy") <= limit) & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num) & self._could_meet(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
+        left = met.join(unsettled, ["a", "b"]).join(side("a", "x"), ["shingle", "a"]).where(F.col("gap") - F.col("dx") <= limit + F.col("radius_b"))
+        near = F.col("gap") - F.col("dx") - F.col("dy") <= limit
+        sized = F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num
+        could = self._could_meet(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"))
+        members = left.join(side("b", "y"), ["shingle", "b"]).where(near & sized & could)
         members = members.where((F.col("x") != F.col("a")) | (F.col("y") != F.col("b"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        members = durable(members, "members")
+        return members.withColumn("floor", F.lit(num / den))
+
+    def run(self) -> DataFrame:
+        """A row for each document: doc_id, text_key (xxhash64 of the text), n_shingles, class_id (smallest doc_id with
+        the same set), component_id, and first: whether it is the first document of its component."""
+        seen = self._summaries()
+        classes = seen.where("n > 0 and doc_id is not null").groupBy("signature")
+        classes = classes.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+        self.classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        hubs, starred = self._hubs()
+        lists = self._lists(hubs, seen)
+        met = self._meetings(lists)
+        between, reached = self._between(hubs, met, starred)
+        members = durable(self._open(hubs, lists, met, between, reached), "members")
         links = starred.select("a", "b").unionByName(between.where(self._linked()).select("a", "b"))
         if not members.isEmpty():
             links = links.unionByName(self._compared(members, "open").where(self._linked()).select("a", "b"))
 
         reached = smallest_reachable(links)
-        of_class = classes.join(reached, classes["rep"] == reached["node"], "left").select("signature", "rep", F.coalesce("component", "rep").alias("component_id"))
+        of_class = self.classes.join(reached, "node", "left").select("signature", "rep", F.coalesce("component", "node").alias("component"))
         of_class = durable(of_class, "components")
-        rows = seen.where("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "signature")
-        return rows.join(of_class, "signature", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        # The first document of a component: the smallest doc_id, then the smallest signature.
+        heads = of_class.groupBy("component").agg(F.min(F.struct("rep", "signature")).alias("head"))
+        named = durable(of_class.join(heads, "component").select("signature", "rep", "head"), "named")
+        rows = seen.where("n >= 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "signature").join(named, "signature", "left")
+        known = lambda column: F.when(F.col("doc_id").isNotNull(), F.coalesce(column, F.col("doc_id")))
+        first = (F.col("doc_id") == F.col("head.rep")) & (F.col("signature") == F.col("head.signature"))
+        return rows.select(
+            "doc_id", "text_key", "n_shingles", known(F.col("rep")).alias("class_id"), known(F.col("head.rep")).alias("component_id"),
+            (F.col("doc_id").isNull() | F.col("head").isNull() | first).alias("first"),
+        )
 
 
 def jaccard_components(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -298,4 +424,5 @@ def jaccard_components(documents: DataFrame, words: int = 5, num: int = 80, den:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "class_id")
+    joined = jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return joined.select("doc_id", "n_shingles", "component_id", "class_id")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, durable, slices, table, whole_text
+from .common import SpanHash, as_batch, durable, slices, table, whole_text
 
 LEAST_LINES, LEAST_CHARS = 2, 20
 #: Bits of the sieve for repeated chunks (exact joins follow it).
@@ -74,31 +74,31 @@ def dedup_lines(documents: DataFrame, least_lines: int = LEAST_LINES, least_char
 
     def bodies(batches):
         held = shared.value
-        for pdf in batches:
-            docs, keys, out = pdf["doc_id"].tolist(), pdf["key"].tolist(), []
-            for i, h, lines, span, raw in chunks_of(pdf["text"], least_lines, least_chars):
+        for batch in batches:
+            docs, keys, out = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), []
+            for i, h, lines, span, raw in chunks_of(batch.column("text").to_pylist(), least_lines, least_chars):
                 at = (h % np.uint64(SIEVE_BITS)).astype(np.int64)
                 maybe = (held[at // 64] >> (at % 64)) & 1 == 1
                 for j in np.flatnonzero(maybe):
                     a, b = lines[j]
                     out.append((docs[i], keys[i], int(a), int(b), int(h[j].view(np.int64)), raw[span[a, 0] : span[b, 1]]))
-            got = pd.DataFrame(out, columns=["doc_id", "key", "start", "stop", "chunk", "body"])
-            got["doc_id"] = got["doc_id"].astype("Int64")
-            yield got
+            yield as_batch(out, body_schema)
 
-    found = durable(source.select("doc_id", "key", "text").mapInPandas(bodies, "doc_id long, key long, start int, stop int, chunk long, body binary"), "bodies")
+    body_schema = "doc_id long, key long, start int, stop int, chunk long, body binary"
+    found = durable(source.select("doc_id", "key", "text").mapInArrow(bodies, body_schema), "bodies")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "start", "stop", "body")
     firsts = found.groupBy("chunk").agg(F.min(order).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     firsts = durable(firsts.select("chunk", F.col("first.key").alias("first_key"), F.col("first.stop").alias("first_stop"), F.col("first.body").alias("first_body")), "firsts")
     again = found.join(firsts, "chunk").where((F.col("body") == F.col("first_body")) & ~((F.col("key") == F.col("first_key")) & (F.col("start") <= F.col("first_stop"))))
     removed = durable(again.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("gone")), "removed")
 
+    schema = "doc_id long, text string, n_chunks long, n_removed long, chars_removed long"
+
     def rebuilt(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            docs = pdf["doc_id"].tolist()
-            gone_of = pdf["gone"].tolist()
-            for i, h, _, span, raw in chunks_of(pdf["text"], least_lines, least_chars):
+            docs, gone_of = batch.column("doc_id").to_pylist(), batch.column("gone").to_pylist()
+            for i, h, _, span, raw in chunks_of(batch.column("text").to_pylist(), least_lines, least_chars):
                 gone = [] if gone_of[i] is None else gone_of[i]
                 kept = raw
                 if len(gone):
@@ -108,12 +108,10 @@ def dedup_lines(documents: DataFrame, least_lines: int = LEAST_LINES, least_char
                     kept = b"\n".join(raw[a:b] for a, b in span[stays])
                 text = kept.decode("utf-8", "surrogatepass")
                 rows.append((docs[i], text, len(h), len(gone), len(raw.decode("utf-8", "surrogatepass")) - len(text) if len(gone) else 0))
-            got = pd.DataFrame(rows, columns=["doc_id", "text", "n_chunks", "n_removed", "chars_removed"])
-            got["doc_id"] = got["doc_id"].astype("Int64")
-            yield got
+            yield as_batch(rows, schema)
 
     # Texts are dealt out at any size, so that the disk needed is in proportion to the input.
-    return source.join(removed.hint("merge"), "key", "left").select("doc_id", "text", "gone").mapInPandas(rebuilt, "doc_id long, text string, n_chunks long, n_removed long, chars_removed long")
+    return source.join(removed.hint("merge"), "key", "left").select("doc_id", "text", "gone").mapInArrow(rebuilt, schema)
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ of labelled documents; that sample's vectors, with their labels, are broadcast,
 of them by exact blocked cosine products. The nearest neighbours vote with weights that grow with similarity.
 
 Empty and null texts have no terms: they get the share of label 1 in the sample, as does everything when there are no
-labels at all (0.5 then). Ties in similarity go to the sample's order (by hash of doc_id). Rows with equal doc_ids are
-scored each on its own text.
+labels at all (0.5 then). Among neighbours of equal similarity at the last place, any may vote. Rows with equal doc_ids are scored
+each on its own text, and so are repeated rows; texts of any length count whole. Other columns pass through as they are,
+but for one named as the score is, which the score replaces. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, slices, spans, table, whole_text
+from .common import SpanHash, slices, spans, table, whole_text, with_columns
 
 #: Bound of the labelled sample that the neighbours come from, and of the latent directions.
 MAX_SAMPLE = 4096
@@ -174,25 +175,19 @@ def score_quality(documents: DataFrame, labels: DataFrame, score: str = "score",
     model = learn(documents, labels, idf, max_sample)
     shared = spark.sparkContext.broadcast((idf, model))
     plain = [c for c in documents.columns if c != score]
-    body = "__text_of_document"
-    schema = documents.select(*plain).schema.add(score, "double")
 
-    def run(batches):
+    def work(texts):
         idf, model = shared.value
-        for pdf in batches:
-            out = np.full(len(pdf), 0.5 if model is None else model[2].mean())
-            if model is not None:
-                v, known, label = model
-                for at, counts in _blocks(pdf[body]):
-                    has = counts.any(axis=1)
-                    if has.any():
-                        rows = np.flatnonzero(has)
-                        out[at + rows] = votes(latent(weighted(counts[rows], idf), v), known, label, neighbours)
-            pdf = pdf.drop(columns=[body])
-            pdf[score] = np.clip(out, 0.0, 1.0)
-            yield pdf
-
-    return documents.select(*plain, whole_text().alias(body)).mapInPandas(run, schema)
+        out = np.full(len(texts), 0.5 if model is None else model[2].mean())
+        if model is not None:
+            v, known, label = model
+            for at, counts in _blocks(texts):
+                has = counts.any(axis=1)
+                if has.any():
+                    out[at + np.flatnonzero(has)] = votes(latent(weighted(counts[has], idf), v), known, label, neighbours)
+        return (np.clip(out, 0.0, 1.0),)
+
+    return with_columns(documents, [whole_text()], f"{score} double", work, keep=plain)
 
 
 def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ Only documents carry labels. A sentence's logit is a bias plus the weights of it
 1 - prod(1 - p). Training maximises the likelihood of the document labels over a bounded labelled sample; scoring covers
 every sentence of every document and names the offending ones.
 
-Null and empty texts have no sentences and score 0. Without labels, or with one label only, every score is 0 for clean
-(or absent) labels. Repeated rows are scored each on its own.
+Null and empty texts have no sentences and score 0. Where the sample has no toxic or no clean document, no sentence can be
+told from another, and every score is 0. Repeated rows are scored each on its own; texts of any length count whole; other
+columns play no part. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, slices, spans, table, whole_text
+from .common import SpanHash, slices, spans, table, whole_text, with_columns
 
 #: Bound of the labelled sample that the weights are learnt from.
 MAX_SAMPLE = 8192
@@ -151,36 +152,35 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, max_sample: int = MA
     ``locate_from`` on. ``labels``: doc_id and label (0 or 1), only those that may be learnt from."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(learn(documents, labels, max_sample))
-    schema = "doc_id long, score double, n_sentences int, offending array<struct<first:int,past:int,probability:double>>"
+    schema = "score double, n_sentences int, offending array<struct<first:int,past:int,probability:double>>"
 
-    def run(batches):
+    def work(texts):
         model = shared.value
         weight = np.zeros(TERMS + 1)
         if model is not None:
             weight[model[0]] = model[1]
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            # Case is folded by characters that keep their length, so spans hold for the text as it came.
-            low = ["".join(c if len(c.lower()) != 1 else c.lower() for c in t) if t and len(t.lower()) != len(t) else (t or "").lower() for t in texts]
-            score, count = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
-            offending: list[list] = [[] for _ in texts]
-            for first, last, encoded in slices(low):
-                terms, sentence, owner, s_start, s_end = sentence_terms(encoded)
-                count[first:last] = np.bincount(owner, minlength=last - first)
-                if model is None or not len(owner):
-                    continue
-                z = np.bincount(sentence, weight[terms].sum(axis=1), minlength=len(owner)) + model[2]
-                clean = np.bincount(owner, np.logaddexp(0, np.where(z <= model[2], CLEAN_LOGIT, z)), minlength=last - first)
-                score[first:last] = -np.expm1(-clean)
-                offset = np.r_[0, np.cumsum([len(x) for x in encoded])]
-                for s in np.flatnonzero(z >= np.log(locate_from / (1 - locate_from))):
-                    i = owner[s]
-                    raw, a, b = encoded[i], s_start[s] - offset[i], s_end[s] - offset[i]
-                    begin = len(raw[:a].decode("utf-8", "surrogatepass"))
-                    offending[first + i].append({"first": begin, "past": begin + len(raw[a:b].decode("utf-8", "surrogatepass")), "probability": float(1 / (1 + np.exp(-z[s])))})
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.clip(score, 0, 1), "n_sentences": count, "offending": offending})
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInPandas(run, schema)
+        # Case is folded by characters that keep their length, so spans hold for the text as it came.
+        low = ["".join(c if len(c.lower()) != 1 else c.lower() for c in t) if t and len(t.lower()) != len(t) else (t or "").lower() for t in texts]
+        score, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        offending: list[list] = [[] for _ in texts]
+        for first, last, encoded in slices(low):
+            terms, sentence, owner, s_start, s_end = sentence_terms(encoded)
+            count[first:last] = np.bincount(owner, minlength=last - first)
+            if model is None or not len(owner):
+                continue
+            z = np.bincount(sentence, weight[terms].sum(axis=1), minlength=len(owner)) + model[2]
+            clean = np.bincount(owner, np.logaddexp(0, np.where(z <= model[2], CLEAN_LOGIT, z)), minlength=last - first)
+            score[first:last] = -np.expm1(-clean)
+            offset = np.r_[0, np.cumsum([len(x) for x in encoded])]
+            for s in np.flatnonzero(z >= np.log(locate_from / (1 - locate_from))):
+                i = owner[s]
+                raw, a, b = encoded[i], s_start[s] - offset[i], s_end[s] - offset[i]
+                begin = len(raw[:a].decode("utf-8", "surrogatepass"))
+                offending[first + i].append({"first": begin, "past": begin + len(raw[a:b].decode("utf-8", "surrogatepass")), "probability": float(1 / (1 + np.exp(-z[s])))})
+        return np.clip(score, 0, 1), count, offending
+
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return with_columns(plain, [F.col("text")], schema, work, keep=["doc_id"])
 
 
 def op7_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

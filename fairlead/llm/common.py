@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Multiplier of the polynomial word hash (odd, so it has an inverse modulo 2**64).
 _BASE = 0x9E3779B97F4A7C15
@@ -84,9 +85,7 @@ def with_columns(df: DataFrame, using: list, schema: str, work: Callable, keep:
     plain, given = keep or df.columns, [f"__given_{i}" for i in range(len(using))]
     while set(given) & set(plain):
         given = [f"_{g}" for g in given]
-    full = df.select(*plain).schema
-    for name, kind in fields:
-        full = full.add(name, kind)
+    full = StructType(df.select(*plain).schema.fields + StructType.fromDDL(schema).fields)
     width = len(plain)
 
     def run(batches):

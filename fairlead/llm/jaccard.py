@@ -33,14 +33,13 @@ from .components import smallest_reachable
 
 #: Minimum hashes by which hubs are found.
 HUB_KEYS = 6
-#: Shingles are counted over the whole corpus where their hash is in the first COUNTED / 16 of its range, which is where
-#: index entries come from, all but a few. A shingle in COMMON_FROM documents goes last in the order; where more than
-#: MOST_COMMON shingles could be in so many, the number grows with the corpus instead. One in a single document is no
-#: one's link. Both kinds are known by bitmaps of fixed size over COMMON_BITS leading hash bits; a bit that is set for
-#: another's sake only adds or moves work, since results are exact under any order.
-COUNTED, COMMON_FROM, MOST_COMMON, COMMON_BITS = 5, 12, 8_000_000, 28
+#: A shingle in COMMON_FROM documents goes last in the order; where more than MOST_COMMON shingles could be in so many, the
+#: number grows with the corpus instead. One in a single document is no one's link. Both kinds are known by bitmaps of
+#: fixed size over COMMON_BITS leading hash bits, from counts over the whole corpus; a bit that is set for another's sake
+#: only adds or moves work, since results are exact under any order.
+COMMON_FROM, MOST_COMMON, COMMON_BITS = 12, 8_000_000, 27
 #: Shingles that a task counts before it passes the counts on.
-COUNTED_AT_ONCE = 1_500_000
+COUNTED_AT_ONCE = 2_000_000
 #: Bits for each wanted document of the sieve that a scan uses before the exact join, and most bits of it.
 SIEVE_SHARE, SIEVE_BITS = 16, 1 << 27
 #: A table of at most so many rows may be broadcast (16 bytes a row).
@@ -118,15 +117,14 @@ class JaccardJoin:
         shingles by ranges of their hash."""
         words = self.words
         salts = mix64(np.arange(1, HUB_KEYS + 1, dtype=np.uint64))
-        # Of 1 << depth ranges of all hashes, those that are counted.
         self.depth = depth = max(8, (4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-        ranges, top = COUNTED << (depth - 4), np.uint64(COUNTED << 60)
+        ranges = 1 << depth
         schema = "doc_id long, text_key long, n long, signature binary, keys array<long>, range int, steps binary, counts binary"
 
         def counts(met):
-            # 40 leading bits do for an order; ascending values are kept as differences, by byte, to pack well.
-            value, n = np.unique(np.concatenate(met) >> np.uint64(24), return_counts=True)
-            edge = np.searchsorted(value, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(40 - depth))
+            # 36 leading bits do for an order; ascending values are kept as differences, by byte, to pack well.
+            value, n = np.unique(np.concatenate(met) >> np.uint64(28), return_counts=True)
+            edge = np.searchsorted(value, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(36 - depth))
             rows = []
             for k in np.flatnonzero(np.diff(edge)).tolist():
                 v, c = value[edge[k] : edge[k + 1]], n[edge[k] : edge[k + 1]]
@@ -141,8 +139,8 @@ class JaccardJoin:
                 for i, s in shingle_sets(batch.column("text"), words):
                     least = [int(mix64(s ^ salt).min().view(np.int64)) for salt in salts] if len(s) else []
                     rows.append((ids[i], keys[i], len(s), signature_of(s), least, None, None, None))
-                    met.append(s[: np.searchsorted(s, top)].copy())
-                    size += len(met[-1])
+                    met.append(s)
+                    size += len(s)
                     if size > COUNTED_AT_ONCE:
                         yield counts(met)
                         met, size = [], 0
@@ -156,7 +154,7 @@ class JaccardJoin:
         """Bitmaps of counted shingles that go last in the order, and that are in two documents or more; each range of
         hashes is summed on its own."""
         depth = self.depth
-        size, low = (1 << (COMMON_BITS - depth)) // 8, np.uint64(40 - COMMON_BITS)
+        size, low = (1 << (COMMON_BITS - depth)) // 8, np.uint64(36 - COMMON_BITS)
         total = seen.where("n > 0").agg(F.sum("n")).first()[0] or 0
         least = max(COMMON_FROM, -(-total // MOST_COMMON))
 
@@ -179,7 +177,7 @@ class JaccardJoin:
             return pd.DataFrame({"range": [k], "common": [packed(met >= least)], "shared": [packed(met > 1)]})
 
         counted = seen.where("n < 0").select("range", "steps", "counts")
-        common, shared = (np.zeros((COUNTED << (COMMON_BITS - 4)) // 8, np.uint8) for _ in range(2))
+        common, shared = (np.zeros((1 << COMMON_BITS) // 8, np.uint8) for _ in range(2))
         # As many rows as ranges, and bitmaps of fixed size in all.
         for k, a, b in counted.groupBy("range").applyInPandas(mark, "range int, common binary, shared binary").toLocalIterator():
             common[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(a), np.uint8)
@@ -268,7 +266,6 @@ class JaccardJoin:
         and their positions, without shingles known to be in one document only."""
         words, num, den = self.words, self.num, self.den
         schema = "rep long, signature binary, places array<int>, prefix array<long>"
-        top = np.uint64(COUNTED << 60)
 
         def run(batches):
             common, shared = bitmaps.value
@@ -276,12 +273,10 @@ class JaccardJoin:
                 rows, ids = [], batch.column("doc_id").to_pylist()
                 for i, s in shingle_sets(batch.column("text"), words):
                     if len(s):
-                        counted = np.searchsorted(s, top)
-                        at = (s[:counted] >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
+                        at = (s >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
                         byte, bit = at >> 3, (at & 7).astype(np.uint8)
-                        late, several = np.zeros(len(s), bool), np.ones(len(s), bool)
-                        late[:counted] = (common[byte] >> bit) & 1
-                        several[:counted] = (shared[byte] >> bit) & 1
+                        late = (common[byte] >> bit) & 1 == 1
+                        several = (shared[byte] >> bit) & 1 == 1
                         order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[: prefix_length(len(s), num, den)]
                         met = np.flatnonzero(several[order])
                         rows.append((ids[i], signature_of(s), met.astype(np.int32), _signed(s[order[met]])))
@@ -339,7 +334,7 @@ class JaccardJoin:
         hit = blocks.select("shingle", "band", F.col("hub").alias("b"), F.col("least").alias("least_b"), F.col("left").alias("left_b"))
         fits = F.least("left_a", "left_b") * (num + den) >= num * (F.col("least_a") + F.col("least_b"))
         met = seek.join(hit, ["shingle", "band"]).where((F.col("a") != F.col("b")) & fits)
-        return durable(met.select("shingle", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "met")
+        return durable(met.select("shingle", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
 
     def _between(self, hubs: DataFrame, met: DataFrame, starred: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs of hubs on common lists, compared, and what reaches what by the links found. A hub is first

@@ -78,7 +78,8 @@ def calibrate(mass: np.ndarray, weight: np.ndarray, budget: float) -> float:
 
 
 def mix(documents: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, budget: float = BUDGET, seed: int = 17) -> DataFrame:
-    """``documents`` with n_tokens, mix_weight, mix_probability and mix_kept. The targets' names are columns of it."""
+    """``documents`` with n_tokens (as ``with_tokens`` adds it, where it is not there yet), mix_weight, mix_probability and
+    mix_kept. The targets' names are columns of it."""
     spark, names = documents.sparkSession, list(targets)
     size = 1
     for t in targets.values():
@@ -89,7 +90,7 @@ def mix(documents: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, bu
     def category(name):
         return F.when(F.col(name).cast("string").isin(*targets[name]), F.col(name).cast("string")).otherwise(F.lit(OTHER)).alias(f"cell_{name}")
 
-    counted = documents.withColumn("n_tokens", F.regexp_count(whole_text(), F.lit(_WORD)).cast("long"))
+    counted = documents if "n_tokens" in documents.columns else with_tokens(documents)
     cells = [f"cell_{n}" for n in names]
     rows = counted.select(*map(category, names), "n_tokens").groupBy(*cells).agg(F.sum("n_tokens").alias("mass")).orderBy(*cells).collect()  # at most MAX_CELLS rows
     levels = [[*t, OTHER] if OTHER not in t else [*t] for t in targets.values()]
@@ -105,13 +106,18 @@ def mix(documents: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, bu
     return joined.drop(*cells).withColumn("mix_kept", draw < F.col("mix_probability"))
 
 
+def with_tokens(documents: DataFrame) -> DataFrame:
+    """``documents`` with n_tokens. Counted before any join, texts need not move for a sum of tokens."""
+    return documents.withColumn("n_tokens", F.regexp_count(whole_text(), F.lit(_WORD)).cast("long"))
+
+
 def with_topic(documents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic of a document: the label of the vector with its id, or 'none'."""
     topics = table(spark, sf_dir, "embeddings").where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("doc_id")).agg(F.min("label").cast("string").alias("topic"))
-    # Texts stay where they are: topics are few next to them, and an id has one.
     return documents.join(topics, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit("none")))
 
 
 def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+    documents = with_tokens(documents).drop("text")
     return mix(with_topic(documents, spark, sf_dir)).select("doc_id", "source", "lang", "topic", "n_tokens", "mix_weight", "mix_probability", "mix_kept")

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.llm.bitplanes import token_files
-from fairlead.llm.common import durable, table
+from fairlead.llm.common import durable, table, whole_text
 from fairlead.llm.decontamination import hits
 from fairlead.llm.jaccard import jaccard_components
-from fairlead.llm.mixing import mix, with_topic
+from fairlead.llm.mixing import mix, with_tokens, with_topic
 from fairlead.llm.quality import score_quality
 
 #: Documents below this quality score go.
@@ -21,29 +21,40 @@ KEEP_FROM = 0.7
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts; empty ones get the sample's share of good labels. Other columns pass through."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     scored = score_quality(docs, labels, score="__quality")
     return scored.where(F.col("__quality") >= KEEP_FROM).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    groups = jaccard_components(docs, words=5, num=80, den=100)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(durable(dropped, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest doc_id. A document is a doc_id with a text:
+    of rows that repeat both one stays, and texts that share a doc_id are judged apart. Rows without doc_id or words stay."""
+    groups = durable(jaccard_components(docs, words=5, num=80, den=100), "groups")
+    named = groups.select(F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key"), "first", "n_shingles")
+    dropped = durable(named.where("not first").select("__near_id", "__near_key").distinct(), "near-copies")
+    keyed = docs.withColumn("__text_key", F.xxhash64(whole_text()))
+    same = (F.col("doc_id").cast("long") == F.col("__near_id")) & (F.col("__text_key") == F.col("__near_key"))
+    kept = keyed.join(dropped, same, "left_anti")
+    rows = named.where("first and n_shingles > 0 and __near_id is not null").groupBy("__near_id", "__near_key").count()
+    repeated = durable(rows.where("count > 1").select("__near_id", "__near_key"), "repeated")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__text_key"])
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage by the contamination rule."""
+    """Documents that hold no benchmark passage by the contamination rule. Rows without doc_id stay."""
     found = hits(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
     return docs.join(durable(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents whose tokens follow the target weights."""
-    topical = with_topic(docs.drop("topic"), spark, sf_dir)
-    return mix(topical).where("mix_kept").select(*docs.columns)
+    """A sample of the documents whose tokens follow the target weights. Rows travel as one value, so a column of theirs
+    may have any name; null texts have no tokens, and null languages and sources are a category of their own."""
+    rows = with_tokens(docs.select(F.struct("*").alias("__doc"), "doc_id", "text", "lang", "source")).drop("text")
+    return mix(with_topic(rows, spark, sf_dir)).where("mix_kept").select("__doc.*")
 
 
 def token_id_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,10 +88,20 @@ def insert_new(updates: DataFrame, table: str, key: str) -> int:
         fresh.unpersist()
 
 
-def dated_documents(events: DataFrame, path: str, time: str = "emitted_at", key: str = "event_id") -> None:
-    """JSON under dt=<UTC day>/, one row for each key; the days at hand are replaced, others stay."""
-    once = events.dropDuplicates([key]).withColumn("dt", F.to_date(time))
-    once.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("dt").json(path)
+def dated_documents(events: DataFrame, path: str, time: str = "emitted_at", key: str = "event_id", batch: str | None = None) -> None:
+    """JSON under dt=<UTC day>/batch=<batch>/, one row for each key. Earlier batches stay as they are, and so do keys that
+    they hold; a batch that is written again replaces itself. ``batch`` names it, or else a digest of its keys does."""
+    spark, once = events.sparkSession, events.dropDuplicates([key]).withColumn("dt", F.to_date(time))
+    if batch is None:
+        seen = once.agg(F.count("*").alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("digest")).first()
+        batch = f"{seen['n']}_{seen['digest'] or 0}".replace("-", "m")
+    try:
+        earlier = spark.read.schema(f"`{key}` {events.schema[key].dataType.simpleString()}, dt date, batch string").json(path)
+        once = once.join(earlier.where(F.col("batch") != batch).select("dt", key), ["dt", key], "left_anti")
+    except AnalysisException:  # nothing is stored yet
+        pass
+    placed = once.withColumn("batch", F.lit(batch))
+    placed.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("dt", "batch").json(path)
 
 
 def keyed(df: DataFrame, key: str = "mmsi", time: str = "event_time", parts: int | None = None) -> DataFrame:

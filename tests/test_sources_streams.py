@@ -78,6 +78,19 @@ def test_partitioned_sinks(spark, tmp_path):
     assert spark.table("notes_t").columns == ["k"]
 
 
+def test_dated_documents_keep_earlier_batches(spark, tmp_path):
+    path = str(tmp_path / "dated")
+    event = lambda *keys: spark.createDataFrame([(k, T0, i) for i, k in enumerate(keys)], "event_id string, emitted_at timestamp, v int")
+    stored = lambda: sorted(r.event_id for r in spark.read.json(path).collect())
+    sinks.dated_documents(event("a"), path)
+    sinks.dated_documents(event("b", "a"), path)
+    assert stored() == ["a", "b"]
+    sinks.dated_documents(event("b", "a"), path)  # a replay
+    sinks.dated_documents(event("c"), path, batch="7")
+    sinks.dated_documents(event("c", "d"), path, batch="7")
+    assert stored() == ["a", "b", "c", "d"]
+
+
 def batches(spark, tmp_path, name, rows, schema, per_file=1):
     """Rows as files that a stream reads one at a time."""
     path = tmp_path / name

@@ -51,7 +51,7 @@ def feistel(number: Column, high: Column, low: Column, key: str, tag: Column) ->
     step = lambda s, i: F.when(
         i % 2 == 0, F.struct(F.pmod(s["a"] + _digest(key, tag, i, s["b"]), high).alias("a"), s["b"].alias("b"))
     ).otherwise(F.struct(s["a"].alias("a"), F.pmod(s["b"] + _digest(key, tag, i, s["a"]), low).alias("b")))
-    start = F.struct(F.floor(number / low).cast("long").alias("a"), F.pmod(number, low).alias("b"))
+    start = F.struct(F.call_function("div", number, low).cast("long").alias("a"), F.pmod(number, low).cast("long").alias("b"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["a"] * low + s["b"])
 
 

@@ -27,7 +27,7 @@ def work_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, which a cluster must name. A local session without it
     uses its warehouse, since its driver and executors are one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local["):
+    if not base and (spark.sparkContext.master + "[").startswith("local["):
         base = spark.conf.get("spark.sql.warehouse.dir")
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

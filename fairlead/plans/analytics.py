@@ -322,9 +322,9 @@ def _messages(spark, sf_dir):
 
 
 def contract_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = contracts.positions(_messages(spark, sf_dir))
-    counted = contracts.reject_records(bad, "PositionReport").select(F.get_json_object("value", "$.reason").alias("reason"))
-    return good.select(F.lit("valid").alias("reason")).unionByName(counted).groupBy("reason").agg(F.count("*").alias("messages"))
+    checked = contracts.checked_positions(_messages(spark, sf_dir))
+    rejected = F.get_json_object(F.when(F.size("reasons") > 0, contracts.reject_value("PositionReport")), "$.reason")
+    return checked.groupBy(F.coalesce(rejected, F.lit("valid")).alias("reason")).agg(F.count("*").alias("messages"))
 
 
 def contract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

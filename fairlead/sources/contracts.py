@@ -39,9 +39,17 @@ def contract_schema(contract: dict, technical: bool = False) -> T.StructType:
     return T.StructType(fields + (list(TECHNICAL) if technical else []))
 
 
+def computed_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df.select(*columns)`` whose expressions are not copied into later filters and fields: they pass through a
+    generator of one row, which the optimizer does not push expressions across."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
-    """``raw`` text kept, and its parsed envelope as ``m``; text that does not parse has a null envelope."""
-    return raw.select(F.col(column).cast("string").alias("raw"), F.from_json(F.col(column).cast("string"), ENVELOPE).alias("m"))
+    """``raw`` text kept, and its parsed envelope as ``m``; text that does not parse has a null envelope. Each message is
+    parsed once, however many fields are read later."""
+    text = F.col(column).cast("string")
+    return computed_once(raw, text.alias("raw"), F.from_json(text, ENVELOPE).alias("m"))
 
 
 def route(messages: DataFrame, kind: str) -> DataFrame:
@@ -49,23 +57,53 @@ def route(messages: DataFrame, kind: str) -> DataFrame:
     return messages.where(F.col("m.MessageType") == kind)
 
 
-def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): a row is rejected, with ``reasons``, by each rule that does not hold; a null test does not hold."""
+def marked(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Each row with ``reasons``: the rules that do not hold; a null test does not hold."""
     failed = F.filter(F.array(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]), lambda x: x.isNotNull())
-    marked = df.withColumn("reasons", failed)
-    return marked.where(F.size("reasons") == 0).drop("reasons"), marked.where(F.size("reasons") > 0)
+    return computed_once(df, *df.columns, failed.alias("reasons"))
 
 
-def positions(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Position contract. The envelope's vessel number counts before the report's."""
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) of marked rows; the rejected keep their reasons."""
+    return rows.where(F.size("reasons") == 0).drop("reasons"), rows.where(F.size("reasons") > 0)
+
+
+def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected): a row is rejected, with ``reasons``, by each rule that does not hold. To read the input once for
+    both, write or count the rows of ``marked`` instead."""
+    return split(marked(df, rules))
+
+
+def checked_positions(messages: DataFrame) -> DataFrame:
+    """Position contract, all rows with their ``raw`` text and ``reasons``. The envelope's vessel number counts before the
+    report's."""
     r = F.col("m.Message.PositionReport")
     mmsi = F.when(F.col("m.MetaData.MMSI") != 0, F.col("m.MetaData.MMSI"))
-    out = route(messages, "PositionReport").select(
-        "raw", F.coalesce(mmsi, r["UserID"], F.lit(0).cast("long")).alias("mmsi"), iso_utc(vendor_time(F.col("m.MetaData.time_utc"))).alias("timestamp"), r["Latitude"].alias("lat"), r["Longitude"].alias("lon"), r["Sog"].alias("speed"), r["Cog"].alias("cog"),
-        r["TrueHeading"].alias("heading"), r["NavigationalStatus"].alias("nav_status"),
-    )
-    rules = {"mmsi": F.col("mmsi") > 0, "timestamp": F.col("timestamp").isNotNull(), "lat": F.col("lat").between(-90, 90), "lon": F.col("lon").between(-180, 180), "speed": F.col("speed") >= 0}
-    good, bad = quarantine(out, rules)
+    out = computed_once(
+        route(messages, "PositionReport"),
+        F.col("raw"),
+        F.coalesce(mmsi, r["UserID"], F.lit(0).cast("long")).alias("mmsi"),
+        vendor_time(F.col("m.MetaData.time_utc")).alias("timestamp"),
+        r["Latitude"].alias("lat"),
+        r["Longitude"].alias("lon"),
+        r["Sog"].alias("speed"),
+        r["Cog"].alias("cog"),
+        r["TrueHeading"].alias("heading"),
+        r["NavigationalStatus"].alias("nav_status"),
+    )
+    rules = {
+        "mmsi": F.col("mmsi") > 0,
+        "timestamp": F.col("timestamp").isNotNull(),
+        "lat": F.col("lat").between(-90, 90),
+        "lon": F.col("lon").between(-180, 180),
+        "speed": F.col("speed") >= 0,
+    }
+    return marked(out.withColumn("timestamp", iso_utc("timestamp")), rules)
+
+
+def positions(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) of the position contract."""
+    good, bad = split(checked_positions(messages))
     return good.drop("raw"), bad
 
 
@@ -83,10 +121,13 @@ def static_data(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.drop("raw"), bad
 
 
+def reject_value(kind: str) -> Column:
+    return F.to_json(F.struct(F.concat_ws(",", "reasons").alias("reason"), F.lit(kind).alias("message_type"), "raw"))
+
+
 def reject_records(rejected: DataFrame, kind: str) -> DataFrame:
     """key and JSON value of each rejected message: its reason, its type and its text."""
-    value = F.to_json(F.struct(F.concat_ws(",", "reasons").alias("reason"), F.lit(kind).alias("message_type"), "raw"))
-    return rejected.select(F.when(F.col("mmsi") > 0, F.col("mmsi").cast("string")).alias("key"), value.alias("value"))
+    return rejected.select(F.when(F.col("mmsi") > 0, F.col("mmsi").cast("string")).alias("key"), reject_value(kind).alias("value"))
 
 
 def message_counts(messages: DataFrame) -> DataFrame:

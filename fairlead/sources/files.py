@@ -59,11 +59,13 @@ def require_tables(spark: SparkSession, *names: str) -> list[DataFrame]:
 def joined_objects(spark: SparkSession, path: str, schema: T.StructType, first: int = 0, most: int | None = None) -> DataFrame:
     """Files of JSON objects that simply follow one another, as rows ``idx`` and ``o`` in their order of each file.
 
-    Objects are parted at a closing brace followed by an opening one with only white space between; inside a JSON text
-    such a sequence needs a comma or a quotation mark around it.
+    Objects are parted at a closing brace followed by an opening one with only white space between, outside of strings; a
+    file is cut into strings, such gaps and what is between them, and only the gaps are changed.
     """
     text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    parts = F.split(F.trim(F.regexp_replace("value", r"\}\s*\{", "}\u001e{")), "\u001e")
+    pieces = F.regexp_extract_all("value", F.lit(r'"(?:[^"\\]++|\\.)*+"|\}\s*+\{|[^"}]++|[}"]'), F.lit(0))
+    cut = F.transform(pieces, lambda x: F.when(F.startswith(x, F.lit("}")) & F.endswith(x, F.lit("{")), "}\u001e{").otherwise(x))
+    parts = F.split(F.trim(F.array_join(cut, "")), "\u001e")
     rows = text.select("file", F.posexplode(parts).alias("idx", "body")).where("trim(body) <> ''")
     rows = rows.where(F.col("idx") >= first)
     if most is not None:

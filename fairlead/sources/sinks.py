@@ -16,11 +16,17 @@ def daily_files(stream: DataFrame, path: str, checkpoint: str, day: str = "_dt")
     return stream.writeStream.partitionBy(day).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def compact_day(spark: SparkSession, path: str, day_column: str, files: int = 1) -> None:
-    """Rewrites each day's folder into ``files`` files; only the days at hand are replaced."""
-    days = spark.read.parquet(path)
-    work = days.repartition(files, day_column) if files == 1 else days.repartition(days.select(day_column).distinct().count() * files, day_column, F.rand(7))
-    work.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(day_column).parquet(path + ".compacted")
+def compact_day(spark: SparkSession, path: str, day_column: str, files: int = 1, days: list[str] | None = None) -> None:
+    """Rewrites each day's folder (or those of ``days``) in place, into about ``files`` files. The new files are whole in
+    ``<path>.compacted`` before a day is replaced, so a run that is cut short loses nothing and may be repeated."""
+    rows = spark.read.parquet(path)
+    if days is not None:
+        rows = rows.where(F.col(day_column).cast("string").isin(*days))
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = [F.col(day_column)] + ([F.floor(F.rand(7) * files)] if files > 1 else [])
+    rows.repartition(shuffles, *spread).write.mode("overwrite").partitionBy(day_column).parquet(path + ".compacted")
+    again = spark.read.schema(rows.schema).parquet(path + ".compacted").repartition(shuffles, *spread)
+    again.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(day_column).parquet(path)
 
 
 def fan_out(stream: DataFrame, writers: list[Callable[[DataFrame, int], None]], checkpoint: str):
@@ -57,16 +63,26 @@ def append_stream(stream: DataFrame, table: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).toTable(table)
 
 
+def _recover(spark: SparkSession, table: str) -> None:
+    """Ends a swap that was cut short: without the table, the rows it held come back under its name."""
+    if not spark.catalog.tableExists(table) and spark.catalog.tableExists(f"{table}__previous"):
+        spark.sql(f"ALTER TABLE {table}__previous RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {table}__previous")
+
+
 def _swap(spark: SparkSession, df: DataFrame, table: str) -> None:
-    # The new contents are complete before the old table goes.
+    # The new contents are complete before the old table steps aside, and it goes only once they stand in its place.
     df.write.mode("overwrite").format("parquet").saveAsTable(f"{table}__next")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {table}__previous")
     spark.sql(f"ALTER TABLE {table}__next RENAME TO {table}")
+    spark.sql(f"DROP TABLE {table}__previous")
 
 
 def upsert_table(updates: DataFrame, table: str, key: str) -> None:
-    """Replaces rows by key and adds new ones; ``loaded_at`` is the time of the call."""
+    """Replaces rows by key and adds new ones; ``loaded_at`` is the time of the call. A call that was cut short leaves the
+    old rows or the new ones, and the next call goes on from there."""
     spark, stamped = updates.sparkSession, updates.withColumn("loaded_at", F.current_timestamp())
+    _recover(spark, table)
     if not spark.catalog.tableExists(table):
         stamped.dropDuplicates([key]).write.format("parquet").saveAsTable(table)
     else:

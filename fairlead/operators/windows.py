@@ -66,3 +66,26 @@ def first_known(df: DataFrame, keys: list[str], time: str, columns: list[str]) -
 def without_repeats(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row of each key: the last in ``order``; deterministic, unlike dropDuplicates."""
     return latest_per_key(df, keys, order)
+
+
+def any_flagged(df: DataFrame, keys: list[str], flag: Column) -> DataFrame:
+    """Of each key whether any of its rows is flagged; a null flag is none."""
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_or(flag), F.lit(False)).alias("any_flagged"))
+
+
+def longest_wait_first(df: DataFrame, wait: str, tiebreak: str) -> DataFrame:
+    """Longest wait first, unknown waits last; ties by ``tiebreak``, so that the order is the same in every run."""
+    return df.orderBy(F.desc_nulls_last(wait), tiebreak)
+
+
+def by_priority(df: DataFrame, column: str, first: list, then: str, tiebreak: str) -> DataFrame:
+    """Rows whose ``column`` is in ``first``, in that order, before all others; within each the largest ``then`` first."""
+    place = F.lit(len(first))
+    for i, value in reversed(list(enumerate(first))):
+        place = F.when(F.col(column) == value, i).otherwise(place)
+    return df.orderBy(place, F.desc_nulls_last(then), tiebreak)
+
+
+def in_session_order(df: DataFrame, session: str, time: str, tiebreak: str) -> DataFrame:
+    """A session's rows together, oldest first."""
+    return df.orderBy(session, time, tiebreak)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fairlead.functions import text as tx
 from fairlead.functions import voyage as vy
 from fairlead.operators import joins, models, portcalls, queueing, recommendations, registers, routes, windows
-from fairlead.sources import contracts, files
+from fairlead.sources import contracts, files, silver
 
 from .proxies import FIXES_SQL, bearing_sql, fixes, gc_sql, hav_sql, table
 
@@ -54,6 +54,16 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.sum("port_calls").alias("port_calls"))
 
 
+def longest_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = portcalls.eligible(_waits(spark, sf_dir)).select("o_orderkey", "destination_port_code", "wait_hours")
+    return windows.longest_wait_first(calls, "wait_hours", "o_orderkey")
+
+
+def calls_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = portcalls.eligible(_waits(spark, sf_dir)).select("o_orderkey", "ship_category", "wait_hours")
+    return windows.by_priority(calls, "ship_category", ["F"], "wait_hours", "o_orderkey")
+
+
 # --- queues ------------------------------------------------------------------------------------------------------------
 def _vessels(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -270,6 +280,17 @@ def session_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.assign_session(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", 24).select("event_id", "session_id")
 
 
+def session_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    placed = windows.assign_session(e, ["user_id", "event_type"], "ts", "event_id", 24)
+    return windows.in_session_order(placed.select("session_id", "ts", "event_id"), "session_id", "ts", "event_id")
+
+
+def any_critical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return windows.any_flagged(e, ["user_id"], (F.col("event_type") == "purchase") & (F.col("value") > 50))
+
+
 def session_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = windows.assign_session(table(spark, sf_dir, "events").withColumn("delta", F.col("value") - 50), ["user_id", "event_type"], "ts", "event_id", 24)
     return windows.session_evolution(s, "session_id", "ts", "delta").select("session_id", F.round("first_value", 6).alias("first_value"), F.round("last_value", 6).alias("last_value"), F.round(F.col("minutes") * 60).cast("long").alias("seconds"), "events", "regime_changed")
@@ -327,6 +348,33 @@ def contract_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy(F.coalesce(rejected, F.lit("valid")).alias("reason")).agg(F.count("*").alias("messages"))
 
 
+def silver_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that pass the row checks, by day of their file; every seventh has no vessel, every ninth no place."""
+    k = F.col("event_id")
+    bronze = table(spark, sf_dir, "events").select(
+        F.when(k % 7 != 0, F.col("user_id")).alias("mmsi"),
+        F.when(k % 11 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
+        F.when(k % 9 == 1, 120.0).otherwise(36.0).alias("lat"),
+        F.lit(1.5).alias("lon"),
+        F.when(k % 5 != 0, F.col("value")).alias("speed"),
+        F.lit(180.0).alias("cog"),
+        F.lit(511).alias("heading"),
+        F.lit(0).alias("nav_status"),
+        F.col("event_type").alias("correlation_id"),
+        F.col("ts").cast("timestamp").alias("_kafka_ingestion_time"),
+        (k % 16).alias("_kafka_partition"),
+        F.floor(k / 16).alias("_kafka_offset"),
+        F.lit(1).alias("_schema_version"),
+        F.concat(F.lit("/bronze/_dt="), F.date_format("ts", "yyyy-MM-dd"), F.lit("/part-0")).alias("source_file"),
+    )
+    sound = silver.silver_positions(bronze, "2024-01-10")
+    return sound.groupBy(F.col("bronze_partition_date").alias("day")).agg(
+        F.count("*").alias("positions"),
+        F.count("speed_over_ground_knots").alias("with_speed"),
+        F.countDistinct("mmsi").alias("vessels"),
+    )
+
+
 def contract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.positions(_messages(spark, sf_dir))[0].groupBy("mmsi", F.substring("timestamp", 1, 10).alias("day"), F.substring("timestamp", 20, 13).alias("tail")).agg(F.count("*").alias("messages"), F.round(F.sum("speed"), 4).alias("speed"))
 
@@ -406,7 +454,7 @@ QUERIES = {
     for f in (
         waiting_stats, waiting_stats_by_type, label_vs_median, reconciliation, queue_wait, subject_merge, carbon_intensity, kwon_loss, jit_speed, route_losses, signals, admission, savings, route_cumulative, route_legs, position_along_route, nearest_time, route_weather,
         latest_per_key, topk_recent, latest_rows, session_assign, session_evolution, upsert, insert_ignore, lookup_join, message_dedup, keyed_zip, contract_split, contract_rows, message_counts, props_extract, text_cleaning, coverage_report, feature_profile, profile, register_derivation,
-        feature_screen, grouped_cv, confusion,
+        feature_screen, grouped_cv, confusion, longest_waits, calls_by_priority, session_order, any_critical, silver_days,
     )
 }
 _EVENT_KIND = "CASE WHEN event_type = 'view' THEN 'Other' ELSE 'PositionReport' END"
@@ -448,4 +496,9 @@ SQL = {
     "profile": "SELECT count(*) AS rows, count(DISTINCT user_id) AS entities, min(ts) AS first, max(ts) AS last FROM events",
     "register_derivation": _REGISTER_SQL,
     "confusion": _CONFUSION_SQL,
+    "longest_waits": f"WITH {_WAITS_SQL} SELECT o_orderkey, destination_port_code, wait_hours FROM waits WHERE wait_hours >= 0 ORDER BY wait_hours DESC, o_orderkey",
+    "calls_by_priority": f"WITH {_WAITS_SQL} SELECT o_orderkey, ship_category, wait_hours FROM waits WHERE wait_hours >= 0 ORDER BY CASE WHEN ship_category = 'F' THEN 0 ELSE 1 END, wait_hours DESC, o_orderkey",
+    "session_order": f"WITH {_SESSION_SQL} SELECT session_id, ts, event_id FROM t ORDER BY session_id, ts, event_id",
+    "any_critical": "SELECT user_id, coalesce(bool_or(event_type = 'purchase' AND value > 50), false) AS any_flagged FROM events GROUP BY user_id",
+    "silver_days": "SELECT CAST(ts AS DATE) AS day, count(*) AS positions, count(CASE WHEN event_id % 5 <> 0 THEN value END) AS with_speed, count(DISTINCT user_id) AS vessels FROM events WHERE event_id % 7 <> 0 AND user_id IS NOT NULL AND event_id % 9 <> 1 AND event_id % 11 <> 0 AND event_type IS NOT NULL AND ts >= TIMESTAMP '2024-01-10' AND (event_id % 5 = 0 OR value IS NULL OR value >= 0) GROUP BY 1",
 }

@@ -60,3 +60,14 @@ def test_zip_of_unequal_series_is_null(spark):
     d = spark.createDataFrame([([1, 2], [3, 4]), ([1], [2, 3])], "a array<int>, b array<int>")
     got = [r[0] for r in d.select(joins.zip_series("a", "b")).collect()]
     assert [tuple(x) for x in got[0]] == [(1, 3), (2, 4)] and got[1] is None
+
+
+def test_orderings_and_flags(spark):
+    d = spark.createDataFrame([(1, "JIT", 2.0, None), (2, "NO_JIT", None, True), (3, "NO_JIT", 1.0, False), (4, "JIT", 2.0, False), (5, None, 9.0, None)], "id int, kind string, wait double, bad boolean")
+    ids = lambda x: [r.id for r in x.collect()]
+    assert ids(windows.longest_wait_first(d, "wait", "id")) == [5, 1, 4, 3, 2]
+    assert ids(windows.by_priority(d, "kind", ["NO_JIT"], "wait", "id")) == [3, 2, 5, 1, 4]
+    assert ids(windows.in_session_order(d, "kind", "wait", "id")) == [5, 1, 4, 2, 3]
+    flags = {r.kind: r.any_flagged for r in windows.any_flagged(d, ["kind"], F.col("bad")).collect()}
+    assert flags == {"JIT": False, "NO_JIT": True, None: False}
+    assert windows.any_flagged(d.limit(0), ["kind"], F.col("bad")).count() == 0

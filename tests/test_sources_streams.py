@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlead.operators import tracks
-from fairlead.sources import contracts, files, sinks
+from fairlead.sources import contracts, files, silver, sinks
 from fairlead.streaming import tracks as streams
 
 T0 = datetime(2024, 1, 1)
@@ -161,3 +161,16 @@ def test_fan_out(spark, tmp_path):
     seen = []
     sinks.fan_out(src, [lambda b, n: seen.append(b.count()), lambda b, n: seen.append(b.where("id > 1").count())], str(tmp_path / "ckfan")).awaitTermination()
     assert seen == [2, 1]
+
+
+def test_silver_tables(spark):
+    names = "mmsi long, name string, callsign string, destination string, imo long, ship_type int, length_m int, beam_m int, draught_m double, eta string, timestamp string, lat double, lon double, speed double, cog double, heading int, nav_status int"
+    technical = "correlation_id string, _kafka_ingestion_time timestamp, _kafka_partition long, _kafka_offset long, _schema_version long, source_file string"
+    row = lambda offset, **kw: {"mmsi": 1, "name": " A ", "callsign": " ", "destination": "es-alg", "timestamp": "2024-02-01T10:00:00+00:00", "lat": 36.0, "lon": -5.0, "correlation_id": "c", "_kafka_partition": 0, "_kafka_offset": offset, "source_file": "/b/_dt=2024-02-01/f"} | kw
+    rows = [row(1), row(1), row(2, speed=-1.0), row(3, lat=None), row(4, timestamp="soon"), row(5, mmsi=None), row(6, source_file="/b/_dt=2023-12-31/f"), row(7, source_file="/b/f"), row(8, speed=0.0)]
+    d = spark.createDataFrame(rows, f"{names}, {technical}")
+    got = silver.silver_positions(d, "2024-01-01").collect()
+    assert sorted(r.kafka_offset for r in got) == [1, 8] and {str(r.event_date) for r in got} == {"2024-02-01"}
+    s = {r.kafka_offset: r for r in silver.silver_static(d, "2024-01-01").collect()}
+    assert sorted(s) == [1, 2, 3, 4, 8] and (s[1].vessel_name, s[1].call_sign, s[1].destination_clean) == ("A", None, "ESALG")
+    assert silver.silver_positions(d.limit(0), "2024-01-01").count() == 0

@@ -23,8 +23,10 @@ from .common import durable, table, whole_text
 WINDOW = 13
 #: Indexed terms of each window: those in the fewest test items.
 INDEXED = 3
-#: A table of at most so many rows may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A table of at most so many bytes may be broadcast, counting its values and ROW_BYTES for each row; larger ones are
+#: joined by a shuffle.
+BROADCAST_BYTES = 64_000_000
+ROW_BYTES = 100
 
 # The capitals that are folded, and what is no word.
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,9 +38,10 @@ def words_of(text):
     return F.regexp_extract_all(F.translate(text, _CAPITALS, _SMALL), F.lit(_WORD), F.lit(0))
 
 
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (stored), marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (stored), marked for broadcast if it is small in bytes."""
+    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + ROW_BYTES)).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 class PositionalIndex:
@@ -86,7 +89,7 @@ class PositionalIndex:
 
     def phrase_matches(self) -> DataFrame:
         """(key, item_id, start, length): every exact occurrence of a window."""
-        candidates = durable(self.aligned().join(F.broadcast(self.windows) if self.windows.count() <= BROADCAST_ROWS else self.windows, "window_id").select("key", "item_id", "start", "phrase"), "candidates")
+        candidates = durable(self.aligned().join(_small(self.windows), "window_id").select("key", "item_id", "start", "phrase"), "candidates")
         keys = durable(candidates.select("key").distinct(), "candidate-keys")
         texts = self.documents.where("doc_id is not null").join(_small(keys), "key", "left_semi").dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("words"))
         # Word by word: the window starts at 0 or later, and a slice past the end is shorter.

@@ -314,7 +314,7 @@ def test_components(spark):
 
 
 # --- 10 ----------------------------------------------------------------------------------------------------------------
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     long = " ".join(word(i) for i in range(30))
     items = spark.createDataFrame([(1, long), (2, "Short item, Here!"), (3, None), (4, "..."), (None, "x y"), (5, "the the the"), (10, long)], "item_id long, text string")
     texts = ["so " + long.upper() + " end", long[40:130], "short ITEM here and " + "pad " * 60, "short item", "the the the the", "", None, "Ünï " + " ".join(word(i) for i in range(9, 22))]
@@ -336,6 +336,9 @@ def test_decontamination(spark):
         r = out[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(w)), i
     assert out[None].n_hit == 0 and len(out) == 9
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)  # the same by shuffle joins
+    assert {r.doc_id: r for r in decontamination.hits(docs(spark, texts), items).collect()} == out
+    monkeypatch.undo()
     assert decontamination.hits(docs(spark, texts).limit(0), items).count() == 0
     assert decontamination.hits(docs(spark, texts), items.limit(0)).where("n_hit > 0").count() == 0
 

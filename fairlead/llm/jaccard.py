@@ -178,8 +178,8 @@ class JaccardJoin:
 
         counted = seen.where("n < 0").select("range", "steps", "counts")
         common, shared = (np.zeros((1 << COMMON_BITS) // 8, np.uint8) for _ in range(2))
-        # As many rows as ranges, and bitmaps of fixed size in all.
-        for k, a, b in counted.groupBy("range").applyInPandas(mark, "range int, common binary, shared binary").toLocalIterator():
+        # As many rows as ranges, and bitmaps of fixed size in all: 32 MB at most, packed.
+        for k, a, b in counted.groupBy("range").applyInPandas(mark, "range int, common binary, shared binary").collect():
             common[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(a), np.uint8)
             shared[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(b), np.uint8)
         return self.spark.sparkContext.broadcast((common, shared))
@@ -211,20 +211,22 @@ class JaccardJoin:
         found = scanned.mapInArrow(run, schema).dropDuplicates(["rep", "signature"])
         return found.join(wanted, ["rep", "signature"]).select("node", "n", "head", "tail")
 
-    def _hot(self, pairs: DataFrame, side: str) -> DataFrame:
-        """(side, parts): sets that very many pairs want, fewer than BROADCAST_ROWS, and over how many copies to deal them."""
+    def _hot(self, pairs: DataFrame) -> DataFrame:
+        """(side, node, parts): sets that very many pairs want, fewer than 2 x BROADCAST_ROWS, and over how many copies to
+        deal them."""
         together = max(PAIRS_TOGETHER, -(-pairs.count() // BROADCAST_ROWS))
-        counted = pairs.groupBy(side).agg(F.ceil(F.count("*") / together).alias("parts"))
-        return F.broadcast(durable(counted.where("parts > 1"), "hot"))
+        ends = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("node")), F.struct(F.lit("b").alias("side"), F.col("b").alias("node"))))
+        counted = pairs.select(ends.alias("end")).groupBy("end").agg(F.ceil(F.count("*") / together).alias("parts"))
+        return durable(counted.where("parts > 1").select("end.side", "end.node", "parts"), "hot")
 
     def _counted(self, pairs: DataFrame, sets: DataFrame, members: str) -> DataFrame:
         """``pairs`` (a, b, floor, common) with the common ``members`` of both sets added to ``common``, and met_a, met_b
         (members), size_a, size_b. Hot sets are copied and their pairs dealt over the copies."""
         schema = "a long, b long, floor double, common long, met_a long, met_b long, size_a long, size_b long"
         last = F.coalesce("parts", F.lit(1)) - 1
-        met = pairs
+        met, all_hot = pairs, self._hot(pairs)
         for side in ("a", "b"):
-            hot = self._hot(pairs, side)
+            hot = F.broadcast(all_hot.where(F.col("side") == side).select(F.col("node").alias(side), "parts"))
             held = sets.select(F.col("node").alias(side), F.col("n").alias(f"size_{side}"), F.col(members).alias(f"set_{side}")).join(hot, side, "left")
             held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
             dealt = met.join(hot, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), last + 1)).drop("parts")
@@ -247,6 +249,8 @@ class JaccardJoin:
         """(a, b, common, size_a, size_b) of the pairs (a, b, floor) whose similarity is ``floor`` or more, and perhaps of
         some others, counted on whole sets. The heads of the sets rule out most of the rest first."""
         pairs = durable(pairs.select("a", "b", "floor", F.lit(0).cast("long").alias("common")), f"{label}-pairs")
+        if pairs.isEmpty():
+            return self.spark.createDataFrame([], "a long, b long, common long, size_a long, size_b long")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = durable(self._sets_of(nodes), f"{label}-sets")
         most = F.col("common") + F.least(F.col("size_a") - F.col("met_a"), F.col("size_b") - F.col("met_b"))
@@ -352,8 +356,20 @@ class JaccardJoin:
         first = self._compared(best, "likeliest")
         reached = durable(smallest_reachable(starred.select("a", "b").unionByName(first.where(self._linked()).select("a", "b"))), "reached")
         rest = self._apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b", "floor"), reached)
-        between = first.unionByName(self._compared(rest, "between"))
-        return between, durable(smallest_reachable(starred.select("a", "b").unionByName(between.where(self._linked()).select("a", "b"))), "reached")
+        more = self._compared(rest, "between")
+        return first.unionByName(more), self._extended(reached, more.where(self._linked()))
+
+    def _extended(self, reached: DataFrame, links: DataFrame) -> DataFrame:
+        """``reached`` (node, component) with ``links`` (a, b) added: what they join are components, few beside the nodes."""
+        of = lambda side: reached.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        ends = durable(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct(), "joined")
+        if ends.isEmpty():
+            return reached
+        grown = durable(smallest_reachable(ends).select(F.col("node").alias("part"), F.col("component").alias("whole")), "grown")
+        known = reached.join(grown, reached["component"] == grown["part"], "left").select("node", F.coalesce("whole", "component").alias("component"))
+        new = grown.join(reached, grown["part"] == reached["node"], "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("component"))
+        return durable(known.unionByName(new), "reached")
 
     def _apart(self, pairs: DataFrame, reached: DataFrame) -> DataFrame:
         """Pairs whose ends are not known to reach one another."""
@@ -395,11 +411,7 @@ class JaccardJoin:
         met = self._meetings(lists)
         between, reached = self._between(hubs, met, starred)
         members = durable(self._open(hubs, lists, met, between, reached), "members")
-        links = starred.select("a", "b").unionByName(between.where(self._linked()).select("a", "b"))
-        if not members.isEmpty():
-            links = links.unionByName(self._compared(members, "open").where(self._linked()).select("a", "b"))
-
-        reached = smallest_reachable(links)
+        reached = self._extended(reached, self._compared(members, "open").where(self._linked()))
         of_class = self.classes.join(reached, "node", "left").select("signature", "rep", F.coalesce("component", "node").alias("component"))
         of_class = durable(of_class, "components")
         # The first document of a component: the smallest doc_id, then the smallest signature.

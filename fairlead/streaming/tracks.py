@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fairlead.functions.geo import great_circle_nm
-from fairlead.operators.tracks import eta_alerts, eta_candidates, port_inventory, port_summary, unique_inventory
+from fairlead.operators.tracks import dynamic_eta, eta_alerts, eta_candidates, port_inventory, unique_inventory
 
 STATE_DAYS = 30
 LATENESS = "1 minute"
@@ -77,10 +77,12 @@ def windowed_summary(resolved: DataFrame, minutes: int = 1, lateness: str = LATE
     return again.agg(congested.alias("congested_count"), listed("ATRACADO").alias("atracados_json"), listed("FONDEADO").alias("fondeados_json"), listed("EN_CAMINO").alias("en_camino_json"))
 
 
-def alerts_of_batch(batch: DataFrame, minutes: int = 1) -> DataFrame:
-    """The alert payloads of one micro-batch (or table) of resolved positions, for ``foreachBatch``."""
-    inventory = port_inventory(batch)
-    return eta_alerts(eta_candidates(inventory, minutes), port_summary(unique_inventory(inventory, minutes)))
+def windowed_alerts(resolved: DataFrame, minutes: int = 1, lateness: str = LATENESS) -> DataFrame:
+    """The alert payloads of a stream of resolved positions, append only: each moving vessel's first fix of a window met
+    with the port's summary of the same window. Windows close with the watermark, so one that spans micro-batches is
+    counted whole and alerts once. Late rows beyond ``lateness`` and rows without time take no part."""
+    candidates = eta_candidates(dynamic_eta(resolved.withWatermark("event_time", lateness)), minutes)
+    return eta_alerts(candidates, windowed_summary(resolved, minutes, lateness))
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append"):

@@ -174,3 +174,21 @@ def test_silver_tables(spark):
     s = {r.kafka_offset: r for r in silver.silver_static(d, "2024-01-01").collect()}
     assert sorted(s) == [1, 2, 3, 4, 8] and (s[1].vessel_name, s[1].call_sign, s[1].destination_clean) == ("A", None, "ESALG")
     assert silver.silver_positions(d.limit(0), "2024-01-01").count() == 0
+
+
+def test_alerts_of_a_window_over_two_batches_equal_the_table(spark, tmp_path):
+    schema = "mmsi long, correlation_id string, event_time timestamp, lat double, lon double, speed double, nav_status int"
+    moored = lambda n, s: (n, f"m{n}-{s}", T0 + timedelta(seconds=s), 36.13, -5.42, 0.0, 5)
+    inbound = lambda s: (99, f"i{s}", T0 + timedelta(seconds=s), 36.13, -5.2, 12.0, 0)
+    # Each batch alone holds half of the moored vessels.
+    half = 3
+    rows = [[moored(n, 5) for n in range(half)] + [inbound(10)], [moored(n, 30) for n in range(half - 1, 2 * half)] + [inbound(40)], [inbound(86_400 * 3)]]
+    port = {"port_name": F.lit("ALGECIRAS"), "port_lat": F.lit(36.12972), "port_lon": F.lit(-5.42278), "port_radius_nm": F.lit(5.0), "length_m": F.lit(100), "ship_type": F.lit(70)}
+    stream = batches(spark, tmp_path, "alerts", rows, schema).withColumns(port)
+    streams.drain(streams.windowed_alerts(stream).select("correlation_id", "congested_count", "payload_json"), "alerts_t", str(tmp_path / "cka"))
+    table = spark.read.parquet(str(tmp_path / "alerts")).withColumns(port)
+    inventory = tracks.unique_inventory(tracks.port_inventory(table), 1)
+    want = tracks.eta_alerts(tracks.eta_candidates(tracks.dynamic_eta(table), 1), tracks.port_summary(inventory))
+    want = [tuple(r) for r in want.select("correlation_id", "congested_count", "payload_json").collect()]
+    assert len(want) == 1 and want[0][:2] == ("i10", 2 * half)
+    assert [tuple(r) for r in spark.table("alerts_t").collect()] == want

@@ -66,6 +66,7 @@ _ARROW = {
     "boolean": pa.bool_(),
     "array<int>": pa.list_(pa.int32()),
     "array<long>": pa.list_(pa.int64()),
+    "array<struct<start:long,length:long,period:long>>": pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])),
     "array<struct<first:int,past:int,probability:double>>": pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32()), ("probability", pa.float64())])),
 }
 

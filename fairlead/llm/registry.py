@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decontamination, htmltext, jaccard, linededup, mixing, pseudonyms, quality, topk, toxicity
+from . import bitplanes, decontamination, htmltext, jaccard, linededup, mixing, periodic, pieces, pseudonyms, quality, spelling, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_line_chunks": linededup.op8_line_chunks,
         "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
         "op10_positional_decontamination": decontamination.op10_positional_decontamination,
+        "op11_piece_codec": pieces.op11_piece_codec,
+        "op12_spelling_groups": spelling.op12_spelling_groups,
+        "op13_periodic_runs": periodic.op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": topk.OP1_SQL}
+    return {"op1_pivot_topk": topk.OP1_SQL, "op12_spelling_groups": spelling.OP12_SQL}

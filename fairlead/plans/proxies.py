@@ -34,24 +34,42 @@ FROM events
 """
 
 
+#: Microseconds of the first instant of the events; their month is told as a fortieth of its length, so that fixes are minutes apart.
+_T0, _SHRINK = 1_704_067_200_000_000, 40
+
+
 def berthing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as few vessels that come and go about one service point each, often enough for stops."""
+    """events as position reports about three service points: a user is a vessel that comes and goes every six hours. It
+    nears its port from the north, waits (a fifth of vessels do not stop for it, and half show no status) and is served (a
+    seventh are not)."""
     e = table(spark, sf_dir, "events")
-    k = F.col("event_id") % 40
-    away = F.when(k < 12, 0.002).when(k < 24, 0.03).when(k < 36, 0.3 - (k - 24) * 0.02).otherwise(1.5)
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("user_id") % 3 + 1).cast("int"))
+    micros = F.expr(f"(unix_micros(cast(ts AS timestamp)) - {_T0}) div {_SHRINK}")
+    e = e.select("event_id", F.col("user_id").alias("mmsi"), F.timestamp_micros(micros + _T0).alias("event_time"), (F.expr(f"(unix_micros(cast(ts AS timestamp)) - {_T0}) div {_SHRINK * 60_000_000}") + F.col("user_id") * 37).alias("m"), pick("ESVLC", "ESALG", "ESBCN").alias("destination_port_code"), pick(39.4457, 36.12972, 41.338).alias("service_lat"), pick(-0.3198, -5.42278, 2.1675).alias("service_lon"))
+    e = e.withColumn("m", F.col("m") % 360)
+    stopped = ((F.col("m") >= 150) & (F.col("m") < 240) & (F.col("mmsi") % 5 != 0)) | (F.col("m") >= 240)
+    served = (F.col("m") >= 240) & (F.col("mmsi") % 7 != 0)
+    away = F.when(F.col("m") < 60, 1.5).when(F.col("m") < 150, 0.3 - (F.col("m") - 60) * 0.003).when(served, 0.002).otherwise(0.03)
+    status = F.when(served, F.when(F.col("mmsi") % 4 != 0, 5)).when(stopped & (F.col("mmsi") % 2 == 0), 1).otherwise(0)
     return e.select(
-        F.col("event_id"), (F.col("user_id") * 0 + F.col("event_id") % 2).alias("mmsi"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("event_id") * 4).cast("int"))).cast("timestamp").alias("event_time"),
-        (F.lit(39.4457) + away).alias("lat"), F.lit(-0.3198).alias("lon"), F.when(k < 24, (F.col("event_id") * 11 % 3) / 20.0).otherwise(8.0).alias("speed"), F.lit(180.0).alias("cog"), F.lit(None).cast("int").alias("heading"),
-        F.when(k < 12, 5).when(k < 20, 1).otherwise(0).alias("nav_status"), F.lit("ESVLC").alias("destination_port_code"), F.lit(39.4457).alias("service_lat"), F.lit(-0.3198).alias("service_lon"),
+        "event_id", "mmsi", "event_time", (F.col("service_lat") + away).alias("lat"), F.col("service_lon").alias("lon"),
+        F.when(stopped & (F.col("event_id") % 11 != 0), (F.col("event_id") * 11 % 3) / 20.0).otherwise(8.0).alias("speed"), F.lit(180.0).alias("cog"), (F.col("event_id") % 360).cast("int").alias("heading"),
+        status.alias("nav_status"), "destination_port_code", "service_lat", "service_lon", F.when(F.col("event_id") % 3 == 0, 9_000_000 + F.col("mmsi")).alias("imo"),
+        F.when(F.col("event_id") % 2 == 0, 60 + F.col("mmsi") % 40).cast("int").alias("ship_type"), (50 + F.col("mmsi") % 400).cast("double").alias("length_m"),
     )
 
 
-BERTHING_SQL = """
-SELECT event_id, user_id * 0 + event_id % 2 AS mmsi, TIMESTAMP '2024-01-01' + to_minutes(CAST(event_id * 4 AS BIGINT)) AS event_time,
-  CAST(39.4457 AS DOUBLE) + CAST(CASE WHEN event_id % 40 < 12 THEN 0.002 WHEN event_id % 40 < 24 THEN 0.03 WHEN event_id % 40 < 36 THEN 0.3 - (event_id % 40 - 24) * 0.02 ELSE 1.5 END AS DOUBLE) AS lat,
-  CAST(-0.3198 AS DOUBLE) AS lon, CAST(CASE WHEN event_id % 40 < 24 THEN (event_id * 11 % 3) / 20.0 ELSE 8.0 END AS DOUBLE) AS speed, CAST(180 AS DOUBLE) AS cog,
-  CASE WHEN event_id % 40 < 12 THEN 5 WHEN event_id % 40 < 20 THEN 1 ELSE 0 END AS nav_status, 'ESVLC' AS destination_port_code, CAST(39.4457 AS DOUBLE) AS service_lat, CAST(-0.3198 AS DOUBLE) AS service_lon
-FROM events
+BERTHING_SQL = f"""
+SELECT event_id, mmsi, event_time, m, destination_port_code, service_lat, service_lon,
+  service_lat + CAST(CASE WHEN m < 60 THEN 1.5 WHEN m < 150 THEN 0.3 - (m - 60) * 0.003 WHEN served THEN 0.002 ELSE 0.03 END AS DOUBLE) AS lat, service_lon AS lon,
+  CAST(CASE WHEN stopped AND event_id % 11 <> 0 THEN (event_id * 11 % 3) / 20.0 ELSE 8.0 END AS DOUBLE) AS speed, CAST(180 AS DOUBLE) AS cog, CAST(event_id % 360 AS INTEGER) AS heading,
+  CASE WHEN served THEN CASE WHEN mmsi % 4 <> 0 THEN 5 END WHEN stopped AND mmsi % 2 = 0 THEN 1 ELSE 0 END AS nav_status,
+  CASE WHEN event_id % 3 = 0 THEN 9000000 + mmsi END AS imo, CASE WHEN event_id % 2 = 0 THEN CAST(60 + mmsi % 40 AS INTEGER) END AS ship_type, CAST(50 + mmsi % 400 AS DOUBLE) AS length_m
+FROM (SELECT *, m >= 240 AND mmsi % 7 <> 0 AS served, (m >= 150 AND m < 240 AND mmsi % 5 <> 0) OR m >= 240 AS stopped FROM (
+  SELECT event_id, user_id AS mmsi, make_timestamp({_T0} + (epoch_us(ts) - {_T0}) // {_SHRINK}) AS event_time, ((epoch_us(ts) - {_T0}) // {_SHRINK * 60_000_000} + user_id * 37) % 360 AS m,
+    CASE user_id % 3 WHEN 0 THEN 'ESVLC' WHEN 1 THEN 'ESALG' ELSE 'ESBCN' END AS destination_port_code,
+    CAST(CASE user_id % 3 WHEN 0 THEN 39.4457 WHEN 1 THEN 36.12972 ELSE 41.338 END AS DOUBLE) AS service_lat,
+    CAST(CASE user_id % 3 WHEN 0 THEN -0.3198 WHEN 1 THEN -5.42278 ELSE 2.1675 END AS DOUBLE) AS service_lon FROM events))
 """
 
 

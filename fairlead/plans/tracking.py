@@ -127,42 +127,59 @@ def call_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("event_id", "call_number", "inside", F.coalesce("approach_signal", F.lit(0)).alias("approach_signal"), F.round("distance_nm", 4).alias("distance_nm"))
 
 
+_K = "mmsi, destination_port_code, call_number"
 _B = f"""
 WITH b AS ({BERTHING_SQL}), d AS (SELECT *, {hav_sql("lat", "lon", "service_lat", "service_lon")} AS distance_nm, {bearing_sql("lat", "lon", "service_lat", "service_lon")} AS brg FROM b),
-l AS (SELECT *, distance_nm <= 25 AS inside, abs((cog - brg + 180 + 360) % 360 - 180) AS course_diff, lag(distance_nm) OVER w - distance_nm AS progress, epoch(event_time) - epoch(lag(event_time) OVER w) AS gap_s, lag(distance_nm <= 25) OVER w AS was FROM d WINDOW w AS (PARTITION BY mmsi, destination_port_code ORDER BY event_time)),
-t AS (SELECT *, CASE WHEN inside AND speed > 1 AND progress >= 0.02 AND course_diff <= 60 THEN 1 ELSE 0 END AS approach_signal, sum(CASE WHEN inside AND (was IS NULL OR NOT was OR gap_s > 43200) THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi, destination_port_code ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS call_number FROM l),
+l AS (SELECT *, distance_nm <= 25 AS inside, floor(epoch(event_time)) AS sec, abs((cog - brg + 180 + 360) % 360 - 180) AS course_diff, lag(distance_nm) OVER w - distance_nm AS progress,
+  floor(epoch(event_time)) - floor(epoch(lag(event_time) OVER w)) AS gap_s, lag(distance_nm <= 25) OVER w AS was FROM d WINDOW w AS (PARTITION BY mmsi, destination_port_code ORDER BY event_time)),
+t AS (SELECT *, CAST(inside AND speed > 1 AND progress >= 0.02 AND course_diff <= 60 AS INTEGER) AS approach_signal,
+  sum(CASE WHEN inside AND (was IS NULL OR NOT was OR gap_s > 43200) THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi, destination_port_code ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS call_number FROM l),
 c AS (SELECT *, speed <= 0.1 AND distance_nm <= 0.5 AND (nav_status IS NULL OR nav_status <> 1) AS sig FROM t WHERE inside AND call_number > 0),
-s1 AS (SELECT *, CASE WHEN sig AND NOT coalesce(lag(sig) OVER w, false) THEN 1 ELSE 0 END AS fresh, CASE WHEN sig AND lead(sig) OVER w AND epoch(lead(event_time) OVER w) - epoch(event_time) BETWEEN 0 AND 1800 THEN epoch(lead(event_time) OVER w) - epoch(event_time) ELSE 0 END AS iv FROM c WINDOW w AS (PARTITION BY mmsi, destination_port_code, call_number ORDER BY event_time)),
-s2 AS (SELECT *, sum(fresh) OVER (PARTITION BY mmsi, destination_port_code, call_number ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS seg FROM s1),
-s3 AS (SELECT mmsi, destination_port_code, call_number, seg, min(event_time) AS service_start, sum(iv) / 60.0 AS minutes, count(*) AS n FROM s2 WHERE sig GROUP BY ALL HAVING sum(iv) / 60.0 >= 10 AND count(*) >= 2),
-service AS (SELECT mmsi, destination_port_code, call_number, min(service_start) AS service_start FROM s3 GROUP BY ALL)
+s1 AS (SELECT *, CASE WHEN sig AND NOT coalesce(lag(sig) OVER w, false) THEN 1 ELSE 0 END AS fresh, CASE WHEN sig AND lead(sig) OVER w AND lead(sec) OVER w - sec BETWEEN 0 AND 1800 THEN lead(sec) OVER w - sec ELSE 0 END AS iv
+  FROM c WINDOW w AS (PARTITION BY {_K} ORDER BY event_time)),
+s2 AS (SELECT *, sum(fresh) OVER (PARTITION BY {_K} ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS seg FROM s1),
+s3 AS (SELECT {_K}, seg, min(event_time) AS service_start, max(event_time) AS service_end, sum(iv) / 3600.0 AS service_hours, avg(distance_nm) AS service_distance_nm, avg(speed) AS service_speed_kn, CAST(max(CASE WHEN nav_status = 5 THEN 1 WHEN nav_status IS NOT NULL THEN 0 END) AS INTEGER) AS service_has_status_5
+  FROM s2 WHERE sig GROUP BY ALL HAVING sum(iv) / 60.0 >= 10 AND count(*) >= 2),
+service AS (SELECT * EXCLUDE (rn, seg) FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY service_start) AS rn FROM s3) WHERE rn = 1)
 """
 _CALLS_SQL = (
     _B
-    + """,
-a0 AS (SELECT c.*, service_start, (distance_nm <= 5 AND speed <= 0.5 AND nav_status = 1) OR (distance_nm > 0.5 AND distance_nm <= 5 AND speed <= 0.5 AND (nav_status IS NULL OR nav_status NOT IN (1, 5))) AS anch
-  FROM c LEFT JOIN service USING (mmsi, destination_port_code, call_number) WHERE service_start IS NULL OR event_time < service_start),
-a1 AS (SELECT *, CASE WHEN anch AND NOT coalesce(lag(anch) OVER w, false) THEN 1 ELSE 0 END AS fr, CASE WHEN anch AND lead(anch) OVER w AND epoch(lead(event_time) OVER w) - epoch(event_time) BETWEEN 0 AND 1800 THEN epoch(lead(event_time) OVER w) - epoch(event_time) ELSE 0 END AS ai FROM a0 WINDOW w AS (PARTITION BY mmsi, destination_port_code, call_number ORDER BY event_time)),
-a2 AS (SELECT *, sum(fr) OVER (PARTITION BY mmsi, destination_port_code, call_number ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS aseg FROM a1),
-a3 AS (SELECT mmsi, destination_port_code, call_number, aseg, min(event_time) AS anchor_start FROM a2 WHERE anch GROUP BY ALL HAVING sum(ai) / 60.0 >= 10 AND count(*) >= 2),
-anchor AS (SELECT mmsi, destination_port_code, call_number, min(anchor_start) AS anchor_start FROM a3 GROUP BY ALL),
-lastfix AS (SELECT mmsi, destination_port_code, call_number, max(event_time) AS last_fix FROM c JOIN service USING (mmsi, destination_port_code, call_number) WHERE event_time < service_start GROUP BY ALL),
-summary AS (SELECT mmsi, destination_port_code, call_number, min(event_time) AS call_start, max(event_time) AS call_end, count(*) AS fixes FROM c GROUP BY ALL),
-calls AS (SELECT *, CASE WHEN service_start IS NULL AND anchor_start IS NULL THEN NULL WHEN service_start IS NULL THEN 'NO_SERVICE' WHEN anchor_start IS NOT NULL THEN 'ANCHOR_TO_SERVICE' WHEN last_fix IS NOT NULL AND (epoch(service_start) - epoch(last_fix)) / 60.0 <= 30 THEN 'DIRECT_TO_SERVICE' ELSE 'UNKNOWN_BEFORE_SERVICE' END AS flow
-  FROM summary LEFT JOIN service USING (mmsi, destination_port_code, call_number) LEFT JOIN anchor USING (mmsi, destination_port_code, call_number) LEFT JOIN lastfix USING (mmsi, destination_port_code, call_number))
+    + f""",
+a0 AS (SELECT c.*, service_start, CASE WHEN distance_nm <= 5 AND speed <= 0.5 AND nav_status = 1 THEN 'STATUS_1' WHEN distance_nm > 0.5 AND distance_nm <= 5 AND speed <= 0.5 AND (nav_status IS NULL OR nav_status NOT IN (1, 5)) THEN 'LOW_SPEED' END AS method,
+  method IS NOT NULL AS anch FROM c LEFT JOIN service USING ({_K}) WHERE service_start IS NULL OR event_time < service_start),
+a1 AS (SELECT *, CASE WHEN anch AND NOT coalesce(lag(anch) OVER w, false) THEN 1 ELSE 0 END AS fr, CASE WHEN anch AND lead(anch) OVER w AND lead(sec) OVER w - sec BETWEEN 0 AND 1800 THEN lead(sec) OVER w - sec ELSE 0 END AS ai
+  FROM a0 WINDOW w AS (PARTITION BY {_K} ORDER BY event_time)),
+a2 AS (SELECT *, sum(fr) OVER (PARTITION BY {_K} ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS aseg FROM a1),
+a3 AS (SELECT {_K}, aseg, min(event_time) AS anchor_start, max(event_time) AS anchor_end, sum(ai) / 3600.0 AS anchor_hours, avg(distance_nm) AS anchor_distance_nm, avg(speed) AS anchor_speed_kn, array_to_string(list_sort(list_distinct(list(method))), '+') AS anchor_method
+  FROM a2 WHERE anch GROUP BY ALL HAVING sum(ai) / 60.0 >= 10 AND count(*) >= 2),
+anchor AS (SELECT * EXCLUDE (rn, aseg) FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY anchor_start) AS rn FROM a3) WHERE rn = 1),
+lastfix AS (SELECT {_K}, max(event_time) AS last_fix FROM c JOIN service USING ({_K}) WHERE event_time < service_start GROUP BY ALL),
+summary AS (SELECT {_K}, min(event_time) AS call_start, max(event_time) AS call_end, count(*) AS fixes, min(distance_nm) AS least, max(distance_nm) AS most, arg_min(imo, event_time) FILTER (imo IS NOT NULL) AS imo,
+  arg_min(ship_type, event_time) FILTER (ship_type IS NOT NULL) AS ship_type, arg_min(length_m, event_time) AS length_m FROM c GROUP BY ALL),
+pre AS (SELECT c.* FROM c LEFT JOIN service USING ({_K}) LEFT JOIN anchor USING ({_K}) WHERE coalesce(anchor_start, service_start) IS NULL OR event_time < coalesce(anchor_start, service_start)),
+approach AS (SELECT {_K}, min(CASE WHEN approach_signal = 1 THEN event_time END) AS approach_start, CAST(max(approach_signal) AS INTEGER) AS has_approach, avg(CASE WHEN approach_signal = 1 THEN speed END) AS approach_speed_kn,
+  avg(CASE WHEN approach_signal = 1 THEN course_diff END) AS approach_course_diff, max(event_time) AS event_time, arg_max(speed, event_time) AS speed, arg_max(cog, event_time) AS cog, arg_max(heading, event_time) AS heading,
+  arg_max(struct_pack(v := nav_status), event_time).v AS nav_status, arg_max(distance_nm, event_time) AS distance_nm FROM pre GROUP BY ALL),
+calls AS (SELECT *, CASE WHEN service_start IS NULL AND anchor_start IS NULL THEN NULL WHEN service_start IS NULL THEN 'NO_SERVICE' WHEN anchor_start IS NOT NULL THEN 'ANCHOR_TO_SERVICE' WHEN last_fix IS NOT NULL AND (floor(epoch(service_start)) - floor(epoch(last_fix))) / 60.0 <= 30 THEN 'DIRECT_TO_SERVICE' ELSE 'UNKNOWN_BEFORE_SERVICE' END AS flow,
+  CASE WHEN imo > 0 THEN 'IMO_' || imo ELSE 'MMSI_' || mmsi END AS vessel_id
+  FROM summary LEFT JOIN service USING ({_K}) LEFT JOIN anchor USING ({_K}) LEFT JOIN lastfix USING ({_K}) LEFT JOIN approach USING ({_K}))
 """
 )
-_WAIT_SQL = "round(CASE WHEN flow = 'ANCHOR_TO_SERVICE' THEN (epoch(service_start) - epoch(anchor_start)) / 3600.0 WHEN flow = 'DIRECT_TO_SERVICE' THEN 0.0 END, 4)"
+_WAIT_SQL = "round(CASE WHEN flow = 'ANCHOR_TO_SERVICE' THEN (floor(epoch(service_start)) - floor(epoch(anchor_start))) / 3600.0 WHEN flow = 'DIRECT_TO_SERVICE' THEN 0.0 END, 4)"
+#: Columns of wait_flow as they are, and the places that others are rounded to (mean speeds are often halves at four).
+_CALL_COLUMNS = [*"mmsi destination_port_code call_start call_end fixes anchor_start anchor_end anchor_method service_start service_end service_has_status_5 flow last_fix approach_start has_approach event_time speed cog heading nav_status vessel_id imo length_m".split()]
+_CALL_ROUNDED = {c: 9 if c.endswith("_kn") else 4 for c in "anchor_hours anchor_distance_nm anchor_speed_kn service_hours service_distance_nm service_speed_kn approach_speed_kn approach_course_diff distance_nm".split()}
 
 
 def first_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = portcalls.approach_track(berthing(spark, sf_dir)).where("inside and call_number > 0")
-    return portcalls.first_service(inside).select("mmsi", "call_number", "service_start")
+    served = portcalls.port_calls(berthing(spark, sf_dir)).where("service_start is not null")
+    return served.select("mmsi", "call_number", "service_start", "service_end", F.round("service_hours", 4).alias("service_hours"))
 
 
 def wait_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = portcalls.quality_gate(portcalls.port_calls(berthing(spark, sf_dir)))
-    return c.select("mmsi", "call_number", "call_start", "call_end", "fixes", "anchor_start", "service_start", "flow", F.round("wait_hours", 4).alias("wait_hours"), "vessel_id", "port_call_id")
+    rounded = _CALL_ROUNDED | dict.fromkeys(["least_distance_nm", "most_distance_nm", "wait_hours", "entry_gap_minutes", "call_hours"], 4)
+    return c.select(*_CALL_COLUMNS, "call_number", "port_call_id", "ship_category", "length_band", *[F.round(c, places).alias(c) for c, places in rounded.items()])
 
 
 def flow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,9 +245,13 @@ SQL = {
     + f"SELECT p_partkey, {_CHOICE_SQL} AS port_name, CASE WHEN c IN ('ESVLC', 'VALENCIA', 'VAL') THEN 'ESVLC' WHEN c IN ('ESBCN', 'BARCELONA', 'BCN') THEN 'ESBCN' WHEN c IN ('ESALG', 'ALGECIRAS', 'ALG') THEN 'ESALG' ELSE '-' END AS exact_code FROM (SELECT *, regexp_replace(upper(destination), '[^A-Z0-9]', '', 'g') AS c FROM d)",
     "destination_by_table": _DEST_SQL + f"SELECT p_partkey, {_CHOICE_SQL} AS port_name FROM d",
     "target_fleet": _DEST_SQL + f"SELECT CAST(p_partkey % 100 AS INTEGER) AS ship_type, count(*) AS vessels FROM d WHERE p_partkey % 100 BETWEEN 70 AND 79 AND {_CHOICE_SQL} <> 'UNKNOWN' GROUP BY 1",
-    "call_sequence": _B + "SELECT event_id, CAST(call_number AS BIGINT) AS call_number, inside, approach_signal, round(distance_nm, 4) AS distance_nm FROM t",
-    "first_service": _B + "SELECT mmsi, CAST(call_number AS BIGINT) AS call_number, service_start FROM service",
-    "wait_flow": _CALLS_SQL + f"SELECT mmsi, CAST(call_number AS BIGINT) AS call_number, call_start, call_end, fixes, anchor_start, service_start, flow, {_WAIT_SQL} AS wait_hours, 'MMSI_' || mmsi AS vessel_id, sha256('MMSI_' || mmsi || '|ESVLC|' || strftime(call_start, '%Y-%m-%d %H:%M:%S.%f')) AS port_call_id FROM calls",
+    "call_sequence": _B + "SELECT event_id, CAST(call_number AS BIGINT) AS call_number, inside, coalesce(approach_signal, 0) AS approach_signal, round(distance_nm, 4) AS distance_nm FROM t",
+    "first_service": _B + "SELECT mmsi, CAST(call_number AS BIGINT) AS call_number, service_start, service_end, round(service_hours, 4) AS service_hours FROM service",
+    "wait_flow": _CALLS_SQL
+    + f"""SELECT {", ".join(_CALL_COLUMNS)}, {", ".join(f"round({c}, {n}) AS {c}" for c, n in _CALL_ROUNDED.items())}, CAST(call_number AS BIGINT) AS call_number, {_WAIT_SQL} AS wait_hours, round(least, 4) AS least_distance_nm, round(most, 4) AS most_distance_nm,
+  round((floor(epoch(service_start)) - floor(epoch(last_fix))) / 60.0, 4) AS entry_gap_minutes, round((floor(epoch(call_end)) - floor(epoch(call_start))) / 3600.0, 4) AS call_hours,
+  sha256(vessel_id || '|' || destination_port_code || '|' || strftime(call_start, '%Y-%m-%d %H:%M:%S.%f')) AS port_call_id, {_CATEGORY_SQL} AS ship_category,
+  CASE WHEN m > 0 AND m < 100 THEN '0-100' WHEN m >= 100 AND m < 200 THEN '100-200' WHEN m >= 200 AND m < 300 THEN '200-300' WHEN m >= 300 AND m <= 600 THEN '300-600' ELSE 'OTHER' END AS length_band FROM (SELECT *, ship_type AS k, length_m AS m FROM calls)""",
     "flow_counts": _CALLS_SQL + "SELECT flow, count(*) AS calls FROM calls WHERE flow IS NOT NULL GROUP BY flow",
     "stop_segments": _SEGMENTS_SQL,
     "geo_columns": _GEO_SQL,

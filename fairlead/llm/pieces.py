@@ -28,36 +28,94 @@ from pyspark.sql import functions as F
 from .common import table, whole_text, with_columns
 
 SPACE = "▁"
-#: Entries that a Python worker keeps of the parts and of the pairs it has judged; later ones are worked out each time.
-CACHE_PARTS, CACHE_PAIRS = 700_000, 1_000_000
+#: Entries that a Python worker keeps of the parts of texts; later ones are worked out each time.
+CACHE_PARTS = 300_000
+#: Slots for judged pairs (a prime number); a pair takes the place of another one that falls in its slot.
+PAIR_SLOTS = 1_999_993
 #: Longer parts are not kept (they hardly come again).
 CACHED_CHARS = 48
 _OUTSIDE = -1
 
 
-class PrefixTable:
-    """Encodes and decodes with the model file at ``path``, which must be BPE with byte pieces and no rewriting of texts
-    but marks in place of spaces and one before the text."""
+class Pieces:
+    """The pieces of the model file at ``path``, which must be BPE with byte pieces and no rewriting of texts but marks in
+    place of spaces and one before the text; decodes ids."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         if model.normalize("  ÅＡ b ") != f"{SPACE * 3}ÅＡ{SPACE}b{SPACE}":
             raise ValueError("the model rewrites texts before it encodes them")
-        self.bos, self.eos, self.unknown = model.bos_id(), model.eos_id(), model.unk_id()
+        self.bos, self.eos = model.bos_id(), model.eos_id()
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        other = lambda i: model.is_byte(i) or model.is_control(i) or model.is_unknown(i)
-        self.ids = {p: i for i, p in enumerate(self.pieces) if not other(i)}
-        self.score = {p: model.get_score(i) for p, i in self.ids.items()}
-        self.length = [len(p) for p in self.pieces]
         self.is_byte = np.array([model.is_byte(i) for i in range(len(self.pieces))])
-        bytes_at = np.flatnonzero(self.is_byte)
-        if len(bytes_at) != 256:
+        if self.is_byte.sum() != 256:
             raise ValueError("the model has no byte pieces")
-        self.byte_id = {int(self.pieces[i][1:-1], 16): int(i) for i in bytes_at}
+        self.silent = np.array([model.is_control(i) for i in range(len(self.pieces))])
+        self.spaced = np.array([p.startswith(SPACE) for p in self.pieces])
+        plain = [not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)) for i in range(len(self.pieces))]
+        self.score = {p: model.get_score(i) for i, p in enumerate(self.pieces) if plain[i]}
+
+        # What each id adds to a decoded text, end to end in one buffer.
+        said = [self._says(i, model) for i in range(len(self.pieces))]
+        self.said_length = np.array([len(s) for s in said])
+        self.said_start = np.r_[0, np.cumsum(self.said_length)[:-1]]
+        self.said = np.frombuffer(b"".join(said), np.uint8)
+
+    def _says(self, i: int, model) -> bytes:
+        if self.is_byte[i]:
+            return bytes([int(self.pieces[i][1:-1], 16)])
+        if model.is_unknown(i):
+            return model.decode([i]).encode()
+        return b"" if self.silent[i] else self.pieces[i].replace(SPACE, " ").encode()
+
+    def decode(self, raw: bytes) -> str:
+        """The text of ids (little-endian, 32 bits). A byte that is part of no character becomes U+FFFD."""
+        ids = np.frombuffer(raw, "<u4").astype(np.int64)
+        heard = np.flatnonzero(~self.silent[ids])
+        if not len(heard):
+            return ""
+        ids = ids[heard[0] : heard[-1] + 1]
+        skip = int(self.spaced[ids[0]])  # the mark before the text is no part of it
+        if len(heard) == len(ids):
+            try:
+                return self._said_by(ids)[skip:].tobytes().decode()
+            except UnicodeDecodeError:
+                pass
+        return self._by_runs(ids)[skip:]
+
+    def _said_by(self, ids: np.ndarray) -> np.ndarray:
+        length = self.said_length[ids]
+        to = np.cumsum(length)
+        return self.said[np.repeat(self.said_start[ids] - to + length, length) + np.arange(to[-1])]
+
+    def _by_runs(self, ids: np.ndarray) -> str:
+        """As the library decodes: bytes make characters with the bytes beside them only, not across other ids."""
+        kind = np.where(self.silent[ids], 2, self.is_byte[ids])
+        out = []
+        for run in np.split(ids, np.flatnonzero(np.diff(kind)) + 1):
+            data = self._said_by(run).tobytes()
+            while data:
+                try:
+                    out.append(data.decode())
+                    break
+                except UnicodeDecodeError as e:  # one mark for each byte
+                    out.append(data[: e.start].decode() + "\ufffd")
+                    data = data[e.start + 1 :]
+        return "".join(out)
+
+
+class PrefixTable(Pieces):
+    """Encodes as well: the table of last tokens, with what it needs to judge pairs."""
 
+    def __init__(self, path: str):
+        import ahocorasick
+
+        super().__init__(path)
+        self.ids = {p: i for i, p in enumerate(self.pieces) if p in self.score}
+        self.length = [len(p) for p in self.pieces]
+        self.byte_id = {int(self.pieces[i][1:-1], 16): int(i) for i in np.flatnonzero(self.is_byte)}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, i)
@@ -66,17 +124,9 @@ class PrefixTable:
             raise ValueError("a piece holds a character that is no piece")
         self.part = self._cuts()
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs = array("q", [-1 << 62]) * PAIR_SLOTS  # twice the pair's number, and one more if it goes together
         self._trace_merges()
 
-        # What each id adds to a decoded text, end to end in one buffer.
-        said = [self._said(i, model) for i in range(len(self.pieces))]
-        self.said_length = np.array([len(s) for s in said])
-        self.said_start = np.r_[0, np.cumsum(self.said_length)[:-1]]
-        self.said = np.frombuffer(b"".join(said), np.uint8)
-        self.silent = np.array([model.is_control(i) for i in range(len(self.pieces))])
-        self.spaced = np.array([p.startswith(SPACE) for p in self.pieces])
-
     def _cuts(self) -> re.Pattern:
         """How texts are cut: into words, runs of other characters and line ends if no piece is cut by that, else before
         spaces, else not at all. Numbers that are no decimal digits count as no letters."""
@@ -85,13 +135,6 @@ class PrefixTable:
         ways = map(re.compile, (words, rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", r"(?s:.+)"))
         return next(way for way in ways if all(way.match(p).end() == len(p) for p in self.ids))
 
-    def _said(self, i: int, model) -> bytes:
-        if self.is_byte[i]:
-            return bytes([int(self.pieces[i][1:-1], 16)])
-        if model.is_unknown(i):
-            return model.decode([i]).encode()
-        return b"" if model.is_control(i) else self.pieces[i].replace(SPACE, " ").encode()
-
     def merged(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """The pieces of a short text and the merges that made them: the best pair first, the first of equal ones."""
         parts, score, steps = list(text), self.score, []
@@ -141,19 +184,16 @@ class PrefixTable:
             else:
                 limit, tie, b = rank[b], True, in_b[0]
 
-    def compatible(self, before: int, token: int) -> bool:
-        """Whether ``token`` is left alone by the merges behind ``before`` (or at the beginning of a part)."""
+    def _judged(self, before: int, token: int) -> int:
+        """What to keep of a pair: whether ``token`` is left alone by the merges behind ``before`` (or at the beginning)."""
+        piece = self.pieces[token]
+        fits = self.merged(piece)[0] == [piece] if before == _OUTSIDE else self._left_alone(self.pieces[before], piece)
         key = before * len(self.pieces) + token
-        known = self.pairs.get(key)
-        if known is None:
-            piece = self.pieces[token]
-            known = self.merged(piece)[0] == [piece] if before == _OUTSIDE else self._left_alone(self.pieces[before], piece)
-            if len(self.pairs) < CACHE_PAIRS:
-                self.pairs[key] = known
-        return known
+        held = self.pairs[key % PAIR_SLOTS] = 2 * key + fits
+        return held
 
     def _encoded(self, part: str) -> bytes:
-        n, length, pairs, size = len(part), self.length, self.pairs.get, len(self.pieces)
+        n, length, pairs, size = len(part), self.length, self.pairs, len(self.pieces)
         last, done = [_OUTSIDE], 0  # of the prefix of each length so far
         for end, token in self.automaton.iter(part):  # at each place the longest piece first
             if end < done:
@@ -161,8 +201,11 @@ class PrefixTable:
             if end > len(last) - 1:  # characters that no piece ends at are outside the vocabulary
                 last += [_OUTSIDE] * (end - len(last) + 1)
             before = last[end + 1 - length[token]]
-            fits = pairs(before * size + token)
-            if self.compatible(before, token) if fits is None else fits:
+            key = before * size + token
+            held = pairs[key % PAIR_SLOTS]
+            if held >> 1 != key:
+                held = self._judged(before, token)
+            if held & 1:
                 last.append(token)
                 done = end + 1
         last += [_OUTSIDE] * (n + 1 - len(last))
@@ -192,49 +235,14 @@ class PrefixTable:
             found.append(got)
         return b"".join(found)
 
-    def decode(self, raw: bytes) -> str:
-        """The text of ids (little-endian, 32 bits). A byte that is part of no character becomes U+FFFD."""
-        ids = np.frombuffer(raw, "<u4").astype(np.int64)
-        heard = np.flatnonzero(~self.silent[ids])
-        if not len(heard):
-            return ""
-        ids = ids[heard[0] : heard[-1] + 1]
-        skip = int(self.spaced[ids[0]])  # the mark before the text is no part of it
-        if len(heard) == len(ids):
-            try:
-                return self._said_by(ids)[skip:].tobytes().decode()
-            except UnicodeDecodeError:
-                pass
-        return self._by_runs(ids)[skip:]
-
-    def _said_by(self, ids: np.ndarray) -> np.ndarray:
-        length = self.said_length[ids]
-        to = np.cumsum(length)
-        return self.said[np.repeat(self.said_start[ids] - to + length, length) + np.arange(to[-1])]
-
-    def _by_runs(self, ids: np.ndarray) -> str:
-        """As the library decodes: bytes make characters with the bytes beside them only, not across other ids."""
-        kind = np.where(self.silent[ids], 2, self.is_byte[ids])
-        out = []
-        for run in np.split(ids, np.flatnonzero(np.diff(kind)) + 1):
-            data = self._said_by(run).tobytes()
-            while data:
-                try:
-                    out.append(data.decode())
-                    break
-                except UnicodeDecodeError as e:  # one mark for each byte
-                    out.append(data[: e.start].decode() + "\ufffd")
-                    data = data[e.start + 1 :]
-        return "".join(out)
-
 
-_TABLES: dict[str, PrefixTable] = {}
+_LOADED: dict[tuple[type, str], Pieces] = {}
 
 
-def prefix_table(path: str) -> PrefixTable:
-    if path not in _TABLES:
-        _TABLES[path] = PrefixTable(path)
-    return _TABLES[path]
+def _loaded(kind: type, path: str):
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(path)
+    return _LOADED[kind, path]
 
 
 def encode_documents(documents: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -242,7 +250,7 @@ def encode_documents(documents: DataFrame, path: str, text: str = "text", keep:
     ``n_tokens``. ``path`` is the model's, the same on every machine."""
 
     def work(texts):
-        model = prefix_table(path)
+        model = _loaded(PrefixTable, path)
         begin, end = array("I", [model.bos]).tobytes(), array("I", [model.eos]).tobytes()
         ids = [begin + model.encode(t) + end for t in texts]
         return ids, [len(x) // 4 for x in ids]
@@ -254,7 +262,7 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", keep: list[str]
     """The columns ``keep`` (all, if None) and ``decoded``, the text of the binary column ``ids``; null where that is null."""
 
     def work(raws):
-        model = prefix_table(path)
+        model = _loaded(Pieces, path)
         return ([None if raw is None else model.decode(raw) for raw in raws],)
 
     return with_columns(encoded, [F.col(ids)], "decoded string", work, keep)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def _col(x) -> Column:
@@ -78,3 +79,10 @@ def age_text(minutes) -> Column:
 
 def clock_utc(x) -> Column:
     return F.coalesce(F.date_format(_col(x), "HH:mm 'UTC'"), F.lit("—"))
+
+
+def epoch_micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 of a time column, as watermarks count them: times without a zone stand for UTC."""
+    if isinstance(df.schema[column].dataType, TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{column}`)")
+    return F.unix_micros(column)

@@ -32,9 +32,14 @@ def enrich_track(positions: DataFrame, key: str = "mmsi", time: str = "event_tim
     """Previous fix, distance, hours and implied speed; null at a first fix, and speed null where no time has passed."""
     order = W.partitionBy(key).orderBy(time)
     prev = positions.withColumns({f"prev_{c}": F.lag(c).over(order) for c in ("lat", "lon", time)})
+    return movement(prev, time)
+
+
+def movement(fixes: DataFrame, time: str = "event_time") -> DataFrame:
+    """Distance, hours and implied speed between a fix and its previous one (prev_lat, prev_lon, prev_<time>)."""
     hours = F.unix_timestamp(time) - F.unix_timestamp(f"prev_{time}")
     return (
-        prev.withColumn("distance_nm", great_circle_nm("prev_lat", "prev_lon", "lat", "lon"))
+        fixes.withColumn("distance_nm", great_circle_nm("prev_lat", "prev_lon", "lat", "lon"))
         .withColumn("delta_h", hours / 3600.0)
         .withColumn("implied_kn", F.when(F.col("delta_h") > 0, F.col("distance_nm") / F.col("delta_h")))
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import slices
+
 #: A dimension of at most so many rows may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -22,19 +24,28 @@ def version_intervals(versions: DataFrame, key: str, start: str, tiebreak: str)
     return once.withColumn("valid_to", F.lead(start).over(W.partitionBy(key).orderBy(start, tiebreak)))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str], slice_hours: float | None = None) -> DataFrame:
     """Left as-of join: each left row with ``columns`` of the newest right row of its key at or before its time.
 
     Both sides meet in one stream ordered by time, and the last right row is carried along: one shuffle, and no row more
-    than there are, unlike a join on intervals. Right rows must be unique by (key, time); see ``version_intervals``.
+    than there are, unlike a join on intervals. Right rows must be unique by (key, time); see ``version_intervals``. With
+    ``slice_hours`` a key's stream is dealt over several tasks (see ``slices``), with equal rows.
     """
     carried = F.struct(*[F.col(c) for c in columns])
-    a = left.select(F.col(key).alias("__key"), F.col(left_time).alias("__time"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__row"), F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType).alias("__right"))
-    b = right.where(F.col(right_time).isNotNull()).select(F.col(key).alias("__key"), F.col(right_time).alias("__time"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), carried.alias("__right"))
-    order = W.partitionBy("__key").orderBy(F.col("__time").asc_nulls_first(), "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    met = a.unionByName(b).withColumn("__right", F.last("__right", ignorenulls=True).over(order)).where("__side = 1")
+    kind = right.select(carried.alias("x")).schema["x"].dataType
+    row = F.struct(*[F.col(c) for c in left.columns])
+    a = left.select(F.col(key).alias("__key"), F.col(left_time).alias("__time"), F.lit(1).alias("__side"), row.alias("__row"), F.lit(None).cast(kind).alias("__right"))
+    none = F.lit(None).cast(a.schema["__row"].dataType)
+    timed = right.where(F.col(right_time).isNotNull())
+    b = timed.select(F.col(key).alias("__key"), F.col(right_time).alias("__time"), F.lit(0).alias("__side"), none.alias("__row"), carried.alias("__right"))
+    if slice_hours:
+        dealt = slices.sliced(a.unionByName(b), ["__key"], "__time", slice_hours)
+        met = slices.whole(slices.along(dealt, ["__time", "__side"], latest={"__known": F.col("__right")}).drop("__right").withColumnRenamed("__known", "__right"))
+    else:
+        order = W.partitionBy("__key").orderBy(F.col("__time").asc_nulls_first(), "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
+        met = a.unionByName(b).withColumn("__right", F.last("__right", ignorenulls=True).over(order))
     known = F.col("__key").isNotNull() & F.col("__time").isNotNull()  # nulls meet nothing
-    return met.select("__row.*", *[F.when(known, F.col("__right")[c]).alias(c) for c in columns])
+    return met.where("__side = 1").select("__row.*", *[F.when(known, F.col("__right")[c]).alias(c) for c in columns])
 
 
 def interval_join(left: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, columns: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from fairlead.functions.geo import great_circle_nm
 
+from . import slices
+
 IMPLAUSIBLE_KN = 50
 CARGO_TYPES = (70, 79)
 MOVING_KN = 0.5
@@ -28,11 +30,15 @@ def port_table(spark: SparkSession, ports=PORTS) -> DataFrame:
     return spark.createDataFrame([(p["name"], p["aliases"], p["lat"], p["lon"], p["radius_nm"], i) for i, p in enumerate(ports)], "port_name string, aliases array<string>, port_lat double, port_lon double, port_radius_nm double, precedence int")
 
 
-def enrich_track(positions: DataFrame, key: str = "mmsi", time: str = "event_time") -> DataFrame:
-    """Previous fix, distance, hours and implied speed; null at a first fix, and speed null where no time has passed."""
+def enrich_track(positions: DataFrame, key: str = "mmsi", time: str = "event_time", slice_hours: float | None = None) -> DataFrame:
+    """Previous fix, distance, hours and implied speed; null at a first fix, and speed null where no time has passed. With
+    ``slice_hours`` a vessel's track is dealt over several tasks (see ``slices``), with equal rows."""
+    before = ("lat", "lon", time)
+    if slice_hours:
+        named = {f"prev_{c}": F.col(c) for c in before}
+        return movement(slices.whole(slices.along(slices.sliced(positions, [key], time, slice_hours), [time], previous=named)), time)
     order = W.partitionBy(key).orderBy(time)
-    prev = positions.withColumns({f"prev_{c}": F.lag(c).over(order) for c in ("lat", "lon", time)})
-    return movement(prev, time)
+    return movement(positions.withColumns({f"prev_{c}": F.lag(c).over(order) for c in before}), time)
 
 
 def movement(fixes: DataFrame, time: str = "event_time") -> DataFrame:

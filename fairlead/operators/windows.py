@@ -6,29 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import slices
+
 
 def seconds_between(start, end) -> Column:
     return F.unix_timestamp(end) - F.unix_timestamp(start)
 
 
-def segments(df: DataFrame, keys: list[str], time: str, signal: Column, max_gap_minutes: float = 30.0) -> DataFrame:
+def segments(df: DataFrame, keys: list[str], time: str, signal: Column, max_gap_minutes: float = 30.0, slice_hours: float | None = None) -> DataFrame:
     """Runs of rows with a signal: ``segment_id`` (from 1 in each key's order) and ``interval_s``, the time to the next row
-    where that row has the signal too and is within the gap, else 0. Rows without the signal are left out."""
-    order = W.partitionBy(*keys).orderBy(time)
+    where that row has the signal too and is within the gap, else 0. Rows without the signal are left out. With
+    ``slice_hours`` a key's rows are dealt over several tasks (see ``slices``), with equal rows."""
     marked = df.withColumn("__on", F.coalesce(signal, F.lit(False)).cast("int"))
-    step = seconds_between(time, F.lead(time).over(order))
-    marked = marked.withColumn("__new", ((F.col("__on") == 1) & (F.coalesce(F.lag("__on").over(order), F.lit(0)) == 0)).cast("int")).withColumn(
-        "interval_s", F.when((F.col("__on") == 1) & (F.lead("__on").over(order) == 1) & step.between(0, max_gap_minutes * 60), step).otherwise(0)
-    )
-    numbered = marked.withColumn("segment_id", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return numbered.where("__on = 1").drop("__on", "__new")
-
-
-def gap_sequence(df: DataFrame, keys: list[str], time: str, gap_hours: float, name: str = "sequence") -> DataFrame:
-    """A number that grows by one wherever more than ``gap_hours`` lie between rows of a key."""
+    on, fresh = F.col("__on") == 1, (F.col("__on") == 1) & (F.coalesce("__was", F.lit(0)) == 0)
+    step = seconds_between(time, "__next.at")
+    interval = F.when(on & (F.col("__next.on") == 1) & step.between(0, max_gap_minutes * 60), step).otherwise(0)
+    beside = F.struct(F.col(time).alias("at"), F.col("__on").alias("on"))
+    if slice_hours:
+        dealt = slices.along(slices.sliced(marked, keys, time, slice_hours), [time], previous={"__was": F.col("__on")}, following={"__next": beside})
+        dealt = dealt.withColumns({"__new": fresh.cast("int"), "interval_s": interval})
+        numbered = slices.whole(slices.along(dealt, [time], running={"segment_id": F.col("__new")}))
+    else:
+        order = W.partitionBy(*keys).orderBy(time)
+        marked = marked.withColumns({"__was": F.lag("__on").over(order), "__next": F.lead(beside).over(order)})
+        marked = marked.withColumns({"__new": fresh.cast("int"), "interval_s": interval})
+        numbered = marked.withColumn("segment_id", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return numbered.where("__on = 1").drop("__on", "__new", "__was", "__next")
+
+
+def gap_sequence(df: DataFrame, keys: list[str], time: str, gap_hours: float, name: str = "sequence", slice_hours: float | None = None) -> DataFrame:
+    """A number that grows by one wherever more than ``gap_hours`` lie between rows of a key. With ``slice_hours`` a key's
+    rows are dealt over several tasks (see ``slices``), with equal rows."""
+    fresh = F.coalesce(seconds_between("__before", time) > gap_hours * 3600, F.lit(True)).cast("int")
+    if slice_hours:
+        dealt = slices.along(slices.sliced(df, keys, time, slice_hours), [time], previous={"__before": F.col(time)})
+        return slices.whole(slices.along(dealt.withColumn("__fresh", fresh), [time], running={name: F.col("__fresh")})).drop("__fresh", "__before")
     order = W.partitionBy(*keys).orderBy(time)
-    fresh = F.coalesce(seconds_between(F.lag(time).over(order), time) > gap_hours * 3600, F.lit(True)).cast("int")
-    return df.withColumn("__fresh", fresh).withColumn(name, F.sum("__fresh").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__fresh")
+    marked = df.withColumn("__before", F.lag(time).over(order)).withColumn("__fresh", fresh)
+    return marked.withColumn(name, F.sum("__fresh").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__fresh", "__before")
 
 
 def assign_session(events: DataFrame, keys: list[str], time: str, event_id: str, hours: float = 24.0) -> DataFrame:
@@ -73,17 +88,17 @@ def any_flagged(df: DataFrame, keys: list[str], flag: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.coalesce(F.bool_or(flag), F.lit(False)).alias("any_flagged"))
 
 
-def longest_wait_first(df: DataFrame, wait: str, tiebreak: str) -> DataFrame:
+def longest_wait_first(df: DataFrame, wait: str, *tiebreak: str) -> DataFrame:
     """Longest wait first, unknown waits last; ties by ``tiebreak``, so that the order is the same in every run."""
-    return df.orderBy(F.desc_nulls_last(wait), tiebreak)
+    return df.orderBy(F.desc_nulls_last(wait), *tiebreak)
 
 
-def by_priority(df: DataFrame, column: str, first: list, then: str, tiebreak: str) -> DataFrame:
+def by_priority(df: DataFrame, column: str, first: list, then: str, *tiebreak: str) -> DataFrame:
     """Rows whose ``column`` is in ``first``, in that order, before all others; within each the largest ``then`` first."""
     place = F.lit(len(first))
     for i, value in reversed(list(enumerate(first))):
         place = F.when(F.col(column) == value, i).otherwise(place)
-    return df.orderBy(place, F.desc_nulls_last(then), tiebreak)
+    return df.orderBy(place, F.desc_nulls_last(then), *tiebreak)
 
 
 def in_session_order(df: DataFrame, session: str, time: str, tiebreak: str) -> DataFrame:

@@ -15,17 +15,18 @@ from .proxies import FIXES_SQL, bearing_sql, fixes, gc_sql, hav_sql, table
 
 # --- waits -------------------------------------------------------------------------------------------------------------
 def _waits(spark, sf_dir):
-    """Shipping delay in days as a wait, order priority as port, price band as length band."""
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
+    """Each line of an order as a call: its delay in days as the wait, order priority as port, price band as length band."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    j = li.select("l_orderkey", "l_linenumber", "l_shipdate").join(o, li["l_orderkey"] == o["o_orderkey"])
+    band = F.when(F.col("o_totalprice") < 150000, "100-200").otherwise("200-300")
     return j.select(
-        F.col("o_orderkey"), F.col("o_custkey").alias("mmsi"), F.col("o_orderpriority").alias("destination_port_code"), F.when(F.col("o_totalprice") < 150000, "100-200").otherwise("200-300").alias("length_band"), F.col("o_orderstatus").alias("ship_category"),
-        (F.datediff("l_shipdate", "o_orderdate") % 97 / 4.0).alias("wait_hours"),
+        "o_orderkey", "l_linenumber", F.col("o_custkey").alias("mmsi"), F.col("o_orderpriority").alias("destination_port_code"), band.alias("length_band"),
+        F.col("o_orderstatus").alias("ship_category"), (F.datediff("l_shipdate", "o_orderdate") % 97 / 4.0).alias("wait_hours"),
     )
 
 
-_WAITS_SQL = """waits AS (SELECT o_orderkey, o_custkey AS mmsi, o_orderpriority AS destination_port_code, CASE WHEN o_totalprice < 150000 THEN '100-200' ELSE '200-300' END AS length_band, o_orderstatus AS ship_category,
-  (date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) % 97) / 4.0 AS wait_hours FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)"""
+_WAITS_SQL = """waits AS (SELECT o_orderkey, l_linenumber, o_custkey AS mmsi, o_orderpriority AS destination_port_code, CASE WHEN o_totalprice < 150000 THEN '100-200' ELSE '200-300' END AS length_band, o_orderstatus AS ship_category,
+  (date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) % 97) / 4.0 AS wait_hours FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def _stats_sql(keys):
@@ -55,13 +56,13 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def longest_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = portcalls.eligible(_waits(spark, sf_dir)).select("o_orderkey", "destination_port_code", "wait_hours")
-    return windows.longest_wait_first(calls, "wait_hours", "o_orderkey")
+    calls = portcalls.eligible(_waits(spark, sf_dir)).select("o_orderkey", "l_linenumber", "destination_port_code", "wait_hours")
+    return windows.longest_wait_first(calls, "wait_hours", "o_orderkey", "l_linenumber")
 
 
 def calls_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = portcalls.eligible(_waits(spark, sf_dir)).select("o_orderkey", "ship_category", "wait_hours")
-    return windows.by_priority(calls, "ship_category", ["F"], "wait_hours", "o_orderkey")
+    calls = portcalls.eligible(_waits(spark, sf_dir)).select("o_orderkey", "l_linenumber", "ship_category", "wait_hours")
+    return windows.by_priority(calls, "ship_category", ["F"], "wait_hours", "o_orderkey", "l_linenumber")
 
 
 # --- queues ------------------------------------------------------------------------------------------------------------
@@ -496,8 +497,8 @@ SQL = {
     "profile": "SELECT count(*) AS rows, count(DISTINCT user_id) AS entities, min(ts) AS first, max(ts) AS last FROM events",
     "register_derivation": _REGISTER_SQL,
     "confusion": _CONFUSION_SQL,
-    "longest_waits": f"WITH {_WAITS_SQL} SELECT o_orderkey, destination_port_code, wait_hours FROM waits WHERE wait_hours >= 0 ORDER BY wait_hours DESC, o_orderkey",
-    "calls_by_priority": f"WITH {_WAITS_SQL} SELECT o_orderkey, ship_category, wait_hours FROM waits WHERE wait_hours >= 0 ORDER BY CASE WHEN ship_category = 'F' THEN 0 ELSE 1 END, wait_hours DESC, o_orderkey",
+    "longest_waits": f"WITH {_WAITS_SQL} SELECT o_orderkey, l_linenumber, destination_port_code, wait_hours FROM waits WHERE wait_hours >= 0 ORDER BY wait_hours DESC, o_orderkey, l_linenumber",
+    "calls_by_priority": f"WITH {_WAITS_SQL} SELECT o_orderkey, l_linenumber, ship_category, wait_hours FROM waits WHERE wait_hours >= 0 ORDER BY CASE WHEN ship_category = 'F' THEN 0 ELSE 1 END, wait_hours DESC, o_orderkey, l_linenumber",
     "session_order": f"WITH {_SESSION_SQL} SELECT session_id, ts, event_id FROM t ORDER BY session_id, ts, event_id",
     "any_critical": "SELECT user_id, coalesce(bool_or(event_type = 'purchase' AND value > 50), false) AS any_flagged FROM events GROUP BY user_id",
     "silver_days": "SELECT CAST(ts AS DATE) AS day, count(*) AS positions, count(CASE WHEN event_id % 5 <> 0 THEN value END) AS with_speed, count(DISTINCT user_id) AS vessels FROM events WHERE event_id % 7 <> 0 AND user_id IS NOT NULL AND event_id % 9 <> 1 AND event_id % 11 <> 0 AND event_type IS NOT NULL AND ts >= TIMESTAMP '2024-01-10' AND (event_id % 5 = 0 OR value IS NULL OR value >= 0) GROUP BY 1",

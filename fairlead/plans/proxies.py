@@ -12,7 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as position reports: a user is a vessel, its destination one of three ports."""
-    e = table(spark, sf_dir, "events")
+    return fixes_of(table(spark, sf_dir, "events"))
+
+
+def fixes_of(e: DataFrame) -> DataFrame:
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("user_id") % 3 + 1).cast("int"))
     return e.select(
         F.col("event_id"), F.col("user_id").alias("mmsi"), F.col("ts").alias("event_time"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,10 @@ from fairlead.functions.codes import length_band, ship_category
 from fairlead.functions.geo import angle_diff_deg, bearing_deg, compass_point, course_diff_deg, haversine_nm, in_any_box
 from fairlead.operators import joins, portcalls, tracks, windows
 from fairlead.operators.routes import bounding_box
+from fairlead.session import shared_folder
+from fairlead.streaming import ordered, sources
 
-from .proxies import BERTHING_SQL, FIXES_SQL, bearing_sql, berthing, fixes, gc_sql, hav_sql, table
+from .proxies import BERTHING_SQL, FIXES_SQL, bearing_sql, berthing, fixes, fixes_of, gc_sql, hav_sql, table
 
 _TRACK_SQL = f"""
 WITH fixes AS ({FIXES_SQL}), lagged AS (
@@ -23,8 +28,29 @@ WITH fixes AS ({FIXES_SQL}), lagged AS (
 
 
 def track_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tracks.enrich_track(fixes(spark, sf_dir))
-    return t.select("event_id", "mmsi", F.round("distance_nm", 4).alias("distance_nm"), F.round("delta_h", 4).alias("delta_h"), F.round("implied_kn", 3).alias("implied_kn"))
+    return _moves(tracks.enrich_track(fixes(spark, sf_dir)))
+
+
+def _moves(track: DataFrame) -> DataFrame:
+    return track.select("event_id", "mmsi", F.round("distance_nm", 4).alias("distance_nm"), F.round("delta_h", 4).alias("delta_h"), F.round("implied_kn", 3).alias("implied_kn"))
+
+
+def track_enrich_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream: events are drained as they come, and a last heartbeat closes the stream's time."""
+    work = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    landed = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    landed.repartition(F.col("event_id")).write.parquet(f"{work}/landed")  # files that hold all times in any order
+    events = spark.readStream.schema(landed.schema).parquet(f"{work}/landed")
+    closing = sources.merged(spark, {"events": fixes_of(events)}, "event_time", "1 minute", f"{work}/beats")
+    sources.beat(spark, f"{work}/beats", "events", datetime(2100, 1, 1, tzinfo=UTC))
+    t = _moves(ordered.previous_in_order(closing.select("event_id", "mmsi", "event_time", "lat", "lon"), ready=True))
+    t.writeStream.format("parquet").option("path", f"{work}/rows").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(t.schema).parquet(f"{work}/rows")
+
+
+def track_enrich_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of tracks that are dealt by vessel and day, for vessels whose track is too long for one task."""
+    return _moves(tracks.enrich_track(fixes(spark, sf_dir), slice_hours=24))
 
 
 def spoof_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +69,17 @@ def _static(spark, sf_dir):
 
 
 def asof_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asof(spark, sf_dir)
+
+
+def asof_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asof(spark, sf_dir, slice_hours=48)
+
+
+def _asof(spark, sf_dir, **how) -> DataFrame:
     left = fixes(spark, sf_dir).where("nav_status <> 1").select("event_id", "mmsi", "event_time")
-    return joins.asof_join(left, joins.version_intervals(_static(spark, sf_dir), "mmsi", "valid_from", "static_id"), "mmsi", "event_time", "valid_from", ["static_id", "static_value"]).drop("event_time")
+    versions = joins.version_intervals(_static(spark, sf_dir), "mmsi", "valid_from", "static_id")
+    return joins.asof_join(left, versions, "mmsi", "event_time", "valid_from", ["static_id", "static_value"], **how).drop("event_time")
 
 
 def interval_static(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +222,15 @@ def flow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stop_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = windows.segments(fixes(spark, sf_dir), ["mmsi"], "event_time", F.col("speed") < 5, 6 * 60)
+    return _stops(spark, sf_dir)
+
+
+def segments_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stops(spark, sf_dir, slice_hours=24)
+
+
+def _stops(spark, sf_dir, **how) -> DataFrame:
+    s = windows.segments(fixes(spark, sf_dir), ["mmsi"], "event_time", F.col("speed") < 5, 6 * 60, **how)
     return s.groupBy("mmsi", "segment_id").agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.count("*").alias("fixes"), F.sum("interval_s").alias("seconds"))
 
 
@@ -225,15 +268,18 @@ _CATEGORY_SQL = """CASE WHEN k = 0 THEN 'No disponible' WHEN k BETWEEN 20 AND 29
  WHEN k = 58 THEN 'Transporte medico' WHEN k = 59 THEN 'No combatiente' WHEN k BETWEEN 60 AND 69 THEN 'Pasaje' WHEN k BETWEEN 70 AND 79 THEN 'Carga' WHEN k BETWEEN 80 AND 89 THEN 'Tanque' WHEN k BETWEEN 90 AND 99 THEN 'Otros' ELSE 'Reservado' END"""
 
 QUERIES = {
-    "track_enrich": track_enrich, "spoof_split": spoof_split, "spoof_rate_by_entity": spoof_rate_by_entity, "asof_static": asof_static, "interval_static": interval_static, "scd2_versions": scd2_versions,
+    "track_enrich": track_enrich, "track_enrich_stream": track_enrich_stream, "track_enrich_sliced": track_enrich_sliced, "asof_sliced": asof_sliced, "segments_sliced": segments_sliced, "spoof_split": spoof_split, "spoof_rate_by_entity": spoof_rate_by_entity, "asof_static": asof_static, "interval_static": interval_static, "scd2_versions": scd2_versions,
     "port_inventory": port_inventory, "port_summary_tumbling": port_summary_tumbling, "eta_alerts": eta_alerts, "destination_resolve": destination_resolve, "destination_by_table": destination_by_table, "target_fleet": target_fleet,
     "call_sequence": call_sequence, "first_service": first_service, "wait_flow": wait_flow, "flow_counts": flow_counts, "stop_segments": stop_segments, "geo_columns": geo_columns, "area_selection": area_selection, "code_bands": code_bands,
 }
 SQL = {
     "track_enrich": _TRACK_SQL + "SELECT event_id, mmsi, round(distance_nm, 4) AS distance_nm, round(delta_h, 4) AS delta_h, round(implied_kn, 3) AS implied_kn FROM speeds",
+    "track_enrich_sliced": _TRACK_SQL + "SELECT event_id, mmsi, round(distance_nm, 4) AS distance_nm, round(delta_h, 4) AS delta_h, round(implied_kn, 3) AS implied_kn FROM speeds",
+    "track_enrich_stream": _TRACK_SQL + "SELECT event_id, mmsi, round(distance_nm, 4) AS distance_nm, round(delta_h, 4) AS delta_h, round(implied_kn, 3) AS implied_kn FROM speeds",
     "spoof_split": _TRACK_SQL + "SELECT event_id, 'valid' AS side, CAST(NULL AS VARCHAR) AS reason FROM speeds WHERE implied_kn <= 50 OR distance_nm IS NULL OR delta_h <= 0 UNION ALL SELECT event_id, 'jump', 'SPOOFING_IMPOSSIBLE_SPEED' FROM speeds WHERE implied_kn > 50",
     "spoof_rate_by_entity": _TRACK_SQL + "SELECT mmsi, count(*) AS fixes, CAST(sum(CASE WHEN implied_kn > 50 THEN 1 ELSE 0 END) AS BIGINT) AS jumps, round(avg(CASE WHEN implied_kn > 50 THEN 1 ELSE 0 END), 6) AS jump_rate, round(max(distance_nm), 3) AS longest_nm FROM speeds GROUP BY mmsi",
     "asof_static": _ASOF_SQL,
+    "asof_sliced": _ASOF_SQL,
     "interval_static": _ASOF_SQL,
     "scd2_versions": f"WITH fixes AS ({FIXES_SQL}) SELECT mmsi, event_id AS static_id, event_time AS valid_from, lead(event_time) OVER (PARTITION BY mmsi ORDER BY event_time, event_id) AS valid_to FROM fixes WHERE nav_status = 1",
     "port_inventory": f"WITH {_INVENTORY_SQL} SELECT event_id, port_name, vessel_status, round(distance_to_port_nm, 4) AS distance_to_port_nm, round(eta_hours, 4) AS eta_hours FROM inventory",
@@ -254,6 +300,7 @@ SQL = {
   CASE WHEN m > 0 AND m < 100 THEN '0-100' WHEN m >= 100 AND m < 200 THEN '100-200' WHEN m >= 200 AND m < 300 THEN '200-300' WHEN m >= 300 AND m <= 600 THEN '300-600' ELSE 'OTHER' END AS length_band FROM (SELECT *, ship_type AS k, length_m AS m FROM calls)""",
     "flow_counts": _CALLS_SQL + "SELECT flow, count(*) AS calls FROM calls WHERE flow IS NOT NULL GROUP BY flow",
     "stop_segments": _SEGMENTS_SQL,
+    "segments_sliced": _SEGMENTS_SQL,
     "geo_columns": _GEO_SQL,
     "area_selection": f"WITH fixes AS ({FIXES_SQL}) SELECT mmsi, count(*) AS fixes, round(min(lat), 4) AS south, round(min(lon), 4) AS west, round(max(lat), 4) AS north, round(max(lon), 4) AS east FROM fixes WHERE (lat BETWEEN 36 AND 38 AND lon BETWEEN -6 AND -2) OR (lat BETWEEN 40 AND 41 AND lon BETWEEN 0 AND 2) GROUP BY mmsi",
     "code_bands": f"SELECT {_CATEGORY_SQL} AS category, CASE WHEN m > 0 AND m < 100 THEN '0-100' WHEN m >= 100 AND m < 200 THEN '100-200' WHEN m >= 200 AND m < 300 THEN '200-300' WHEN m >= 300 AND m <= 600 THEN '300-600' ELSE 'OTHER' END AS band, count(*) AS rows FROM (SELECT o_orderkey % 100 AS k, o_totalprice / 700 AS m FROM orders) GROUP BY 1, 2",

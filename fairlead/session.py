@@ -19,3 +19,14 @@ def session(app: str = "fairlead", master: str | None = None, **conf: str) -> Sp
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, which a cluster must name. A local session without it uses
+    its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (spark.sparkContext.master + "[").startswith("local["):
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/fairlead"

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fairlead.functions.text import epoch_micros
-
 LATE = "late"
 _SHARE = "__share"
 
@@ -44,7 +42,7 @@ def tagged(stream: DataFrame, event_time: str, lateness: str, shares: int | None
             yield rows
 
     seen = dealt.groupBy(_SHARE).applyInPandasWithState(compare, schema, "none int", "append", GroupStateTimeout.NoTimeout)
-    behind = epoch_micros(stream, event_time) <= 1000 * F.col("watermark")
+    behind = F.unix_micros(event_time) <= 1000 * F.col("watermark")
     return seen.withColumns({LATE: F.coalesce(behind, F.col(event_time).isNull()), "watermark": F.timestamp_millis("watermark")})
 
 

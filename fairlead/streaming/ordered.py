@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fairlead.functions.text import epoch_micros
 from fairlead.operators.tracks import movement
 
 #: A vessel is forgotten so long (in event time) after its last fix.
@@ -45,7 +44,7 @@ def previous_in_order(positions: DataFrame, lateness: str = "1 minute", key: str
     rows without time or vessel are left out, since no order holds them."""
     base = positions if ready else positions.withWatermark(event_time, lateness)
     base = base.where(F.col(event_time).isNotNull() & F.col(key).isNotNull())
-    base = base.withColumn(_AT, epoch_micros(base, event_time))
+    base = base.withColumn(_AT, F.unix_micros(event_time))
     order = [_AT, "lat", "lon"]
     prev = {"prev_lat": T.DoubleType(), "prev_lon": T.DoubleType(), "__prev_at": T.LongType()}
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in base.schema] + [T.StructField(n, t) for n, t in prev.items()])
@@ -76,7 +75,4 @@ def previous_in_order(positions: DataFrame, lateness: str = "1 minute", key: str
         state.setTimeoutTimestamp(max(wake, mark + 1))
 
     kept = base.groupBy(key).applyInPandasWithState(release, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    at = F.timestamp_micros("__prev_at")
-    if isinstance(base.schema[event_time].dataType, T.TimestampNTZType):
-        at = F.expr("timestampadd(MICROSECOND, __prev_at, timestamp_ntz'1970-01-01 00:00:00')")
-    return movement(kept.withColumn(f"prev_{event_time}", at).drop(_AT, "__prev_at"), event_time)
+    return movement(kept.withColumn(f"prev_{event_time}", F.timestamp_micros("__prev_at")).drop(_AT, "__prev_at"), event_time)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.operators.joins import insert_ignore, upsert
 
+from .tables import read_if_there
+
+#: Takes a micro-batch and its number.
+Writer = Callable[[DataFrame, int], None]
+
 
 def daily_files(stream: DataFrame, path: str, checkpoint: str, day: str = "_dt"):
     """A stream into Parquet folders by day; takes what is there and stops."""
@@ -29,20 +33,59 @@ def compact_day(spark: SparkSession, path: str, day_column: str, files: int = 1,
     again.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(day_column).parquet(path)
 
 
-def fan_out(stream: DataFrame, writers: list[Callable[[DataFrame, int], None]], checkpoint: str):
-    """One micro-batch, computed once, to several writers; a writer that fails has the batch replayed."""
+class Ledger:
+    """Which micro-batches each sink of a stream has taken, as files in a folder that all runs of the stream share."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _entry(self, sink: str, number: int) -> str:
+        return f"{self.folder}/sink={sink}/batch={number}"
+
+    def has(self, sink: str, number: int) -> bool:
+        taken = read_if_there(self.spark, self._entry(sink, number), "at timestamp")
+        return taken is not None and not taken.isEmpty()
+
+    def note(self, sink: str, number: int) -> None:
+        self.spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1).write.mode("overwrite").parquet(self._entry(sink, number))
+
+
+def fan_out(stream: DataFrame, writers: list[Writer] | dict[str, Writer], checkpoint: str, ledger: str | None = None):
+    """One micro-batch, computed once, to several writers; a writer that fails has the batch replayed.
+
+    With ``ledger``, a folder all executors share, sinks that have taken a batch are passed over when it is replayed.
+    Between a write and its entry a run may still end, so for exactly one copy of each row a writer should replace what it
+    wrote of the same batch, as ``batch_files`` does. Sinks are known by their names in ``writers``, or their places.
+    """
+    named = writers if isinstance(writers, dict) else {str(i): w for i, w in enumerate(writers)}
+    book = Ledger(stream.sparkSession, ledger) if ledger else None
 
     def write(batch: DataFrame, number: int) -> None:
+        due = {n: w for n, w in named.items() if not (book and book.has(n, number))}
         batch.persist()
         try:
-            for w in writers:
+            for name, w in due.items():
                 w(batch, number)
+                if book:
+                    book.note(name, number)
         finally:
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def batch_files(path: str, day: str | None = None, select: Callable[[DataFrame], DataFrame] | None = None) -> Writer:
+    """A writer into Parquet folders by micro-batch (and ``day``); a batch that is replayed replaces itself, even where it
+    comes to hold fewer days. ``select`` picks the sink's rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = select(batch) if select else batch
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(day) if day else writer).parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return write
+
+
 def deliver(payloads: DataFrame, send: Callable[[DataFrame], None] | None, table: str) -> None:
     """Alerts to a table, and to ``send`` if given; sending is the caller's business."""
     payloads.write.mode("append").saveAsTable(table)
@@ -104,20 +147,40 @@ def insert_new(updates: DataFrame, table: str, key: str) -> int:
         fresh.unpersist()
 
 
+#: A batch of documents may span so many days for its stored keys to be looked up by day; beyond, all days are.
+LOOKED_UP_DAYS = 400
+
+
 def dated_documents(events: DataFrame, path: str, time: str = "emitted_at", key: str = "event_id", batch: str | None = None) -> None:
     """JSON under dt=<UTC day>/batch=<batch>/, one row for each key. Earlier batches stay as they are, and so do keys that
-    they hold; a batch that is written again replaces itself. ``batch`` names it, or else a digest of its keys does."""
+    they hold; a batch that is written again replaces itself. ``batch`` names it, or else a digest of its keys does.
+
+    Keys are kept beside the documents, in ``_keys`` (Parquet by day and batch, which readers of the documents pass over),
+    and only those of the batch's own days are read. A key's documents of another day are other documents."""
     spark, once = events.sparkSession, events.dropDuplicates([key]).withColumn("dt", F.to_date(time))
     if batch is None:
         seen = once.agg(F.count("*").alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("digest")).first()
         batch = f"{seen['n']}_{seen['digest'] or 0}".replace("-", "m")
+    ledger = f"{path.rstrip('/')}/_keys"
+    earlier = read_if_there(spark, ledger, f"`{key}` {events.schema[key].dataType.simpleString()}, dt date, batch string")
+    if earlier is not None:
+        once = once.join(stored_keys(earlier, once, batch), ["dt", key], "left_anti")
+    placed = once.withColumn("batch", F.lit(batch)).persist()
     try:
-        earlier = spark.read.schema(f"`{key}` {events.schema[key].dataType.simpleString()}, dt date, batch string").json(path)
-        once = once.join(earlier.where(F.col("batch") != batch).select("dt", key), ["dt", key], "left_anti")
-    except AnalysisException:  # nothing is stored yet
-        pass
-    placed = once.withColumn("batch", F.lit(batch))
-    placed.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("dt", "batch").json(path)
+        for rows, target, kind in ((placed, path, "json"), (placed.select(key, "dt", "batch"), ledger, "parquet")):
+            rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("dt", "batch").format(kind).save(target)
+    finally:
+        placed.unpersist()
+
+
+def stored_keys(earlier: DataFrame, batch_rows: DataFrame, batch: str) -> DataFrame:
+    """(dt, key) of other batches, of the days of ``batch_rows`` only: the days are given to the scan, which opens no
+    other folder."""
+    days = [r[0] for r in batch_rows.select("dt").distinct().limit(LOOKED_UP_DAYS + 1).collect()]
+    other = earlier.where(F.col("batch") != batch).drop("batch")
+    if len(days) > LOOKED_UP_DAYS:
+        return other
+    return other.where(F.col("dt").isin(*[d for d in days if d is not None]) | (F.col("dt").isNull() if None in days else F.lit(False)))
 
 
 def keyed(df: DataFrame, key: str = "mmsi", time: str = "event_time", parts: int | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ window and intersected; what is left is compared word by word with the document.
 differ by a number of words.
 
 Texts are lower-cased in A-Z only. Null and empty texts have no words, an item without words no windows; repeated items
-count under their item_id once; null doc_ids or item_ids: a document without id keeps its row with no hits, an item
-without id is left out. Rows with equal doc_ids are told apart by their texts.
+count under their item_id once, and an item without id is left out. Documents are told apart by doc_id and text, so rows
+that share a doc_id are judged each by its own text, rows without doc_id like any other, and repeated rows come out alike.
+Columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ def words_of(text):
     return F.regexp_extract_all(F.translate(text, _CAPITALS, _SMALL), F.lit(_WORD), F.lit(0))
 
 
+def document_key(doc_id: str = "doc_id", text: str = "text"):
+    """What a document is known by: a hash of its doc_id and text."""
+    return F.xxhash64(F.col(doc_id).cast("long"), whole_text(text))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """``df`` (stored), marked for broadcast if it is small in bytes."""
     held = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + ROW_BYTES)).first()[0] or 0
@@ -49,7 +55,7 @@ class PositionalIndex:
 
     def __init__(self, documents: DataFrame, items: DataFrame, window: int = WINDOW, indexed: int = INDEXED):
         self.window = window
-        self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+        self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("key", document_key())
         tokens = items.where("item_id is not null").select("item_id", words_of(whole_text()).alias("words")).where(F.size("words") > 0).distinct()
         length = F.least(F.size("words"), F.lit(window))
         starts = tokens.select("item_id", "words", length.alias("length"), F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("at"))
@@ -60,7 +66,7 @@ class PositionalIndex:
         rank = F.row_number().over(W.partitionBy("window_id").orderBy("items", F.desc(F.length("term")), "term", "place"))
         self.places = durable(places.join(spread, "term").withColumn("rank", rank).where(F.col("rank") <= indexed).select("window_id", "place", "term"), "places")
         terms = durable(self.places.select("term").distinct(), "terms")
-        postings = self.documents.where("doc_id is not null").select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term")).join(_small(terms), "term")
+        postings = self.documents.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term")).join(_small(terms), "term")
         self.postings = durable(postings, "postings")
 
     def _rarest(self) -> DataFrame:
@@ -91,7 +97,7 @@ class PositionalIndex:
         """(key, item_id, start, length): every exact occurrence of a window."""
         candidates = durable(self.aligned().join(_small(self.windows), "window_id").select("key", "item_id", "start", "phrase"), "candidates")
         keys = durable(candidates.select("key").distinct(), "candidate-keys")
-        texts = self.documents.where("doc_id is not null").join(_small(keys), "key", "left_semi").dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("words"))
+        texts = self.documents.join(_small(keys), "key", "left_semi").dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("words"))
         # Word by word: the window starts at 0 or later, and a slice past the end is shorter.
         same = F.slice("words", F.col("start") + 1, F.size("phrase")) == F.col("phrase")
         return candidates.join(durable(texts, "candidate-words"), "key").where(same).select("key", "item_id", "start", F.size("phrase").alias("length"))
@@ -102,7 +108,7 @@ class PositionalIndex:
 
 
 def hits(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """For each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and its ``document_key``."""
     index = PositionalIndex(documents, items, window)
     matches = durable(index.phrase_matches(), "matches")
     n_hit = matches.select("key", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
@@ -110,7 +116,7 @@ def hits(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
     found = durable(n_hit.join(named, "key"), "found")
     counted = index.documents.select("doc_id", "key", F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"))
     out = counted.join(_small(found), "key", "left")
-    n_hit = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_hit", F.lit(0))).otherwise(0).cast("long")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_here = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
@@ -119,8 +125,24 @@ def hits(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
         F.size(items_here).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items_here).cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.col("key").alias("document_key"),
     )
 
 
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("document_key")
+
+
+_WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '{_WORD}')"
+OP10_SQL = f"""
+WITH item AS (SELECT DISTINCT item_id, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, list_slice(w, s + 1, s + least(len(w), {WINDOW})) AS p FROM (SELECT item_id, w, unnest(range(len(w) - least(len(w), {WINDOW}) + 1)) AS s FROM item WHERE len(w) > 0)),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+grams AS (SELECT r, k, l, list_slice(w, k + 1, k + l) AS p FROM (SELECT r, w, l, unnest(range(len(w) - l + 1)) AS k FROM doc CROSS JOIN (SELECT DISTINCT len(p) AS l FROM windows))),
+met AS (SELECT DISTINCT r, k, l, item_id FROM grams JOIN windows USING (p)),
+hit AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(k, k + l)) AS pos FROM met) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM met) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": topk.OP1_SQL, "op12_spelling_groups": spelling.OP12_SQL}
+    return {"op1_pivot_topk": topk.OP1_SQL, "op10_positional_decontamination": decontamination.OP10_SQL, "op12_spelling_groups": spelling.OP12_SQL}

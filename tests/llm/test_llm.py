@@ -336,6 +336,11 @@ def test_decontamination(spark, monkeypatch):
         r = out[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(w)), i
     assert out[None].n_hit == 0 and len(out) == 9
+    shared = [(5, "short item, here", "x"), (5, "clean", "x"), (None, "short ITEM here", "x"), (None, "clean", "x"), (None, "short ITEM here", "x"), (7, "clean", "x")]
+    judged = decontamination.hits(spark.createDataFrame(shared, DOCS), items)
+    assert sorted(((r.doc_id, r.n_hit, r.contaminated) for r in judged.collect()), key=str) == sorted([(5, 3, True), (5, 0, False), (None, 3, True), (None, 3, True), (None, 0, False), (7, 0, False)], key=str)
+    clash = spark.createDataFrame(shared, DOCS).withColumns({"key": F.lit("k"), "words": F.lit(1), "n_hit": F.lit("n"), "document_key": F.lit(0)})
+    assert clash.count() == 6 and decontamination.hits(clash, items).where("contaminated").count() == 3
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)  # the same by shuffle joins
     assert {r.doc_id: r for r in decontamination.hits(docs(spark, texts), items).collect()} == out
     monkeypatch.undo()

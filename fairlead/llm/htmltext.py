@@ -9,8 +9,12 @@ in it, keeps its own best one.
 Null and empty pages, and pages without text, give an empty string. A null or unreadable url belongs to the host ''.
 Ties between paths go to the longer, then the lexically smaller path; ties between containers to the earlier one. Each
 row is cut on its own, repeated page_ids too; very long and deeply nested pages are cut whole, in time that grows with
-their length. An element is boilerplate by its tag or class words unless it holds an article or half of the page's text.
-Columns other than page_id, url and html play no part.
+their length. Columns other than page_id, url and html play no part.
+
+What is around an article is known by its tags and class words, never by its size. Menus, footers, asides, comments,
+related cards and notices are no part of any article, however long, and hold none: an ``<article>`` among comments is a
+comment. Words that name a place in the layout (a form about the whole page, a body "with sidebar") may also name a
+wrapper of the article; such an element is looked into where nothing outside of it is marked as the article.
 """
 
 from __future__ import annotations
@@ -39,10 +43,16 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _AROUND = frozenset("nav footer aside form header menu dialog".split())
-_AROUND_WORDS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar side aside rail widget widgets related recommended recommendations promo promos promoted promotion ad ads advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login modal popup overlay share sharing social comment comments reply replies discussion respond disqus form search pagination pager tags tagcloud copyright legal disclaimer skip".split()
+# Of tags and words around an article, those that may also be about it.
+_LAYOUT_TAGS = frozenset("form header".split())
+_LAYOUT_WORDS = frozenset("header masthead sidebar side rail widget widgets banner ad ads promo promos form search social share sharing overlay modal tags footer foot".split())
+_AROUND_WORDS = _LAYOUT_WORDS | frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs topbar bottombar aside related recommended recommendations promoted promotion advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup comment comments reply replies discussion respond disqus pagination pager tagcloud copyright legal disclaimer skip".split()
 )
+# Words of one reader's comment; an element named so is none of the article, whatever else it is named.
+_COMMENT_WORDS = frozenset("comment reply respond disqus".split())
 _ARTICLE_WORDS = frozenset("article post entry story content main body text".split())
+_SCOPES = frozenset("article body table".split())
 _CONTAINERS = frozenset("article main section div td body".split())
 # An end of one of these tags is implied by the start of the others.
 _CLOSES = {"p": _BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -60,14 +70,34 @@ for _open, _starts in _CLOSES.items():
         _ENDED_BY.setdefault(_start, set()).add(_open)
 
 
+FIT, LAYOUT, APART = range(3)
+
+
+def _fit_of(tag: str, words: set[str], in_article: bool) -> int:
+    """Whether an element may hold the article (FIT), may do so if nothing else does (LAYOUT), or is apart from it."""
+    if tag in ("body", "html", "main", ""):
+        return FIT
+    named = words & _AROUND_WORDS
+    if tag == "article":
+        return APART if words & _COMMENT_WORDS else FIT
+    if tag in _AROUND:
+        if tag == "header" and in_article:  # an article's own header holds its title
+            return FIT
+        return LAYOUT if tag in _LAYOUT_TAGS and not named - _LAYOUT_WORDS else APART
+    if not named:
+        return FIT
+    about = not named - _LAYOUT_WORDS or words & _ARTICLE_WORDS and not words & _COMMENT_WORDS
+    return LAYOUT if about else APART
+
+
 class Node:
-    __slots__ = ("tag", "step", "key", "parent", "unfit", "hidden", "around", "holds", "pieces", "raw", "text", "linked", "in_article", "taken", "words")
+    __slots__ = ("tag", "step", "key", "parent", "unfit", "hidden", "around", "within", "marked", "pieces", "text", "linked", "in_article", "taken", "words")
 
     def __init__(self, tag, parent, attributes):
         self.tag, self.parent = tag, parent
         self.pieces: list = []  # strings, nodes, in page order
-        self.raw = self.text = self.linked = 0
-        self.around = self.holds = self.taken = False
+        self.text = self.linked = self.within = 0
+        self.around = self.marked = self.taken = False
         found = {}
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
@@ -76,9 +106,7 @@ class Node:
         self.words = {w for x in (found.get("class", ""), found.get("id", ""), found.get("role", "")) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) if w}
         self.hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
-        self.unfit = tag in _AROUND or bool(self.words & _AROUND_WORDS) and tag not in ("body", "html", "article", "main")
-        if tag == "header" and self.in_article:  # an article's own header holds its title
-            self.unfit = False
+        self.unfit = _fit_of(tag, self.words, self.in_article)
         # A path is a chain of steps; it is compared by its key, and written out only for votes and equal keys.
         self.step = ".".join([tag, *sorted(set(label))]) if tag in _CONTAINERS or label else None
         before = parent.key if parent is not None else 0
@@ -140,10 +168,16 @@ def parse(page: str) -> list[Node]:
     root = Node("", None, "")
     nodes, open_ = [root], [root]
     count: dict[str, int] = {}
+    # Open elements by tag since the last one that ends of inline elements do not reach across.
+    scopes: list[dict[str, int]] = [{}]
+    endless: set[str] = set()  # tags of which no end follows any more
 
     def close(i):
-        for node in open_[i:]:
+        for node in reversed(open_[i:]):
             count[node.tag] -= 1
+            if node.tag in _SCOPES:
+                scopes.pop()
+            scopes[-1][node.tag] -= 1
         del open_[i:]
 
     stream = tokens(page)
@@ -153,23 +187,23 @@ def parse(page: str) -> list[Node]:
         if tag is None:
             continue
         if closing:
-            if count.get(tag):
+            if count.get(tag) if tag in _BLOCK else scopes[-1].get(tag):
                 for i in range(len(open_) - 1, 0, -1):
                     if open_[i].tag == tag:
                         close(i)
                         break
-                    if open_[i].tag in ("article", "body", "table") and tag not in _BLOCK:
-                        break
             if tag in _BLOCK:
                 open_[-1].pieces.append(None)
             continue
         if tag in _SILENT:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and tag not in endless:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if end:
                     stream.send(end.end())
                 elif tag in ("script", "style"):
                     break
+                else:
+                    endless.add(tag)
             continue
         if tag in ("br", "hr"):
             open_[-1].pieces.append(None if tag == "hr" else " ")
@@ -190,6 +224,9 @@ def parse(page: str) -> list[Node]:
         if not attributes.endswith("/"):
             open_.append(node)
             count[tag] = count.get(tag, 0) + 1
+            scopes[-1][tag] = scopes[-1].get(tag, 0) + 1
+            if tag in _SCOPES:
+                scopes.append({})
     return nodes
 
 
@@ -228,24 +265,21 @@ def blocks(node: Node) -> list[str]:
 
 
 def weigh(nodes: list[Node]) -> None:
-    """Marks boilerplate, and counts characters of plain and of linked text in each element without it."""
-    for node in reversed(nodes):
-        node.raw += sum(len(p) for p in node.pieces if isinstance(p, str) and not p.isspace())
-        if node.parent is not None and not node.hidden:
-            node.parent.raw += node.raw
-            node.parent.holds = node.parent.holds or node.holds or node.tag in ("article", "main")
+    """Counts characters of plain and of linked text in each element, without what is around the article in it, and says
+    what each element lies within and whether an article is marked in it or about it."""
     for node in nodes:
-        soft = node.unfit and not node.holds and 2 * node.raw < nodes[0].raw
-        node.around = node.hidden or soft or (node.parent is not None and node.parent.around)
+        node.around = node.hidden or node.unfit != FIT
+        own = APART if node.hidden else node.unfit
+        node.within = own if node.parent is None else max(own, node.parent.within)
+        node.marked = node.tag in ("article", "main", "h1") or node.parent is not None and node.parent.marked and node.parent.tag != "h1"
     for node in reversed(nodes):
-        if node.around:
-            continue
         node.text += sum(len(p) for p in node.pieces if isinstance(p, str) and not p.isspace())
         if node.tag == "a":
             node.linked = node.text
-        if node.parent is not None:
+        if node.parent is not None and not node.around:
             node.parent.text += node.text
             node.parent.linked += node.linked
+            node.parent.marked = node.parent.marked or node.marked
 
 
 def score(node: Node) -> float:
@@ -254,17 +288,28 @@ def score(node: Node) -> float:
     return (node.text - 2 * node.linked) * favour
 
 
-def best_container(nodes: list[Node]) -> Node:
-    best, most = nodes[0], score(nodes[0])
+def _best_of(nodes: list[Node]) -> Node | None:
+    best, most = None, 0.0
     for node in nodes:
-        if node.tag in _CONTAINERS and not node.around and node.text:
-            s = score(node)
-            # An inner container takes over when it keeps all of the plain text, headings and leads included.
-            if s > most or (s >= 0.9 * most and node.text - node.linked >= 0.99 * (best.text - best.linked)):
-                best, most = node, max(s, most)
+        s = score(node)
+        # An inner container takes over when it keeps all of the plain text, headings and leads included.
+        if best is None or s > most or (s >= 0.9 * most and node.text - node.linked >= 0.99 * (best.text - best.linked)):
+            best, most = node, s if best is None else max(s, most)
     return best
 
 
+def best_container(nodes: list[Node]) -> Node:
+    """The container of the article: among those outside of all that is around articles, or within the layout's elements
+    where only these hold a marked article, or any text."""
+    held = [n for n in nodes if n.text and (n.tag in _CONTAINERS or n is nodes[0])]
+    outside = _best_of([n for n in held if n.within == FIT])
+    if outside is None or not outside.marked:
+        inside = _best_of([n for n in held if n.within == LAYOUT])
+        if inside is not None and (outside is None or inside.marked):
+            return inside
+    return outside or nodes[0]
+
+
 def _cut(page: str, path: str | None) -> str:
     if not page:
         return ""
@@ -276,7 +321,7 @@ def _cut(page: str, path: str | None) -> str:
         key, by_path = key_of(path), []
         for x in nodes[1:]:  # the outermost ones by the host's path
             x.taken = x.parent.taken
-            if not x.taken and x.key == key and x.tag in _CONTAINERS and not x.around and x.text and x.path == path:
+            if not x.taken and x.key == key and x.tag in _CONTAINERS and x.within <= own.within and x.text and x.path == path:
                 x.taken = True
                 by_path.append(x)
         if own.text and sum(x.text for x in by_path) >= LEAST_SHARE * own.text:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.bitplanes import token_files
 from fairlead.llm.common import durable, table, whole_text
-from fairlead.llm.decontamination import hits
+from fairlead.llm.decontamination import document_key, hits
 from fairlead.llm.jaccard import jaccard_components
 from fairlead.llm.mixing import mix, with_tokens, with_topic
 from fairlead.llm.quality import score_quality
@@ -20,11 +20,18 @@ from fairlead.llm.quality import score_quality
 KEEP_FROM = 0.7
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it what no column of ``docs`` is called."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; empty ones get the sample's share of good labels. Other columns pass through."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    scored = score_quality(docs, labels, score="__quality")
-    return scored.where(F.col("__quality") >= KEEP_FROM).select(*docs.columns)
+    score = _fresh(docs, "__quality")
+    return score_quality(docs, labels, score=score).where(F.col(score) >= KEEP_FROM).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +40,25 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     groups = durable(jaccard_components(docs, words=5, num=80, den=100), "groups")
     named = groups.select(F.col("doc_id").alias("__near_id"), F.col("text_key").alias("__near_key"), "first", "n_shingles")
     dropped = durable(named.where("not first").select("__near_id", "__near_key").distinct(), "near-copies")
-    keyed = docs.withColumn("__text_key", F.xxhash64(whole_text()))
-    same = (F.col("doc_id").cast("long") == F.col("__near_id")) & (F.col("__text_key") == F.col("__near_key"))
+    text_key = _fresh(docs, "__text_key")
+    keyed = docs.withColumn(text_key, F.xxhash64(whole_text()))
+    same = (F.col("doc_id").cast("long") == F.col("__near_id")) & (F.col(text_key) == F.col("__near_key"))
     kept = keyed.join(dropped, same, "left_anti")
     rows = named.where("first and n_shingles > 0 and __near_id is not null").groupBy("__near_id", "__near_key").count()
     repeated = durable(rows.where("count > 1").select("__near_id", "__near_key"), "repeated")
     if not repeated.isEmpty():
-        once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__text_key"])
+        once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", text_key])
         kept = kept.join(repeated, same, "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage by the contamination rule. Rows without doc_id stay."""
-    found = hits(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(durable(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark passage by the contamination rule. Each row is judged by its own text, whether it
+    shares its doc_id or has none; rows that repeat both go or stay together. Null and empty texts stay, an empty table
+    stays empty, and other columns, whatever their names, pass through."""
+    key = _fresh(docs, "document_key")
+    found = hits(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("document_key").alias(key)).distinct()
+    return docs.withColumn(key, document_key()).join(durable(found, "contaminated"), key, "left_anti").select(*docs.columns)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions import text as tx
 from fairlead.functions import voyage as vy
 from fairlead.operators import joins, models, portcalls, queueing, recommendations, registers, routes, windows
+from fairlead.session import shared_folder
 from fairlead.sources import contracts, files, silver
+from fairlead.sources.tables import BucketedTable
 
 from .proxies import FIXES_SQL, bearing_sql, fixes, gc_sql, hav_sql, table
 
@@ -303,8 +307,22 @@ t AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, event_type, ch
 
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    new = c.where("c_custkey % 10 = 3").select((F.col("c_custkey") + F.when(F.col("c_custkey") % 20 == 3, 10_000_000).otherwise(0)).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return joins.upsert(c, new, "c_custkey")
+    return joins.upsert(c, _new_customers(c), "c_custkey")
+
+
+def _new_customers(c: DataFrame) -> DataFrame:
+    """A tenth of the customers with new values, half of them under new keys."""
+    moved = F.when(F.col("c_custkey") % 20 == 3, 10_000_000).otherwise(0)
+    return c.where("c_custkey % 10 = 3").select((F.col("c_custkey") + moved).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+
+
+def upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table of bucket versions: customers are stored, updated, and read back."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    stored = BucketedTable(spark, f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}", "c_custkey", buckets=64)
+    stored.upsert(c)
+    stored.upsert(_new_customers(c))
+    return stored.read()
 
 
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -454,7 +472,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         waiting_stats, waiting_stats_by_type, label_vs_median, reconciliation, queue_wait, subject_merge, carbon_intensity, kwon_loss, jit_speed, route_losses, signals, admission, savings, route_cumulative, route_legs, position_along_route, nearest_time, route_weather,
-        latest_per_key, topk_recent, latest_rows, session_assign, session_evolution, upsert, insert_ignore, lookup_join, message_dedup, keyed_zip, contract_split, contract_rows, message_counts, props_extract, text_cleaning, coverage_report, feature_profile, profile, register_derivation,
+        latest_per_key, topk_recent, latest_rows, session_assign, session_evolution, upsert, upsert_buckets, insert_ignore, lookup_join, message_dedup, keyed_zip, contract_split, contract_rows, message_counts, props_extract, text_cleaning, coverage_report, feature_profile, profile, register_derivation,
         feature_screen, grouped_cv, confusion, longest_waits, calls_by_priority, session_order, any_critical, silver_days,
     )
 }
@@ -483,6 +501,7 @@ SQL = {
     "session_assign": f"WITH {_SESSION_SQL} SELECT event_id, session_id FROM t",
     "session_evolution": f"WITH {_SESSION_SQL}, g AS (SELECT session_id, min(ts) AS a, max(ts) AS b, count(*) AS events, arg_min(value - 50, ts) AS f, arg_max(value - 50, ts) AS l FROM t GROUP BY session_id) SELECT session_id, round(f, 6) AS first_value, round(l, 6) AS last_value, CAST(floor(epoch(b)) - floor(epoch(a)) AS BIGINT) AS seconds, events, sign(f) <> sign(l) AS regime_changed FROM g",
     "upsert": "WITH u AS (SELECT c_custkey + CASE WHEN c_custkey % 20 = 3 THEN 10000000 ELSE 0 END AS c_custkey, 'NEW' AS c_mktsegment, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 10 = 3) SELECT * FROM u UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM u)",
+    "upsert_buckets": "WITH u AS (SELECT c_custkey + CASE WHEN c_custkey % 20 = 3 THEN 10000000 ELSE 0 END AS c_custkey, 'NEW' AS c_mktsegment, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 10 = 3) SELECT * FROM u UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM u)",
     "insert_ignore": "SELECT c_custkey + 100 AS c_custkey, c_mktsegment FROM customer WHERE c_custkey + 100 NOT IN (SELECT c_custkey FROM customer)",
     "lookup_join": "SELECT s_name, sum(l_quantity) AS quantity, count(*) AS rows FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON l_suppkey = s_suppkey GROUP BY s_name",
     "message_dedup": 'SELECT part, "offset", event_id FROM (SELECT event_id % 16 AS part, event_id // 32 AS "offset", event_id, row_number() OVER (PARTITION BY event_id % 16, event_id // 32 ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1',

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fairlead.operators import slices
+
 
 def topic(spark: SparkSession, servers: str, name: str, starting: str = "earliest", most_per_batch: int | None = None) -> DataFrame:
     """A broker topic as a stream, with its metadata; needs the broker connector on the class path."""
@@ -56,21 +58,41 @@ def require_tables(spark: SparkSession, *names: str) -> list[DataFrame]:
     return [spark.table(n) for n in names]
 
 
-def joined_objects(spark: SparkSession, path: str, schema: T.StructType, first: int = 0, most: int | None = None) -> DataFrame:
-    """Files of JSON objects that simply follow one another, as rows ``idx`` and ``o`` in their order of each file.
+def joined_objects(spark: SparkSession, path: str, schema: T.StructType | str, first: int = 0, most: int | None = None) -> DataFrame:
+    """Files of JSON objects that simply follow one another, as rows ``file``, ``idx`` and ``o`` in their order of each file.
+
+    A file is read in splits, as pieces that end at closing braces, so no task holds a file, however long. What a piece
+    does follows from the state before it: its quotes change whether one is within a string, and its braces outside of
+    strings change the depth. Both add up along the file, split by split (``slices.along``); where the depth comes back to
+    zero an object ends. Its pieces, as many as it has closing braces, are put together again.
 
-    Objects are parted at a closing brace followed by an opening one with only white space between, outside of strings; a
-    file is cut into strings, such gaps and what is between them, and only the gaps are changed.
+    White space between objects and after the last one is left out. An object that does not fit ``schema`` is null, as
+    ``from_json`` has it. Empty files have no rows.
     """
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    pieces = F.regexp_extract_all("value", F.lit(r'"(?:[^"\\]++|\\.)*+"|\}\s*+\{|[^"}]++|[}"]'), F.lit(0))
-    cut = F.transform(pieces, lambda x: F.when(F.startswith(x, F.lit("}")) & F.endswith(x, F.lit("{")), "}\u001e{").otherwise(x))
-    parts = F.split(F.trim(F.array_join(cut, "")), "\u001e")
-    rows = text.select("file", F.posexplode(parts).alias("idx", "body")).where("trim(body) <> ''")
-    rows = rows.where(F.col("idx") >= first)
+    read = spark.read.option("lineSep", "}").text(path)
+    at = {"file": F.col("_metadata.file_path"), "split": F.col("_metadata.file_block_start"), "place": F.monotonically_increasing_id()}
+    pieces = read.select(F.col("value").alias("piece"), *[c.alias(n) for n, c in at.items()])
+    pieces = pieces.withColumns({slices.KEY: F.struct("file"), slices.SLICE: F.col("split")})
+
+    bare = F.regexp_replace("piece", r"\\(?s:.)", "")  # without escaped characters, quotes are all ends of strings
+    parts = F.split(bare, '"')
+    every_second = lambda odd: F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
+    braces = lambda odd: F.length(every_second(odd)) - F.length(F.translate(every_second(odd), "{", ""))
+    counted = pieces.withColumns({"quotes": F.size(parts) - 1, "opens": braces(0), "opens_quoted": braces(1)})
+    counted = slices.along(counted, ["place"], running={"quotes_so_far": F.col("quotes")})
+    began_quoted = (F.col("quotes_so_far") - F.col("quotes")) % 2 == 1
+    closes = (F.col("quotes_so_far") % 2 == 0).cast("int")
+    deeper = F.when(began_quoted, F.col("opens_quoted")).otherwise(F.col("opens")) - closes
+    placed = slices.along(counted.withColumn("deeper", deeper), ["place"], running={"depth": F.col("deeper")})
+    # What follows the last object ends at no brace, so it alone seems to go below zero.
+    ends = ((F.col("depth") == 0) & (F.col("quotes_so_far") % 2 == 0)).cast("int")
+    placed = slices.along(placed.where("depth >= 0").withColumn("ends", ends), ["place"], running={"ended": F.col("ends")})
+    placed = slices.whole(placed).withColumn("idx", (F.col("ended") - F.col("ends")).cast("int")).where(F.col("idx") >= first)
     if most is not None:
-        rows = rows.where(F.col("idx") < first + most)
-    return rows.select("file", "idx", F.from_json("body", schema).alias("o"))
+        placed = placed.where(F.col("idx") < first + most)
+    whole = placed.groupBy("file", "idx").agg(F.max("ends").alias("whole"), F.array_sort(F.collect_list(F.struct("split", "place", "piece"))).alias("pieces"))
+    body = F.concat(F.array_join(F.transform("pieces", lambda p: p["piece"]), "}"), F.lit("}"))
+    return whole.where("whole = 1").select("file", "idx", F.from_json(body, schema).alias("o"))
 
 
 def newer_than(df: DataFrame, time: str, seen: Column | None, initial: int = 50) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,27 +32,90 @@ def clear_sentinels(df: DataFrame, course: str = "cog", heading: str = "heading"
     return out
 
 
-def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    filled = Imputer(inputCols=features, outputCols=[f"{f}__f" for f in features], strategy="median").fit(df).transform(df)
-    return VectorAssembler(inputCols=[f"{f}__f" for f in features], outputCol="features").transform(filled)
-
-
-def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 10) -> DataFrame:
-    """feature, mutual_information (nats) with the label, over quantile bins; null is a bin of its own."""
-    cuts = {f: df.approxQuantile(f, [i / bins for i in range(1, bins)], 0.0) for f in features}
+#: Size of a quantile sketch: up to so many values it holds them all, beyond, ranks are off by about 0.03 %.
+SKETCH = 4096
+BINS = 10
+#: Folds that are fitted at the same time.
+AT_ONCE = 5
+
+
+def _sketches(df: DataFrame, columns: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each column, from one aggregation of mergeable sketches: distinct values in order, the mean rank (0 to 1) of each,
+    and the cuts of BINS quantile bins. All of a size that SKETCH bounds."""
+    number = lambda c: F.col(c).cast("double")
+    made = df.agg(*[F.kll_sketch_agg_double(F.when(~F.isnan(number(c)), number(c)), F.lit(SKETCH)).alias(c) for c in columns]).first()
+    # The sketches themselves are asked on a table of one row for each column.
+    held = df.sparkSession.createDataFrame([(c, made[c]) for c in columns], "name string, sketch binary").where(F.kll_sketch_get_n_double("sketch") > 0)
+    ask = lambda f, points, name: {r[0]: np.array(r[1], float) for r in held.where(F.col("name").isin(*name)).select("name", f("sketch", F.lit(points))).collect()}
+    values = ask(F.kll_sketch_get_quantile_double, (np.arange(SKETCH) + 0.5) / SKETCH, columns)
+    cuts = ask(F.kll_sketch_get_quantile_double, np.arange(1, BINS) / BINS, columns)
+    out = {}
+    for c in columns:
+        if c not in values:
+            out[c] = (np.zeros(0), np.zeros(0), np.zeros(0))
+            continue
+        known = np.unique(values[c])
+        up_to = ask(F.kll_sketch_get_rank_double, known, [c])[c]
+        out[c] = (known, (np.r_[0.0, up_to[:-1]] + up_to) / 2, np.unique(cuts[c]))
+    return out
 
-    def binned(f):
-        b = F.lit(0)
-        for cut in dict.fromkeys(cuts[f]):
-            b = b + (F.col(f) > cut).cast("int")
-        return F.struct(F.lit(f).alias("feature"), F.coalesce(b, F.lit(-1)).alias("bin"))
 
-    long = df.where(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.explode(F.array(*map(binned, features))).alias("x")).select("x.*", "y")
-    joint = long.groupBy("feature", "bin", "y").agg(F.count("*").alias("n"))
-    n = F.sum("n").over(W.partitionBy("feature"))
-    px, py = F.sum("n").over(W.partitionBy("feature", "bin")), F.sum("n").over(W.partitionBy("feature", "y"))
-    terms = joint.select("feature", (F.col("n") / n * F.log(F.col("n") * n / (px * py))).alias("term"))
-    return terms.groupBy("feature").agg(F.greatest(F.lit(0.0), F.sum("term")).alias("mutual_information"))
+def _rank_sums(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, dict]:
+    """Correlations of ranks among the features and the label (the last), and counts by (feature, bin, label), from one
+    pass that sums within tasks. A null has the middle rank and a bin of its own."""
+    names = [*features, label]
+    known = _sketches(df, names)
+    width = len(names)
+
+    def sums(batches):
+        total = np.zeros((width + 1, width + 1))
+        seen: dict = {}
+        for rows in batches:
+            columns = [rows[c].to_numpy(float, na_value=np.nan) for c in names]
+            ranks = np.ones((len(rows), width + 1))
+            for i, (c, x) in enumerate(zip(names, columns)):
+                values, rank, _ = known[c]
+                at = np.clip(np.searchsorted(values, x), 0, max(len(values) - 1, 0))
+                ranks[:, i] = np.where(np.isnan(x), 0.5, rank[at]) if len(values) else 0.5
+            total += ranks.T @ ranks
+            for i, c in enumerate(features):
+                bins = np.where(np.isnan(columns[i]), -1, np.searchsorted(known[c][2], columns[i], "left"))
+                for key, n in zip(*np.unique(np.c_[bins, columns[-1]], axis=0, return_counts=True)):
+                    seen[i, int(key[0]), float(key[1])] = seen.get((i, int(key[0]), float(key[1])), 0) + int(n)
+        out = [(i, j, None, total[i, j]) for i in range(width + 1) for j in range(i + 1)]
+        yield pd.DataFrame(out + [(i, b, y, float(n)) for (i, b, y), n in seen.items()], columns=["i", "j", "y", "value"]).astype({"y": float})
+
+    given = df.where(F.col(label).isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in names])
+    summed = given.mapInPandas(sums, "i int, j int, y double, value double").groupBy("i", "j", F.col("y")).agg(F.sum("value").alias("value"))
+    cross, joint = np.zeros((width + 1, width + 1)), {}
+    for r in summed.collect():  # as many rows as pairs of columns, and bins by classes
+        if r.y is None or np.isnan(r.y):
+            cross[r.i, r.j] = cross[r.j, r.i] = r.value
+        else:
+            joint[r.i, r.j, r.y] = r.value
+    n = max(cross[width, width], 1.0)
+    mean = cross[width, :width] / n
+    cov = cross[:width, :width] / n - np.outer(mean, mean)
+    spread = np.sqrt(np.clip(np.diag(cov), 0, None))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        matrix = np.where(np.outer(spread > 1e-12, spread > 1e-12), cov / np.outer(spread, spread), np.nan)
+    return matrix, joint
+
+
+def _information(joint: dict, feature: int) -> float:
+    """Mutual information (nats) of a feature's bins and the label."""
+    own = {(b, y): n for (i, b, y), n in joint.items() if i == feature}
+    n = sum(own.values())
+    by_bin, by_label = {}, {}
+    for (b, y), k in own.items():
+        by_bin[b], by_label[y] = by_bin.get(b, 0) + k, by_label.get(y, 0) + k
+    return max(0.0, sum(k / n * np.log(k * n / (by_bin[b] * by_label[y])) for (b, y), k in own.items()))
+
+
+def mutual_information(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """feature, mutual_information (nats) with the label, over BINS quantile bins; null is a bin of its own."""
+    _, joint = _rank_sums(df, features, label)
+    return df.sparkSession.createDataFrame([(f, float(_information(joint, i))) for i, f in enumerate(features)], "feature string, mutual_information double")
 
 
 def _pearson(a: str, b: str):
@@ -60,34 +126,44 @@ def _pearson(a: str, b: str):
 
 
 def feature_screen(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """feature, missing_pct, distinct_values, mutual_information, pearson, spearman (with the label), kept and reason."""
-    aggs = [a for f in features for a in (F.avg(F.col(f).isNull().cast("double")).alias(f"{f}__m"), F.countDistinct(f).alias(f"{f}__d"), _pearson(f, label).alias(f"{f}__p"))]
+    """feature, missing_pct, mutual_information, pearson, spearman (with the label), kept and reason.
+
+    Three aggregations whatever the number of features: counts and moments, quantile sketches, and the sums of ranks; the
+    driver gets their totals only. Features that are mostly missing or constant go; of two whose ranks go together, the one
+    that says less of the label. Ties are ranked in their middle, nulls in the middle of all. Rows without label count for
+    what is missing only. An empty table keeps nothing (all constant)."""
+    aggs = [a for f in features for a in (F.avg(F.col(f).isNull().cast("double")).alias(f"{f}__m"), (F.min(f) < F.max(f)).alias(f"{f}__d"), _pearson(f, label).alias(f"{f}__p"))]
     one = df.agg(*aggs).first()
-    info = {r["feature"]: r["mutual_information"] for r in mutual_information(df, features, label).collect()}
-    reason = {f: "missing" if 100 * (one[f"{f}__m"] or 0) > MAX_MISSING_PCT else "constant" if one[f"{f}__d"] <= 1 else "" for f in features}
-    left = [f for f in features if not reason[f]]
-    spearman = {f: None for f in features}
-    if left:
-        vectors = _assembled(df.where(F.col(label).isNotNull()), [*left, label])
-        matrix = Correlation.corr(vectors, "features", "spearman").first()[0].toArray()
-        spearman |= {f: float(matrix[i][-1]) for i, f in enumerate(left)}
-        for i, a in enumerate(left):
-            for j in range(i):
-                b = left[j]
-                if not reason[a] and not reason[b] and abs(matrix[i][j]) >= MAX_CORRELATION:
-                    worse = a if info.get(a, 0.0) <= info.get(b, 0.0) else b
-                    reason[worse] = f"correlated with {b if worse == a else a}"
-    rows = [(f, float(100 * (one[f"{f}__m"] or 0)), int(one[f"{f}__d"]), float(info.get(f, 0.0)), one[f"{f}__p"], spearman[f], not reason[f], reason[f]) for f in features]
-    return df.sparkSession.createDataFrame(rows, "feature string, missing_pct double, distinct_values long, mutual_information double, pearson double, spearman double, kept boolean, reason string")
+    matrix, joint = _rank_sums(df, features, label)
+    info = {f: float(_information(joint, i)) for i, f in enumerate(features)}
+    reason = {f: "missing" if 100 * (one[f"{f}__m"] or 0) > MAX_MISSING_PCT else "" if one[f"{f}__d"] else "constant" for f in features}
+    for i, a in enumerate(features):
+        for j, b in enumerate(features[:i]):
+            if not reason[a] and not reason[b] and abs(matrix[i, j]) >= MAX_CORRELATION:
+                worse = a if info[a] <= info[b] else b
+                reason[worse] = f"correlated with {b if worse == a else a}"
+    spearman = [None if np.isnan(x) else float(x) for x in matrix[:-1, -1]]
+    rows = [(f, float(100 * (one[f"{f}__m"] or 0)), info[f], one[f"{f}__p"], spearman[i], not reason[f], reason[f]) for i, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "feature string, missing_pct double, mutual_information double, pearson double, spearman double, kept boolean, reason string")
+
+
+def numbered(df: DataFrame, by: Column, keys: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: each row's place (from 0) within ``keys`` in the order of the hash ``by``. No task orders all
+    rows of a key: buckets of hashes are counted, and rows placed inside their bucket, behind those before it."""
+    held = df.withColumn("__by", by).withColumn("__bucket", F.pmod("__by", F.lit(BUCKETS)))
+    before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)  # one row for each bucket
+    offsets = held.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n")).select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "__bucket").orderBy("__by", *df.columns))
+    placed = held.withColumn("__inside", inside).join(F.broadcast(offsets), [*keys, "__bucket"])  # BUCKETS rows for a key at most
+    return placed.select(*df.columns, (F.col("__before") + F.col("__inside") - 1).alias(name))
 
 
 def with_folds(df: DataFrame, group: str, label: str, folds: int = FOLDS) -> DataFrame:
     """``fold``: all rows of a group in one fold; groups are dealt in turn within their majority label, in
     the order of their hashes, so folds differ by one group at most, over all and in each label."""
     groups = df.groupBy(group).agg(F.avg(F.col(label).cast("double")).alias("__share"), F.count("*").alias("__n"))
-    kind = (F.col("__share") >= 0.5).cast("int")
-    # A rank needs no order over all groups: buckets of hashes are counted, and groups ranked inside their bucket.
-    held = groups.select(F.col(group), F.coalesce(kind, F.lit(0)).alias("__kind"), F.xxhash64(group).alias("__hash")).withColumn("__bucket", F.pmod("__hash", F.lit(BUCKETS)))
+    kind = F.coalesce((F.col("__share") >= 0.5).cast("int"), F.lit(0))
+    held = groups.select(F.col(group), kind.alias("__kind"), F.xxhash64(group).alias("__hash")).withColumn("__bucket", F.pmod("__hash", F.lit(BUCKETS)))
     before = W.orderBy("__kind", "__bucket").rowsBetween(W.unboundedPreceding, -1)  # one row for each bucket
     offsets = held.groupBy("__kind", "__bucket").agg(F.count("*").alias("__n")).select("__kind", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     rank = F.row_number().over(W.partitionBy("__kind", "__bucket").orderBy("__hash", group)) - 1
@@ -132,6 +208,12 @@ def confusion_metrics(predicted: DataFrame, keys: list[str], label: str = "label
     return c.withColumns({"balanced_accuracy": (F.col("recall_0") + F.col("recall_1")) / 2, "f1_0": f1(0), "f1_1": f1(1)}).withColumn("f1_macro", (F.col("f1_0") + F.col("f1_1")) / 2)
 
 
+def _side_by_side(calls: list[tuple]) -> list:
+    """The rows of all calls (function, arguments) in their order; a few run at once, since each is many small jobs."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [row for rows in pool.map(lambda c: c[0](*c[1:]), calls) for row in rows]
+
+
 def grouped_cv(df: DataFrame, features: list[str], label: str, group: str, folds: int = FOLDS, models: dict | None = None) -> DataFrame:
     """Metrics of each model and fold; all fitting and scoring is MLlib's. The number of models and folds is fixed.
     A fold that cannot be scored is a row without metrics whose ``reason`` says why."""
@@ -142,18 +224,18 @@ def grouped_cv(df: DataFrame, features: list[str], label: str, group: str, folds
         schema = confusion_metrics(parts.select(F.lit("").alias("model"), F.lit(0).alias("fold"), "label", F.lit(0.0).alias("prediction")), ["model", "fold"]).schema.add("auc", "double").add("reason", "string")
         for f in schema:
             f.nullable = True
-        rows = []
-        for name, estimator in (models or candidates()).items():
-            for k in range(folds):
-                train, test = parts.where(F.col("fold") != k), parts.where(F.col("fold") == k)
-                reason = "no test rows" if test.isEmpty() else "training rows of one class" if train.select("label").distinct().count() < 2 else None
-                if reason:
-                    rows.append((name, k, *[None] * (len(schema) - 3), reason))
-                    continue
-                scored = pipeline(features, estimator).fit(train).transform(test)
-                auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored)
-                one = confusion_metrics(scored.withColumn("model", F.lit(name)).withColumn("fold", F.lit(k)), ["model", "fold"])
-                rows += [(*r, auc, None) for r in one.collect()]  # one row
+
+        def judged(name, estimator, k):
+            train, test = parts.where(F.col("fold") != k), parts.where(F.col("fold") == k)
+            reason = "no test rows" if test.isEmpty() else "training rows of one class" if train.select("label").distinct().count() < 2 else None
+            if reason:
+                return [(name, k, *[None] * (len(schema) - 3), reason)]
+            scored = pipeline(features, estimator).fit(train).transform(test)
+            auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored)
+            one = confusion_metrics(scored.withColumn("model", F.lit(name)).withColumn("fold", F.lit(k)), ["model", "fold"])
+            return [(*r, auc, None) for r in one.collect()]  # one row
+
+        rows = _side_by_side([(judged, name, e, k) for name, e in (models or candidates()).items() for k in range(folds)])
         return df.sparkSession.createDataFrame(rows, schema)
     finally:
         parts.unpersist()
@@ -165,18 +247,45 @@ def rank_models(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("model").agg(*[a for m in order for a in (F.avg(m).alias(m), F.stddev_samp(m).alias(f"{m}_std"))]).orderBy(*[F.desc(m) for m in order])
 
 
-def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """``df`` with one column's values dealt anew; both sides are numbered by hashes, in partitions of equal rules."""
-    numbered = df.withColumn("__part", F.pmod(F.xxhash64(*df.columns), F.lit(32))).withColumn("__a", F.row_number().over(W.partitionBy("__part").orderBy(F.xxhash64(*df.columns))))
-    other = numbered.select("__part", F.col(column).alias("__value"), F.row_number().over(W.partitionBy("__part").orderBy(F.xxhash64(F.lit(seed), *df.columns))).alias("__a"))
-    return numbered.join(other, ["__part", "__a"]).withColumn(column, F.col("__value")).drop("__part", "__a", "__value")
+def permuted(df: DataFrame, features: list[str], seed: int = 42) -> DataFrame:
+    """``df`` once for each feature, with ``feature``: that one's values dealt anew over all rows by a random order, and
+    once as it is, with feature ''. A row at one place of the table's order gets the value at that place of the feature's
+    own random order, so each column keeps its values, however often they come."""
+    rows = numbered(df, F.xxhash64(*df.columns), [], "__own")
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("__value")) for f in features]))
+    donors = rows.select("__own", values.alias("v")).select("__own", "v.*")
+    dealt = numbered(donors, F.xxhash64(F.lit(seed), "feature", "__own"), ["feature"], "__place").select("feature", F.col("__place").alias("__own"), "__value")
+    asked = rows.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in ("", *features)])))
+    met = asked.join(dealt, ["feature", "__own"], "left")
+    swapped = {f: F.when(F.col("feature") == f, F.col("__value").cast(df.schema[f].dataType)).otherwise(F.col(f)) for f in features}
+    return met.withColumns(swapped).select(*df.columns, "feature")
 
 
-def permutation_importance(model, test: DataFrame, features: list[str], seed: int = 42) -> dict[str, float]:
-    """Loss of balanced accuracy when one feature's values are dealt anew."""
-    score = lambda d: confusion_metrics(model.transform(d), []).first()["balanced_accuracy"]
-    base = score(test)
-    return {f: base - score(permuted(test, f, seed + i)) for i, f in enumerate(features)}
+def permutation_importance(model, test: DataFrame, features: list[str], seed: int = 42) -> DataFrame:
+    """feature, importance: the loss of balanced accuracy when that feature's values are dealt anew. All features are scored
+    in one pass."""
+    by = confusion_metrics(model.transform(permuted(test, features, seed)), ["feature"]).select("feature", "balanced_accuracy")
+    base = F.max(F.when(F.col("feature") == "", F.col("balanced_accuracy"))).over(W.partitionBy())  # one row for each feature
+    return by.withColumn("importance", base - F.col("balanced_accuracy")).where("feature <> ''").select("feature", "importance")
+
+
+def fold_importances(df: DataFrame, features: list[str], label: str, group: str, estimator, folds: int = FOLDS, seed: int = 42) -> DataFrame:
+    """fold, feature, importance of one kind of model, fitted anew for each fold and judged on the fold left out; for
+    ``select_stable``. The number of folds is fixed; a fold that cannot be judged has no rows."""
+    parts = balanced(with_folds(df, group, label, folds), label).persist()
+    try:
+
+        def judged(k):
+            train, test = parts.where(F.col("fold") != k), parts.where(F.col("fold") == k)
+            if test.isEmpty() or train.select("label").distinct().count() < 2:
+                return []
+            model = pipeline(features, estimator).fit(train)
+            return [(k, r.feature, r.importance) for r in permutation_importance(model, test, features, seed + k).collect()]  # one row for each feature
+
+        rows = _side_by_side([(judged, k) for k in range(folds)])
+        return df.sparkSession.createDataFrame(rows, "fold int, feature string, importance double")
+    finally:
+        parts.unpersist()
 
 
 def select_stable(importances: DataFrame, forced: list[str] = ("destination_port_code",), least_folds: int = STABLE_FOLDS, least: int = LEAST_FEATURES) -> DataFrame:

@@ -450,7 +450,37 @@ _FEATURES = ["chars", "words", "signs", "noise", "constant"]
 
 
 def feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.feature_screen(_samples(spark, sf_dir), _FEATURES, "quality")
+    s = models.feature_screen(_samples(spark, sf_dir).withColumn("gaps", F.when(F.col("doc_id") % 3 > 0, F.col("words"))), [*_FEATURES, "gaps"], "quality")
+    return s.select("feature", *[F.round(c, 6).alias(c) for c in ("missing_pct", "mutual_information", "pearson", "spearman")])
+
+
+_SCREEN_SQL = r"""WITH s AS (SELECT doc_id, quality AS y, CAST(length(text) AS DOUBLE) AS chars, CAST(len(regexp_extract_all(text, '\S+')) AS DOUBLE) AS words, CAST(length(regexp_replace(text, '[^!%&|*$]', '', 'g')) AS DOUBLE) AS signs, CAST(doc_id % 7 AS DOUBLE) AS noise FROM documents JOIN labels USING (doc_id)),
+l AS (SELECT y, unnest([{'f': 'chars', 'x': chars}, {'f': 'words', 'x': words}, {'f': 'signs', 'x': signs}, {'f': 'noise', 'x': noise}, {'f': 'constant', 'x': CAST(1 AS DOUBLE)}, {'f': 'gaps', 'x': CASE WHEN doc_id % 3 > 0 THEN words END}], recursive := true) FROM s),
+k AS (SELECT f, count(x) AS known, count(*) AS n FROM l GROUP BY f),
+q AS (SELECT f, list_distinct(quantile_disc(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS cuts FROM l GROUP BY f),
+r AS (SELECT f, x, y, CASE WHEN x IS NULL THEN 0.5 ELSE (rank() OVER (PARTITION BY f ORDER BY x NULLS LAST) - 1 + (count(*) OVER (PARTITION BY f, x) - 0) / 2.0) / known END AS rx,
+  CASE WHEN x IS NULL THEN -1 ELSE len(list_filter(cuts, lambda c: c < x)) END AS b FROM l JOIN k USING (f) JOIN q USING (f)),
+j AS (SELECT f, b, y, count(*) AS n FROM r GROUP BY ALL),
+t AS (SELECT f, sum(n / tot * ln(n * tot / (nb * ny))) AS mi FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY f) AS DOUBLE) AS tot, sum(n) OVER (PARTITION BY f, b) AS nb, sum(n) OVER (PARTITION BY f, y) AS ny FROM j) GROUP BY f),
+c AS (SELECT f, 100.0 * (1 - count(x) / count(*)) AS missing, CASE WHEN min(x) < max(x) THEN corr(x, y) END AS pearson, CASE WHEN min(x) < max(x) THEN corr(rx, y) END AS spearman FROM r GROUP BY f)
+SELECT f AS feature, round(missing, 6) AS missing_pct, round(greatest(mi, 0), 6) AS mutual_information, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM c JOIN t USING (f)"""
+
+
+def stable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which features stay: each fold's model is judged with one feature after the other dealt anew."""
+    features = ["chars", "words", "signs", "noise"]
+    by = models.fold_importances(_samples(spark, sf_dir), features, "quality", "source", models.candidates()["logistic_regression"])
+    return models.select_stable(by, forced=["words"])
+
+
+def permuted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each feature dealt anew: its rows, their sum, and those of the others, which stay as they were."""
+    moved = models.permuted(_samples(spark, sf_dir).select("doc_id", "words", "signs"), ["words", "signs"])
+    return moved.groupBy("feature").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("documents"), F.sum("words").alias("words"), F.sum("signs").alias("signs"), F.sum(F.col("words") * F.col("words")).alias("words_squared"), F.max("signs").alias("most_signs"))
+
+
+_PERMUTED_SQL = r"""SELECT feature, count(*) AS rows, count(DISTINCT doc_id) AS documents, sum(words) AS words, sum(signs) AS signs, sum(words * words) AS words_squared, max(signs) AS most_signs
+FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS DOUBLE) AS words, CAST(length(regexp_replace(text, '[^!%&|*$]', '', 'g')) AS DOUBLE) AS signs FROM documents JOIN labels USING (doc_id)), (VALUES (''), ('words'), ('signs')) v(feature) GROUP BY feature"""
 
 
 def grouped_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,7 +503,7 @@ QUERIES = {
     for f in (
         waiting_stats, waiting_stats_by_type, label_vs_median, reconciliation, queue_wait, subject_merge, carbon_intensity, kwon_loss, jit_speed, route_losses, signals, admission, savings, route_cumulative, route_legs, position_along_route, nearest_time, route_weather,
         latest_per_key, topk_recent, latest_rows, session_assign, session_evolution, upsert, upsert_buckets, insert_ignore, lookup_join, message_dedup, keyed_zip, contract_split, contract_rows, message_counts, props_extract, text_cleaning, coverage_report, feature_profile, profile, register_derivation,
-        feature_screen, grouped_cv, confusion, longest_waits, calls_by_priority, session_order, any_critical, silver_days,
+        feature_screen, stable_features, permuted_columns, grouped_cv, confusion, longest_waits, calls_by_priority, session_order, any_critical, silver_days,
     )
 }
 _EVENT_KIND = "CASE WHEN event_type = 'view' THEN 'Other' ELSE 'PositionReport' END"
@@ -516,6 +546,8 @@ SQL = {
     "profile": "SELECT count(*) AS rows, count(DISTINCT user_id) AS entities, min(ts) AS first, max(ts) AS last FROM events",
     "register_derivation": _REGISTER_SQL,
     "confusion": _CONFUSION_SQL,
+    "feature_screen": _SCREEN_SQL,
+    "permuted_columns": _PERMUTED_SQL,
     "longest_waits": f"WITH {_WAITS_SQL} SELECT o_orderkey, l_linenumber, destination_port_code, wait_hours FROM waits WHERE wait_hours >= 0 ORDER BY wait_hours DESC, o_orderkey, l_linenumber",
     "calls_by_priority": f"WITH {_WAITS_SQL} SELECT o_orderkey, l_linenumber, ship_category, wait_hours FROM waits WHERE wait_hours >= 0 ORDER BY CASE WHEN ship_category = 'F' THEN 0 ELSE 1 END, wait_hours DESC, o_orderkey, l_linenumber",
     "session_order": f"WITH {_SESSION_SQL} SELECT session_id, ts, event_id FROM t ORDER BY session_id, ts, event_id",

@@ -200,7 +200,9 @@ calls AS (SELECT *, CASE WHEN service_start IS NULL AND anchor_start IS NULL THE
   FROM summary LEFT JOIN service USING ({_K}) LEFT JOIN anchor USING ({_K}) LEFT JOIN lastfix USING ({_K}) LEFT JOIN approach USING ({_K}))
 """
 )
-_WAIT_SQL = "round(CASE WHEN flow = 'ANCHOR_TO_SERVICE' THEN (floor(epoch(service_start)) - floor(epoch(anchor_start))) / 3600.0 WHEN flow = 'DIRECT_TO_SERVICE' THEN 0.0 END, 4)"
+_WAIT_RAW_SQL = "CASE WHEN flow = 'ANCHOR_TO_SERVICE' THEN (floor(epoch(service_start)) - floor(epoch(anchor_start))) / 3600.0 WHEN flow = 'DIRECT_TO_SERVICE' THEN 0.0 END"
+_BAND_SQL = "CASE WHEN m > 0 AND m < 100 THEN '0-100' WHEN m >= 100 AND m < 200 THEN '100-200' WHEN m >= 200 AND m < 300 THEN '200-300' WHEN m >= 300 AND m <= 600 THEN '300-600' ELSE 'OTHER' END"
+_WAIT_SQL = f"round({_WAIT_RAW_SQL}, 4)"
 #: Columns of wait_flow as they are, and the places that others are rounded to (mean speeds are often halves at four).
 _CALL_COLUMNS = [*"mmsi destination_port_code call_start call_end fixes anchor_start anchor_end anchor_method service_start service_end service_has_status_5 flow last_fix approach_start has_approach event_time speed cog heading nav_status vessel_id imo length_m".split()]
 _CALL_ROUNDED = {c: 9 if c.endswith("_kn") else 4 for c in "anchor_hours anchor_distance_nm anchor_speed_kn service_hours service_distance_nm service_speed_kn approach_speed_kn approach_course_diff distance_nm".split()}
@@ -221,6 +223,21 @@ def flow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portcalls.calls_by_flow(portcalls.port_calls(berthing(spark, sf_dir)).where("flow is not null"))
 
 
+def current_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls in progress at each vessel's newest fix, with the baseline of their port and length, a model's label (every
+    third vessel's, here) and what the rule of elapsed waits makes of it."""
+    positions = berthing(spark, sf_dir)
+    calls = portcalls.port_calls(positions)
+    newest = positions.groupBy("mmsi").agg(F.max("event_time").alias("event_time"))
+    active = portcalls.active_calls(calls, portcalls.approach_track(positions), newest)
+    keys = ["destination_port_code", "length_band"]
+    medians = portcalls.waiting_stats(portcalls.eligible(calls), keys, exact=True).select(*keys, "median_wait_hours")
+    told = active.join(joins.small_side(medians), keys, "left").withColumn("model_label", (F.col("mmsi") % 3 == 0).cast("int"))
+    out = portcalls.apply_elapsed_rule(told)
+    plain = ["mmsi", *keys, "call_number", "current_time", "current_status", "current_nav_status", "median_wait_hours", "prediction_source", "predicted_class"]
+    return out.select(*plain, *[F.round(c, 4).alias(c) for c in ("current_distance_nm", "current_speed", "anchored_hours")])
+
+
 def stop_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stops(spark, sf_dir)
 
@@ -270,7 +287,7 @@ _CATEGORY_SQL = """CASE WHEN k = 0 THEN 'No disponible' WHEN k BETWEEN 20 AND 29
 QUERIES = {
     "track_enrich": track_enrich, "track_enrich_stream": track_enrich_stream, "track_enrich_sliced": track_enrich_sliced, "asof_sliced": asof_sliced, "segments_sliced": segments_sliced, "spoof_split": spoof_split, "spoof_rate_by_entity": spoof_rate_by_entity, "asof_static": asof_static, "interval_static": interval_static, "scd2_versions": scd2_versions,
     "port_inventory": port_inventory, "port_summary_tumbling": port_summary_tumbling, "eta_alerts": eta_alerts, "destination_resolve": destination_resolve, "destination_by_table": destination_by_table, "target_fleet": target_fleet,
-    "call_sequence": call_sequence, "first_service": first_service, "wait_flow": wait_flow, "flow_counts": flow_counts, "stop_segments": stop_segments, "geo_columns": geo_columns, "area_selection": area_selection, "code_bands": code_bands,
+    "call_sequence": call_sequence, "first_service": first_service, "wait_flow": wait_flow, "flow_counts": flow_counts, "current_predictions": current_predictions, "stop_segments": stop_segments, "geo_columns": geo_columns, "area_selection": area_selection, "code_bands": code_bands,
 }
 SQL = {
     "track_enrich": _TRACK_SQL + "SELECT event_id, mmsi, round(distance_nm, 4) AS distance_nm, round(delta_h, 4) AS delta_h, round(implied_kn, 3) AS implied_kn FROM speeds",
@@ -297,8 +314,17 @@ SQL = {
     + f"""SELECT {", ".join(_CALL_COLUMNS)}, {", ".join(f"round({c}, {n}) AS {c}" for c, n in _CALL_ROUNDED.items())}, CAST(call_number AS BIGINT) AS call_number, {_WAIT_SQL} AS wait_hours, round(least, 4) AS least_distance_nm, round(most, 4) AS most_distance_nm,
   round((floor(epoch(service_start)) - floor(epoch(last_fix))) / 60.0, 4) AS entry_gap_minutes, round((floor(epoch(call_end)) - floor(epoch(call_start))) / 3600.0, 4) AS call_hours,
   sha256(vessel_id || '|' || destination_port_code || '|' || strftime(call_start, '%Y-%m-%d %H:%M:%S.%f')) AS port_call_id, {_CATEGORY_SQL} AS ship_category,
-  CASE WHEN m > 0 AND m < 100 THEN '0-100' WHEN m >= 100 AND m < 200 THEN '100-200' WHEN m >= 200 AND m < 300 THEN '200-300' WHEN m >= 300 AND m <= 600 THEN '300-600' ELSE 'OTHER' END AS length_band FROM (SELECT *, ship_type AS k, length_m AS m FROM calls)""",
+  {_BAND_SQL} AS length_band FROM (SELECT *, ship_type AS k, length_m AS m FROM calls)""",
     "flow_counts": _CALLS_SQL + "SELECT flow, count(*) AS calls FROM calls WHERE flow IS NOT NULL GROUP BY flow",
+    "current_predictions": _CALLS_SQL
+    + f""", banded AS (SELECT *, {_BAND_SQL} AS length_band FROM (SELECT *, length_m AS m FROM calls)),
+medians AS (SELECT destination_port_code, length_band, round(CAST(quantile_disc(wait_h, 0.5) AS DOUBLE), 2) AS median_wait_hours FROM (SELECT *, {_WAIT_RAW_SQL} AS wait_h FROM banded) WHERE wait_h >= 0 AND length_band <> 'OTHER' GROUP BY ALL),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY event_time DESC) AS rn FROM t) WHERE rn = 1 AND inside AND call_number > 0),
+going AS (SELECT b.mmsi, b.destination_port_code, b.length_band, CAST(b.call_number AS BIGINT) AS call_number, l.event_time AS now, CASE WHEN b.anchor_start IS NOT NULL THEN 'ANCHORED' WHEN b.has_approach = 1 THEN 'APPROACH' END AS current_status, l.nav_status AS current_nav_status,
+  l.distance_nm AS d, l.speed AS kn, CASE WHEN b.anchor_start IS NOT NULL THEN (floor(epoch(l.event_time)) - floor(epoch(b.anchor_start))) / 3600.0 END AS anchored FROM banded b JOIN latest l USING (mmsi, destination_port_code, call_number) WHERE b.service_start IS NULL),
+ruled AS (SELECT *, coalesce(current_status = 'ANCHORED' AND anchored > median_wait_hours, false) AS waited FROM going LEFT JOIN medians USING (destination_port_code, length_band) WHERE current_status IS NOT NULL)
+SELECT mmsi, destination_port_code, length_band, call_number, now AS current_time, current_status, current_nav_status, median_wait_hours, CASE WHEN waited THEN 'ELAPSED_WAIT_RULE' ELSE 'ML_MODEL' END AS prediction_source,
+  CASE WHEN NOT waited AND mmsi % 3 = 0 THEN 'JIT' ELSE 'NO_JIT' END AS predicted_class, round(d, 4) AS current_distance_nm, round(kn, 4) AS current_speed, round(anchored, 4) AS anchored_hours FROM ruled""",
     "stop_segments": _SEGMENTS_SQL,
     "segments_sliced": _SEGMENTS_SQL,
     "geo_columns": _GEO_SQL,

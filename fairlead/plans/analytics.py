@@ -267,6 +267,18 @@ def route_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("route_id", "idx", "source_place", F.round("wave_height", 4).alias("wave_height"))
 
 
+_ROUTE_WEATHER_SQL = f"""
+WITH fixes AS ({FIXES_SQL}), p AS (SELECT mmsi AS route_id, row_number() OVER (PARTITION BY mmsi ORDER BY event_time) - 1 AS place, count(*) OVER (PARTITION BY mmsi) AS n, lat, lon, event_time AS eta FROM fixes),
+asked AS (SELECT DISTINCT route_id, CASE WHEN n <= {routes.WEATHER_POINTS} THEN i ELSE CAST(round_even(i * ((n - 1) / {routes.WEATHER_POINTS - 1}.0), 0) AS BIGINT) END AS k
+  FROM (SELECT DISTINCT route_id, n FROM p), range({routes.WEATHER_POINTS}) r(i) WHERE n > {routes.WEATHER_POINTS} OR i < n),
+near AS (SELECT route_id, place, arg_min(k, abs(k - place) * 1000000 + k) AS source_place FROM p JOIN asked USING (route_id) GROUP BY ALL),
+forecast AS (SELECT floor(lat / 2) * 2 AS clat, floor(lon / 2) * 2 AS clon, date_trunc('hour', event_time) AS valid_at, max(speed) AS wave FROM fixes GROUP BY ALL),
+got AS (SELECT route_id, place AS source_place, arg_min(wave, abs(epoch_us(eta) - epoch_us(valid_at)) * 10 + CASE WHEN valid_at <= eta THEN 0 ELSE 1 END) AS wave
+  FROM p JOIN (SELECT route_id, k AS place FROM asked) USING (route_id, place) JOIN forecast ON clat = floor(lat / 2) * 2 AND clon = floor(lon / 2) * 2 AND abs(epoch_us(eta) - epoch_us(valid_at)) <= 6 * 3600000000 GROUP BY ALL)
+SELECT route_id, CAST(place + 1 AS INTEGER) AS idx, CAST(source_place AS INTEGER) AS source_place, round(wave, 4) AS wave_height FROM near LEFT JOIN got USING (route_id, source_place)
+"""
+
+
 # --- keys, sessions, upserts -------------------------------------------------------------------------------------------
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.latest_per_key(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
@@ -547,6 +559,7 @@ SQL = {
     "register_derivation": _REGISTER_SQL,
     "confusion": _CONFUSION_SQL,
     "feature_screen": _SCREEN_SQL,
+    "route_weather": _ROUTE_WEATHER_SQL,
     "permuted_columns": _PERMUTED_SQL,
     "longest_waits": f"WITH {_WAITS_SQL} SELECT o_orderkey, l_linenumber, destination_port_code, wait_hours FROM waits WHERE wait_hours >= 0 ORDER BY wait_hours DESC, o_orderkey, l_linenumber",
     "calls_by_priority": f"WITH {_WAITS_SQL} SELECT o_orderkey, l_linenumber, ship_category, wait_hours FROM waits WHERE wait_hours >= 0 ORDER BY CASE WHEN ship_category = 'F' THEN 0 ELSE 1 END, wait_hours DESC, o_orderkey, l_linenumber",

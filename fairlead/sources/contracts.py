@@ -121,6 +121,24 @@ def static_data(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.drop("raw"), bad
 
 
+def decoded(rows: DataFrame, contract: dict, column: str = "value") -> DataFrame:
+    """Topic values (JSON text) as the contract's columns, beside the rows' own other columns, which give way to them where
+    names clash; all rows, with their text as ``raw`` and as ``reasons`` the fields that the contract wants and the value
+    lacks (``value`` itself, where it is no object). ``split`` parts them; each value is parsed once.
+
+    A field's default in the contract fills it where the value does not name it."""
+    schema = contract_schema(contract)
+    names = [f.name for f in schema]
+    beside = [c for c in rows.columns if c != column and c not in (*names, "raw", "reasons")]
+    text = F.col(column).cast("string")
+    parsed = computed_once(rows, *[F.col(c) for c in beside], text.alias("raw"), F.from_json(text, schema).alias("o"), F.json_object_keys(text).alias("named"))
+    default = {f["name"]: f.get("default") for f in contract["fields"]}
+    value = lambda n: F.col(f"o.`{n}`") if default[n] is None else F.when(F.array_contains("named", n), F.col(f"o.`{n}`")).otherwise(F.lit(default[n]).cast(schema[n].dataType))
+    out = parsed.select(*beside, "raw", F.col("named").isNotNull().alias("__object"), *[value(n).alias(n) for n in names])
+    wanted = {f["name"]: F.col(f"`{f['name']}`").isNotNull() | ~F.col("__object") for f in contract["fields"] if f["type"] != "null" and not (isinstance(f["type"], list) and "null" in f["type"])}
+    return marked(out, {"value": F.col("__object")} | wanted).drop("__object")
+
+
 def reject_value(kind: str) -> Column:
     return F.to_json(F.struct(F.concat_ws(",", "reasons").alias("reason"), F.lit(kind).alias("message_type"), "raw"))
 

@@ -32,6 +32,18 @@ def test_positions(spark):
     assert rec["224000001"]["reason"] == "lat" and rec[None]["message_type"] == "PositionReport"
 
 
+def test_topic_values_into_contract_columns(spark):
+    contract = {"fields": [{"name": "mmsi", "type": "long"}, {"name": "lat", "type": ["null", "double"]}, {"name": "kind", "type": "string", "default": "ais"}, {"name": "raw_name", "type": ["null", "string"]}]}
+    values = [b'{"mmsi": 1, "lat": 2.5, "kind": "x", "more": 1}', b'{"mmsi": 2}', b'{"lat": 1.0}', b"oops", None, b"[1]"]
+    rows = spark.createDataFrame([(v, i, "c") for i, v in enumerate(values)], "value binary, _offset long, mmsi string")
+    good, bad = contracts.split(contracts.decoded(rows, contract))
+    assert good.columns == ["_offset", "raw", "mmsi", "lat", "kind", "raw_name"]
+    assert sorted((r._offset, r.mmsi, r.lat, r.kind) for r in good.collect()) == [(0, 1, 2.5, "x"), (1, 2, None, "ais")]
+    assert sorted((r._offset, r.reasons) for r in bad.collect()) == [(2, ["mmsi"]), (3, ["value"]), (4, ["value"]), (5, ["value"])]
+    plan = contracts.decoded(rows, contract)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 def test_static(spark):
     raw = envelope("ShipStaticData", UserID=5, ImoNumber=0, Name="ALGECIRAS@@@@", Type=70, Dimension={"A": 150, "B": 50, "C": 20, "D": 10}, MaximumStaticDraught=12.344, Destination="@@@", Eta={"Month": 1, "Day": 2, "Hour": 3, "Minute": 4})
     r = contracts.static_data(contracts.parse_messages(spark.createDataFrame([(raw,)], "value string")))[0].first()

@@ -39,7 +39,7 @@ HUB_KEYS = 6
 #: only adds or moves work, since results are exact under any order.
 COMMON_FROM, MOST_COMMON, COMMON_BITS = 12, 8_000_000, 27
 #: Shingles that a task counts before it passes the counts on.
-COUNTED_AT_ONCE = 2_000_000
+COUNTED_AT_ONCE = 500_000
 #: Bits for each wanted document of the sieve that a scan uses before the exact join, and most bits of it.
 SIEVE_SHARE, SIEVE_BITS = 16, 1 << 27
 #: A table of at most so many rows may be broadcast (16 bytes a row).

@@ -3,7 +3,7 @@
 A value is found by its pattern, validated, and its number permuted by a keyed Feistel network within its own format:
 
 * card numbers (13 to 19 digits that pass the Luhn test): all digits but the last are permuted, the check digit follows.
-  In a run of numbers joined by single blanks or dashes, any neighbours that make up such a number are one, the longest
+  In a run of numbers joined by single blanks, dashes, or dots between groups of four, any neighbours that make up such a number are one, the longest
   first and the earlier on ties, so a security code or an expiry beside a card does not hide it;
 * phone numbers with a country code: the digits after the code are permuted, punctuation stays;
 * social security numbers (ddd-dd-dddd, valid groups): permuted until valid again;
@@ -35,7 +35,10 @@ _DATE = r"(?<![\d./-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"
 # A whole run of numbers of 13 digits or more, up to where another kind of value starts; cards are sought in it.
-_CARD = rf"(?<![\d.+-])(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{_EMAIL}|{_IP}|{_SSN}|{_DATE.replace('([/.])', '(?:[/.])').replace(chr(92) + '1', '[/.]')})\d++)*+"
+# Dots part groups of four digits only, so that decimal numbers side by side are no run; a dot or dash before the first
+# digit belongs to the number only if a digit is before it.
+_MARK = r"(?:[ -]|(?<=\d{4})\.(?=\d{4}))"
+_CARD = rf"(?<![\d+])(?<!\d[.-])(?=\d(?:{_MARK}?\d){{12}})\d++(?:{_MARK}(?!{_EMAIL}|{_IP}|{_SSN}|{_DATE.replace('([/.])', '(?:[/.])').replace(chr(92) + '1', '[/.]')})\d++)*+"
 PATTERN = f"{_EMAIL}|{_IP}|{_DATE}|{_SSN}|{_PHONE}|{_CARD}"
 _FIRST_DAY, _DAYS = "1900-01-01", 73049
 
@@ -137,7 +140,7 @@ def card_parts(run: Column) -> Column:
         )
         return let(chosen, pieces)
 
-    return let(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), lambda groups: let(F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0)), lambda marks: of(groups, marks)))
+    return let(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), lambda groups: let(F.regexp_extract_all(run, F.lit("[ .-]"), F.lit(0)), lambda marks: of(groups, marks)))
 
 
 def phone_pseudonym(value: Column, key: str) -> Column:
@@ -210,7 +213,7 @@ def email_pseudonym(value: Column, key: str) -> Column:
 def kind_of(value: Column) -> Column:
     return (
         F.when(F.instr(value, "@") > 0, "email")
-        .when(value.rlike(rf"^(?:\d+\.){{3}}\d+$"), "ip")
+        .when(value.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(value.rlike(r"^(?:\d{4}-\d\d-\d\d|\d\d([/.])\d\d\1\d{4})$"), "date")
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(value.startswith("+"), "phone")

@@ -29,7 +29,7 @@ from .common import as_batch, durable, table, whole_text, work_folder
 
 BLOCK_IDS = 65_536
 #: Entries that a Python worker keeps of the words it has encoded; later ones are encoded anew each time.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 BLOCKS = (
     "part int, seq int, start long, n_ids int, mode string, plane_bytes array<int>, planes binary, "
     "first_doc long, doc_ids array<long>, doc_ids_in_block array<int>, continues boolean, ends boolean"

@@ -41,6 +41,21 @@ def test_destinations(spark):
     assert other == {1: "VALENCIA", 2: "ALGECIRAS", 3: None, 4: None, 5: "VALENCIA"}
 
 
+def test_pieces_of_destinations_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1, "for valencia"), (2, "es bcn"), (3, None), (4, "x")], "id long, destination string").write.parquet(f"{tmp_path}/d")
+    aliases = spark.createDataFrame([(a, p["name"], i) for i, p in enumerate(tracks.PORTS) for a in p["aliases"]], "alias string, port_name string, precedence int")
+    out = tracks.resolve_by_aliases(spark.read.parquet(f"{tmp_path}/d"), "id", aliases)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            under = lines[i + 1 :]
+            under = under[: next((k for k, x in enumerate(under) if depth(x) <= depth(line)), len(under))]
+            assert not any("Generate" in x for x in under)
+    assert sum("BroadcastHashJoin" in x for x in lines) == 1
+    assert {r.id: r.port_name for r in out.collect()} == {1: "VALENCIA", 2: "BARCELONA", 3: None, 4: None}
+
+
 def test_alias_filter_needs_ports():
     with pytest.raises(ValueError):
         tracks.alias_filter("destination", [])

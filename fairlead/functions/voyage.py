@@ -43,6 +43,12 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``x`` to ``places`` as SQL engines round doubles: scaled, rounded to whole numbers (halves away from zero), scaled back.
+    Spark's own rounding goes by the shortest decimal text, so it takes halves that the scaling makes or unmakes otherwise."""
+    return F.round(x * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 def _steps(x: Column, pairs, default) -> Column:
     out = None
     for bound, value in pairs:
@@ -89,7 +95,7 @@ def block_coefficient(key) -> Column:
 
 
 def design_speed_kn(length_m, key) -> Column:
-    return F.round(F.coalesce(_of_type(_col(key), 0), F.lit(0.18)) * F.sqrt(GRAVITY * WATERLINE * _col(length_m)) / KNOT_MS, 2)
+    return rounded(F.coalesce(_of_type(_col(key), 0), F.lit(0.18)) * F.sqrt(GRAVITY * WATERLINE * _col(length_m)) / KNOT_MS, 2)
 
 
 def displacement_t(length_m, beam_m, draught_m, key) -> Column:
@@ -97,7 +103,7 @@ def displacement_t(length_m, beam_m, draught_m, key) -> Column:
 
 
 def deadweight_t(length_m, beam_m, draught_m, key) -> Column:
-    return F.round(displacement_t(length_m, beam_m, draught_m, key) * F.coalesce(_of_type(_col(key), 2), F.lit(0.65)), 1)
+    return rounded(displacement_t(length_m, beam_m, draught_m, key) * F.coalesce(_of_type(_col(key), 2), F.lit(0.65)), 1)
 
 
 def carbon_intensity(speed_kn, length_m, beam_m, draught_m, key, distance_nm, eexi=None, dwt=None) -> Column:
@@ -109,11 +115,11 @@ def carbon_intensity(speed_kn, length_m, beam_m, draught_m, key, distance_nm, ee
     v, distance = _col(speed_kn), _col(distance_nm)
     index, real = _col(eexi).cast("double"), _col(dwt).cast("double")
     design = design_speed_kn(length_m, key)
-    by_index = F.round(index * F.pow(v / design, F.lit(2)), 4)
+    by_index = rounded(index * F.pow(v / design, F.lit(2)), 4)
     estimated = deadweight_t(length_m, beam_m, draught_m, key)
     power = F.pow(displacement_t(length_m, beam_m, draught_m, key), F.lit(2 / 3)) * F.pow(v, F.lit(3)) / F.coalesce(_of_type(_col(key), 3), F.lit(450.0))
     co2 = power * FUEL_G_PER_KWH * (distance / v) / 1000 * CO2_PER_FUEL
-    by_hull = F.when(v <= 0, 0.0).when(estimated <= 0, 0.0).otherwise(F.round(co2 * 1000 / (estimated * distance), 4))
+    by_hull = F.when(v <= 0, 0.0).when(estimated <= 0, 0.0).otherwise(rounded(co2 * 1000 / (estimated * distance), 4))
     indexed = (index > 0) & (v > 0)
     possible = (distance > 0) & (_col(length_m) > 0) & (indexed | ((_col(beam_m) > 0) & (_col(draught_m) > 0)))
     indexed = F.coalesce(indexed, F.lit(False))
@@ -126,7 +132,7 @@ def carbon_intensity(speed_kn, length_m, beam_m, draught_m, key, distance_nm, ee
             design.alias("design_speed_kn"),
             F.when(indexed, real).otherwise(none).alias("dwt_real_t"),
             F.when(indexed, none).otherwise(estimated).alias("dwt_estimated_t"),
-            F.when(indexed, F.round(by_index * real * distance / 1000, 1)).when(v <= 0, 0.0).otherwise(F.round(co2, 1)).alias("co2_kg"),
+            F.when(indexed, rounded(by_index * real * distance / 1000, 1)).when(v <= 0, 0.0).otherwise(rounded(co2, 1)).alias("co2_kg"),
         ),
     )
 

@@ -52,6 +52,14 @@ def test_carbon_intensity(spark):
     assert r[2].c.design_speed_kn == round(0.235 * math.sqrt(9.81 * 0.97 * 190) / 0.5144, 2)
 
 
+def test_halves_are_rounded_as_in_sql(spark):
+    d = spark.createDataFrame([("ferry", 200.0, 17.0, 12.0)], "k string, l double, b double, h double")
+    t = 0.55 * 200.0 * 17.0 * 12.0 * 1.025 * 0.35  # a little below 8050.35, and ten times that is a half
+    assert t * 10 == 80503.5 and d.select(voyage.deadweight_t("l", "b", "h", "k")).first()[0] == 8050.4
+    e = spark.createDataFrame([(2.5, 3.0), (-2.5, -3.0), (None, None)], "x double, want double")
+    assert all(r.want == r.got for r in e.withColumn("got", voyage.rounded(F.col("x"), 0)).collect())
+
+
 def test_signals(spark):
     d = spark.createDataFrame([(0.1, 39.9), (0.09, 40.0), (1.25, 299.0), (2.5, 300.0), (None, 1.0)], "w double, m double")
     assert [(r[0], r[1]) for r in d.select(voyage.sea_state("w"), voyage.freshness("m")).collect()] == [("Rizada", "fresco"), ("Mar en calma", "atenuado"), ("Fuerte marejada", "atenuado"), ("Gruesa o más", "retirado"), ("Sin dato del modelo", "fresco")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ SKETCH = 4096
 BINS = 10
 #: Folds that are fitted at the same time.
 AT_ONCE = 5
+#: Rows of the samples to a partition: a fit is hundreds of passes over few bytes a row, each a task for every partition.
+ROWS_TOGETHER = 20_000
 
 
 def _sketches(df: DataFrame, columns: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -184,9 +187,13 @@ def candidates() -> dict:
     }
 
 
-def pipeline(features: list[str], estimator) -> Pipeline:
+def preparation(features: list[str]) -> list:
     filled = [f"{f}__f" for f in features]
-    return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), estimator])
+    return [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+
+
+def pipeline(features: list[str], estimator) -> Pipeline:
+    return Pipeline(stages=[*preparation(features), estimator])
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -214,31 +221,56 @@ def _side_by_side(calls: list[tuple]) -> list:
         return [row for rows in pool.map(lambda c: c[0](*c[1:]), calls) for row in rows]
 
 
-def grouped_cv(df: DataFrame, features: list[str], label: str, group: str, folds: int = FOLDS, models: dict | None = None) -> DataFrame:
-    """Metrics of each model and fold; all fitting and scoring is MLlib's. The number of models and folds is fixed.
-    A fold that cannot be scored is a row without metrics whose ``reason`` says why."""
-    parts = balanced(with_folds(df, group, label, folds), label).persist()
+@contextmanager
+def _in_folds(df: DataFrame, group: str, label: str, folds: int):
+    """(samples, reasons): ``df`` with fold, label and weight, read once and kept in as many partitions as its rows call
+    for, and by fold why it cannot be judged, or None."""
+    given = df.persist()
+    parts = None
     try:
+        together = max(1, -(-given.count() // ROWS_TOGETHER))
+        parts = balanced(with_folds(given, group, label, folds), label).repartition(together).persist()
+        met = {(r.fold, r.label) for r in parts.select("fold", "label").distinct().collect()}  # folds by classes
+        tested = {k for k, _ in met}
+        classes = {k: {y for other, y in met if other != k} for k in range(folds)}
+        yield parts, {k: "no test rows" if k not in tested else "training rows of one class" if len(classes[k]) < 2 else None for k in range(folds)}
+    finally:
+        if parts is not None:
+            parts.unpersist()
+        given.unpersist()
+
+
+def grouped_cv(df: DataFrame, features: list[str], label: str, group: str, folds: int = FOLDS, models: dict | None = None) -> DataFrame:
+    """Metrics of each model and fold; all fitting and scoring is MLlib's. The number of models and folds is fixed, and a
+    fold's features are prepared once for all models. A fold that cannot be scored is a row without metrics whose
+    ``reason`` says why."""
+    with _in_folds(df, group, label, folds) as (parts, reasons):
         if leakage(parts, group):
             raise ValueError("a group is in two folds")
         schema = confusion_metrics(parts.select(F.lit("").alias("model"), F.lit(0).alias("fold"), "label", F.lit(0.0).alias("prediction")), ["model", "fold"]).schema.add("auc", "double").add("reason", "string")
         for f in schema:
             f.nullable = True
+        named = models or candidates()
 
-        def judged(name, estimator, k):
-            train, test = parts.where(F.col("fold") != k), parts.where(F.col("fold") == k)
-            reason = "no test rows" if test.isEmpty() else "training rows of one class" if train.select("label").distinct().count() < 2 else None
-            if reason:
-                return [(name, k, *[None] * (len(schema) - 3), reason)]
-            scored = pipeline(features, estimator).fit(train).transform(test)
-            auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored)
-            one = confusion_metrics(scored.withColumn("model", F.lit(name)).withColumn("fold", F.lit(k)), ["model", "fold"])
-            return [(*r, auc, None) for r in one.collect()]  # one row
-
-        rows = _side_by_side([(judged, name, e, k) for name, e in (models or candidates()).items() for k in range(folds)])
-        return df.sparkSession.createDataFrame(rows, schema)
-    finally:
-        parts.unpersist()
+        def judged(k):
+            if reasons[k]:
+                return [(name, k, *[None] * (len(schema) - 3), reasons[k]) for name in named]
+            train = parts.where(F.col("fold") != k)
+            ready = Pipeline(stages=preparation(features)).fit(train)
+            train, test = (ready.transform(rows).select("label", "weight", "features").persist() for rows in (train, parts.where(F.col("fold") == k)))
+            out = []
+            try:
+                for name, estimator in named.items():
+                    scored = estimator.fit(train).transform(test)
+                    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(scored)
+                    one = confusion_metrics(scored.withColumn("model", F.lit(name)).withColumn("fold", F.lit(k)), ["model", "fold"])
+                    out += [(*r, auc, None) for r in one.collect()]  # one row
+            finally:
+                train.unpersist()
+                test.unpersist()
+            return out
+
+        return df.sparkSession.createDataFrame(_side_by_side([(judged, k) for k in range(folds)]), schema)
 
 
 def rank_models(metrics: DataFrame) -> DataFrame:
@@ -272,20 +304,17 @@ def permutation_importance(model, test: DataFrame, features: list[str], seed: in
 def fold_importances(df: DataFrame, features: list[str], label: str, group: str, estimator, folds: int = FOLDS, seed: int = 42) -> DataFrame:
     """fold, feature, importance of one kind of model, fitted anew for each fold and judged on the fold left out; for
     ``select_stable``. The number of folds is fixed; a fold that cannot be judged has no rows."""
-    parts = balanced(with_folds(df, group, label, folds), label).persist()
-    try:
+    with _in_folds(df, group, label, folds) as (parts, reasons):
 
         def judged(k):
-            train, test = parts.where(F.col("fold") != k), parts.where(F.col("fold") == k)
-            if test.isEmpty() or train.select("label").distinct().count() < 2:
+            if reasons[k]:
                 return []
-            model = pipeline(features, estimator).fit(train)
-            return [(k, r.feature, r.importance) for r in permutation_importance(model, test, features, seed + k).collect()]  # one row for each feature
+            model = pipeline(features, estimator).fit(parts.where(F.col("fold") != k))
+            by = permutation_importance(model, parts.where(F.col("fold") == k), features, seed + k)
+            return [(k, r.feature, r.importance) for r in by.collect()]  # one row for each feature
 
         rows = _side_by_side([(judged, k) for k in range(folds)])
         return df.sparkSession.createDataFrame(rows, "fold int, feature string, importance double")
-    finally:
-        parts.unpersist()
 
 
 def select_stable(importances: DataFrame, forced: list[str] = ("destination_port_code",), least_folds: int = STABLE_FOLDS, least: int = LEAST_FEATURES) -> DataFrame:

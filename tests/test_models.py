@@ -63,3 +63,11 @@ def test_folds_choose_the_feature_that_tells(spark, sample):
     assert by.count() == 6 and {r.fold for r in by.collect()} == {0, 1, 2}
     kept = {r.feature: r for r in models.select_stable(by, forced=(), least_folds=3, least=1).collect()}
     assert kept["good"].selected and kept["good"].folds == 3 and not kept["gaps"].selected
+
+
+def test_samples_are_kept_in_as_many_partitions_as_their_rows_call_for(spark):
+    rows = [(f"g{g}", int(g < 3), float(g)) for g in range(6)]
+    d = spark.createDataFrame(rows, "source string, quality int, x double").repartition(64)
+    with models._in_folds(d, "source", "quality", 8) as (parts, reasons):
+        assert parts.rdd.getNumPartitions() == 1 and parts.count() == 6
+        assert sorted(r or "" for r in reasons.values()) == [""] * 6 + ["no test rows"] * 2

@@ -72,3 +72,10 @@ def test_alert_payload(spark):
     assert p["paquete_1"]["mmsi"] == 2 and p["paquete_1"]["lat_buque"] == 37.0 and p["paquete_1"]["ETA_static"] is None
     assert p["paquete_2"]["estados"]["num_buques_atracados"] == [{"mmsi": 1, "eslora": 100, "tipo_buque": 70}]
     assert p["paquete_2"]["estados"]["num_buques_fondeados"] == []
+
+
+def test_congestion_counts_what_the_lists_hold(spark):
+    rows = [("A", "ATRACADO", 1, 10), ("A", "ATRACADO", 1, 11), ("A", "FONDEADO", 1, 10), ("A", "FONDEADO", 2, 10), ("A", "EN_CAMINO", 3, 10), ("B", "EN_CAMINO", 4, 10), ("A", "ATRACADO", None, 10)]
+    unique = spark.createDataFrame(rows, "port_name string, vessel_status string, mmsi long, length_m int").withColumns({"ship_type": F.lit(70), "window": F.lit(1)})
+    lists = {r.port_name: (r.congested_count, len(json.loads(r.atracados_json))) for r in tracks.port_summary(unique).collect()}
+    assert {r.port_name: (r.congested_count, r.berthed) for r in tracks.congestion(unique).collect()} == lists == {"A": (2, 3), "B": (0, 0)}

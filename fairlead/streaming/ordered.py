@@ -1,15 +1,17 @@
 """The previous fix of a stream whose rows come out of order.
 
 A vessel's rows wait in its state until the watermark has passed them, since only then can no earlier one come. They are
-released in the order of their times, each with the one released before it, by its vessel's next rows or by an event-time
-timer, whichever is first. So the stream gives the rows of ``operators.tracks.enrich_track`` on the same rows, however
-they are shuffled within the lateness. What a vessel keeps is its last fix and the rows of one lateness.
+released in the order of their times, each with the one released before it, by the next rows or by an event-time timer,
+whichever is first. So the stream gives the rows of ``operators.tracks.enrich_track`` on the same rows, however they are
+shuffled within the lateness. What is kept of a vessel is its last fix and the rows of one lateness, in one state with the
+other vessels of its share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,14 +23,16 @@ from fairlead.operators.tracks import movement
 
 #: A vessel is forgotten so long (in event time) after its last fix.
 STATE_DAYS = 30
-_AT = "__at"
-_STATE = "lat double, lon double, at long, waiting binary"
+#: Shares of vessels, by hash, that have a state together: a call of Python for each vessel costs more than its rows.
+SHARES = 4096
+_AT, _SHARE, _NEW = "__at", "__share", "__new"
+_STATE = "latest binary, waiting binary"
 
 
 def _packed(rows: pd.DataFrame) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -37,42 +41,55 @@ def _unpacked(raw: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(raw).read_pandas()
 
 
-def previous_in_order(positions: DataFrame, lateness: str = "1 minute", key: str = "mmsi", event_time: str = "event_time", ready: bool = False) -> DataFrame:
+def previous_in_order(positions: DataFrame, lateness: str = "1 minute", key: str = "mmsi", event_time: str = "event_time", ready: bool = False, shares: int = SHARES) -> DataFrame:
     """``positions`` with the previous fix of each one's vessel (prev_lat, prev_lon, prev_<event_time>), and distance,
     hours and implied speed as of ``enrich_track``. Fixes of one time are ordered by lat and lon. ``ready``: the stream has
     its watermark already. Rows older than the watermark are dropped by Spark (``late.tagged`` catches them first), and
-    rows without time or vessel are left out, since no order holds them."""
+    rows without time or vessel are left out, since no order holds them. ``shares`` stays the same for a stream's life."""
     base = positions if ready else positions.withWatermark(event_time, lateness)
     base = base.where(F.col(event_time).isNotNull() & F.col(key).isNotNull())
-    base = base.withColumn(_AT, F.unix_micros(event_time))
+    base = base.withColumns({_AT: F.unix_micros(event_time), _SHARE: F.pmod(F.xxhash64(key), F.lit(shares)).cast("int")})
     order = [_AT, "lat", "lon"]
     prev = {"prev_lat": T.DoubleType(), "prev_lon": T.DoubleType(), "__prev_at": T.LongType()}
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in base.schema] + [T.StructField(n, t) for n, t in prev.items()])
     names = base.columns
 
     def release(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lat, lon, at, waiting = state.get if state.exists else (None, None, None, None)
-        if state.hasTimedOut and waiting is None:
-            state.remove()
-            return
+        latest, waiting = state.get if state.exists else (None, None)
+        mark = max(state.getCurrentWatermarkMs(), 0)
+        known = _unpacked(latest) if latest else None
         held = [_unpacked(waiting)] if waiting else []
         if not state.hasTimedOut:
             held += list(frames)
-        rows = pd.concat(held, ignore_index=True)[names]
-        mark = max(state.getCurrentWatermarkMs(), 0)
-        passed = rows[_AT] <= mark * 1000
-        out, rest = rows[passed].sort_values(order, kind="stable"), rows[~passed]
-        if len(out):
-            moved = out[["lat", "lon", _AT]].shift(1)
-            if at is not None:
-                moved.iloc[0] = (lat, lon, at)
-            moved.columns = ["prev_lat", "prev_lon", "__prev_at"]
-            last = out.iloc[-1]
-            lat, lon, at = float(last["lat"]), float(last["lon"]), int(last[_AT])
-            yield pd.concat([out, moved.astype({"__prev_at": "Int64"})], axis=1)
-        state.update((lat, lon, at, _packed(rest) if len(rest) else None))
-        wake = int(rest[_AT].min()) // 1000 if len(rest) else at // 1000 + STATE_DAYS * 86_400_000
+        rest = None
+        if held:
+            rows = pd.concat(held, ignore_index=True)[names]
+            passed = rows[_AT] <= mark * 1000
+            out, rest = rows[passed], rows[~passed]
+            if len(out):
+                both = pd.concat([known, out], ignore_index=True) if known is not None else out.reset_index(drop=True)
+                new = np.arange(len(both)) >= len(both) - len(out)
+                both = both.assign(**{_NEW: new}).sort_values([key, _NEW, *order], kind="stable", ignore_index=True)
+                same = (both[key] == both[key].shift(1)).to_numpy()
+                moved = both[["lat", "lon"]].shift(1)
+                moved[~same] = np.nan
+                moved.columns = ["prev_lat", "prev_lon"]
+                at = both[_AT].to_numpy(np.int64)
+                moved["__prev_at"] = pd.array(np.where(same, np.roll(at, 1), 0), "Int64")
+                moved.loc[~same, "__prev_at"] = pd.NA
+                fresh = both[_NEW].to_numpy(bool)
+                known = both.loc[np.append(~same[1:], True), [key, "lat", "lon", _AT]]
+                yield pd.concat([both.loc[fresh, names].astype(rows.dtypes), moved[fresh]], axis=1)
+        if known is not None:
+            known = known[known[_AT] // 1000 + STATE_DAYS * 86_400_000 > mark]
+        kept = known is not None and len(known) > 0
+        waits = rest is not None and len(rest) > 0
+        if not kept and not waits:
+            state.remove()
+            return
+        state.update((_packed(known) if kept else None, _packed(rest) if waits else None))
+        wake = int(rest[_AT].min()) // 1000 if waits else int(known[_AT].max()) // 1000 + STATE_DAYS * 86_400_000
         state.setTimeoutTimestamp(max(wake, mark + 1))
 
-    kept = base.groupBy(key).applyInPandasWithState(release, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return movement(kept.withColumn(f"prev_{event_time}", F.timestamp_micros("__prev_at")).drop(_AT, "__prev_at"), event_time)
+    kept = base.groupBy(_SHARE).applyInPandasWithState(release, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return movement(kept.withColumn(f"prev_{event_time}", F.timestamp_micros("__prev_at")).drop(_AT, _SHARE, "__prev_at"), event_time)

@@ -156,3 +156,14 @@ def test_a_shuffled_stream_gives_the_rows_of_the_table(spark, tmp_path):
     want = sorted(map(tuple, tracks.enrich_track(spark.createDataFrame(fixes, FIX)).select(*columns).collect()), key=str)
     for name in ("ordered_one_t", "ordered_t"):
         assert sorted(map(tuple, spark.table(name).select(*columns).collect()), key=str) == want
+
+
+def test_vessels_of_one_share_keep_their_own_previous_fixes(spark, tmp_path):
+    fixes = [(v, minute(7 * i + v), float(v), float(i), 1.0) for v in range(3) for i in range(4)]
+    for part in (fixes[::2], fixes[1::2]):
+        put(spark, tmp_path / "in", part, FIX)
+    closing = sources.merged(spark, {"fixes": stream(spark, tmp_path / "in", FIX, 1000)}, "event_time", "10 minutes", str(tmp_path / "beats"))
+    sources.beat(spark, str(tmp_path / "beats"), "fixes", minute(60 * 24).replace(tzinfo=UTC))
+    drain(ordered.previous_in_order(closing, ready=True, shares=1), "one_share_t", str(tmp_path / "ck"))
+    got = {(r.mmsi, r.lon): (r.prev_lat, r.prev_lon) for r in spark.table("one_share_t").collect()}
+    assert got == {(v, float(i)): (float(v), float(i - 1)) if i else (None, None) for v in range(3) for i in range(4)}

@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ COMMON_FROM, MOST_COMMON, COMMON_BITS = 12, 8_000_000, 27
 COUNTED_AT_ONCE = 500_000
 #: Bits for each wanted document of the sieve that a scan uses before the exact join, and most bits of it.
 SIEVE_SHARE, SIEVE_BITS = 16, 1 << 27
-#: A table of at most so many rows may be broadcast (16 bytes a row).
-BROADCAST_ROWS = 500_000
+#: A table of at most so many rows may be broadcast (16 bytes a row), and pairs with the keys of their sets (150 bytes).
+BROADCAST_ROWS, BROADCAST_PAIRS = 500_000, 200_000
 #: Sets are first compared on the shingles in the first HEAD / 16 of the hash range; the sizes of the rest bound what
 #: that can add.
 HEAD = 6
@@ -100,6 +101,13 @@ def _bitmap(hashes: DataFrame, bits: int, column: str) -> np.ndarray:
     return out
 
 
+def _sieve_bits(rows: int) -> int:
+    bits = 1 << 16
+    while bits < min(SIEVE_BITS, SIEVE_SHARE * rows):
+        bits *= 2
+    return bits
+
+
 def _has(cells: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (cells[slot >> 6] >> (slot & 63)) & 1 == 1
 
@@ -184,14 +192,17 @@ class JaccardJoin:
             shared[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(b), np.uint8)
         return self.spark.sparkContext.broadcast((common, shared))
 
-    def _sets_of(self, nodes: DataFrame) -> DataFrame:
-        """(node, n, head, tail) of the wanted sets; one row for each. ``head``: the members with the smallest hashes."""
-        wanted = durable(nodes.join(self.classes.select("node", "rep", "signature"), "node"), "wanted")
-        bits = 1 << 16
-        while bits < min(SIEVE_BITS, SIEVE_SHARE * wanted.count()):
-            bits *= 2
+    def _sieve(self, slots: DataFrame, bits: int):
+        """Broadcast bits of the ``slot``s."""
+        return self.spark.sparkContext.broadcast(_bitmap(slots, bits, "slot"))
+
+    def _sets_of(self, wanted: DataFrame, label: str) -> DataFrame:
+        """(rep, signature, n, head, tail) of the ``wanted`` sets, one row for each, and of a few others that the sieve lets
+        pass. ``head``: the members with the smallest hashes. The sets stay where the scan made them; only of keys that
+        rows repeat are they dealt by key."""
+        bits = _sieve_bits(wanted.count())
         slot = lambda column: F.pmod(F.xxhash64(column), F.lit(bits)).alias("slot")
-        sieve, words = self.spark.sparkContext.broadcast(_bitmap(wanted.select(slot("rep")), bits, "slot")), self.words
+        sieve, words = self._sieve(wanted.select(slot("rep")), bits), self.words
         schema, top = "rep long, signature binary, n long, head binary, tail binary", np.uint64(HEAD << 60)
 
         def run(batches):
@@ -208,8 +219,15 @@ class JaccardJoin:
                 yield as_batch(rows, schema)
 
         scanned = self.documents.where("doc_id is not null").withColumn("slot", slot("doc_id"))
-        found = scanned.mapInArrow(run, schema).dropDuplicates(["rep", "signature"])
-        return found.join(wanted, ["rep", "signature"]).select("node", "n", "head", "tail")
+        found = durable(scanned.mapInArrow(run, schema).where("n > 0"), f"{label}-sets")
+        key = ["rep", "signature"]
+        repeated = durable(found.groupBy(*key).count().where("count > 1").select(*key), f"{label}-repeated")
+        if repeated.isEmpty():
+            return found
+        once = found.join(repeated, key, "left_semi").dropDuplicates(key)
+        sets = durable(found.join(repeated, key, "left_anti").unionByName(once), f"{label}-sets")
+        release(found)
+        return sets
 
     def _hot(self, pairs: DataFrame) -> DataFrame:
         """(side, node, parts): sets that very many pairs want, fewer than 2 x BROADCAST_ROWS, and over how many copies to
@@ -219,18 +237,26 @@ class JaccardJoin:
         counted = pairs.select(ends.alias("end")).groupBy("end").agg(F.ceil(F.count("*") / together).alias("parts"))
         return durable(counted.where("parts > 1").select("end.side", "end.node", "parts"), "hot")
 
-    def _counted(self, pairs: DataFrame, sets: DataFrame, members: str) -> DataFrame:
+    def _counted(self, pairs: DataFrame, wanted: DataFrame, sets: DataFrame, members: str) -> DataFrame:
         """``pairs`` (a, b, floor, common) with the common ``members`` of both sets added to ``common``, and met_a, met_b
-        (members), size_a, size_b. Hot sets are copied and their pairs dealt over the copies."""
+        (members), size_a, size_b. ``wanted``: the keys (rep, signature) of the nodes' ``sets``. Hot sets are copied and
+        their pairs dealt over the copies. Where pairs are few, only the sets of one side move, to those of the other."""
         schema = "a long, b long, floor double, common long, met_a long, met_b long, size_a long, size_b long"
         last = F.coalesce("parts", F.lit(1)) - 1
-        met, all_hot = pairs, self._hot(pairs)
+        met, all_hot, few = pairs, self._hot(pairs), pairs.count() <= BROADCAST_PAIRS
         for side in ("a", "b"):
             hot = F.broadcast(all_hot.where(F.col("side") == side).select(F.col("node").alias(side), "parts"))
-            held = sets.select(F.col("node").alias(side), F.col("n").alias(f"size_{side}"), F.col(members).alias(f"set_{side}")).join(hot, side, "left")
-            held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
-            dealt = met.join(hot, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), last + 1)).drop("parts")
-            met = dealt.join(held, [side, "part"]).drop("part")
+            met = met.join(hot, side, "left").withColumn(f"part_{side}", F.pmod(F.xxhash64("a", "b"), last + 1)).drop("parts")
+            met = met.join(wanted.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("signature").alias(f"signature_{side}")), side)
+        met = light = durable(met, "keyed")
+        for side in ("a", "b"):
+            own = [f"rep_{side}", f"signature_{side}"]
+            hot = F.broadcast(all_hot.where(F.col("side") == side).join(wanted, "node").select(F.col("rep").alias(own[0]), F.col("signature").alias(own[1]), "parts"))
+            held = sets.select(F.col("rep").alias(own[0]), F.col("signature").alias(own[1]), F.col("n").alias(f"size_{side}"), F.col(members).alias(f"set_{side}"))
+            if few:
+                held = held.join(F.broadcast(light.select(*own).distinct()), own, "left_semi")
+            held = held.join(hot, own, "left").withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
+            met = (F.broadcast(met) if few and side == "a" else met).join(held, [*own, f"part_{side}"])
 
         def run(batches):
             for batch in batches:
@@ -251,14 +277,13 @@ class JaccardJoin:
         pairs = durable(pairs.select("a", "b", "floor", F.lit(0).cast("long").alias("common")), f"{label}-pairs")
         if pairs.isEmpty():
             return self.spark.createDataFrame([], "a long, b long, common long, size_a long, size_b long")
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = durable(self._sets_of(nodes), f"{label}-sets")
+        ends = lambda met: met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+        wanted = durable(ends(pairs).join(self.classes.select("node", "rep", "signature"), "node"), f"{label}-wanted")
+        sets = self._sets_of(wanted, label)
         most = F.col("common") + F.least(F.col("size_a") - F.col("met_a"), F.col("size_b") - F.col("met_b"))
         could = most >= (F.col("floor") - 1e-9) * (F.col("size_a") + F.col("size_b") - most)
-        likely = durable(self._counted(pairs, sets, "head").where(could).select("a", "b", "floor", "common"), f"{label}-likely")
-        wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        left = sets.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi")
-        compared = durable(self._counted(likely, left, "tail").select("a", "b", "common", "size_a", "size_b"), f"{label}-compared")
+        likely = durable(self._counted(pairs, wanted, sets, "head").where(could).select("a", "b", "floor", "common"), f"{label}-likely")
+        compared = durable(self._counted(likely, wanted, sets, "tail").select("a", "b", "common", "size_a", "size_b"), f"{label}-compared")
         release(sets)
         return compared
 
@@ -314,22 +339,39 @@ class JaccardJoin:
     def _distance(self):
         return 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
 
-    def _lists(self, hubs: DataFrame, seen: DataFrame) -> DataFrame:
-        """(node, n, hub, away, pos, shingle): the positional index, common shingles last, of lists with two hubs at least."""
-        prefixes = self._prefixes(self._common(seen)).join(hubs, ["rep", "signature"]).dropDuplicates(["node"])
+    def _lists(self, hubs: DataFrame, bitmaps) -> DataFrame:
+        """(node, n, hub, away, pos, shingle): the positional index, common shingles last, of lists with two hubs at least
+        and a few others."""
+        prefixes = self._prefixes(bitmaps).join(hubs, ["rep", "signature"]).dropDuplicates(["node"])
         prefixes = durable(prefixes.select("node", "n", "hub", "away", "places", "prefix"), "prefixes")
         entries = prefixes.select("node", "n", "hub", "away", F.explode(F.arrays_zip("places", "prefix")).alias("e"))
         entries = entries.select("node", "n", "hub", "away", F.col("e.places").alias("pos"), F.col("e.prefix").alias("shingle"))
-        # A list within one hub says nothing new.
+        # A list within one hub says nothing new; a sieve of the others drops it. The few that it lets pass do no harm.
         met = entries.groupBy("shingle").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).where("low < high").select("shingle")
         met = durable(met, "shared")
-        return durable(entries.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "shingle"), "lists")
+        bits = _sieve_bits(met.count())
+        sieve = self._sieve(met.select(F.col("shingle").bitwiseAND(F.lit(bits - 1)).alias("slot")), bits)
+
+        def run(batches):
+            cells = sieve.value
+            for batch in batches:
+                pos, prefix = batch.column("places"), batch.column("prefix")
+                shingle, length = prefix.flatten(), np.diff(prefix.offsets.to_numpy())
+                kept = np.flatnonzero(_has(cells, shingle.to_numpy() & (bits - 1)))
+                row = pa.array(np.repeat(np.arange(len(length)), length)[kept])
+                columns = [batch.column(c).take(row) for c in ("node", "n", "hub", "away")]
+                yield pa.RecordBatch.from_arrays([*columns, pos.flatten().take(pa.array(kept)), shingle.take(pa.array(kept))], names=["node", "n", "hub", "away", "pos", "shingle"])
+
+        lists = durable(prefixes.mapInArrow(run, "node long, n long, hub long, away double, pos int, shingle long"), "lists")
+        release(prefixes, met)
+        return lists
 
     def _meetings(self, lists: DataFrame) -> DataFrame:
         """(shingle, a, b): hubs whose blocks on a list can reach the threshold."""
         num, den = self.num, self.den
         blocks = lists.withColumn("band", self._band(F.col("n"))).groupBy("shingle", "hub", "band")
         blocks = blocks.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("left"))
+        blocks = durable(blocks, "blocks")
         # The larger set looks for partners from num/den of its size up to what its best position allows.
         reach = F.least(F.col("most"), F.floor(F.col("left") * (num + den) / num).cast("long") - F.col("least"))
         seek = blocks.withColumn("lo", F.ceil(F.col("least") * num / den).cast("long")).withColumn("hi", reach).where("hi >= lo")
@@ -338,7 +380,9 @@ class JaccardJoin:
         hit = blocks.select("shingle", "band", F.col("hub").alias("b"), F.col("least").alias("least_b"), F.col("left").alias("left_b"))
         fits = F.least("left_a", "left_b") * (num + den) >= num * (F.col("least_a") + F.col("least_b"))
         met = seek.join(hit, ["shingle", "band"]).where((F.col("a") != F.col("b")) & fits)
-        return durable(met.select("shingle", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+        met = durable(met.select("shingle", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+        release(blocks)
+        return met
 
     def _between(self, hubs: DataFrame, met: DataFrame, starred: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs of hubs on common lists, compared, and what reaches what by the links found. A hub is first
@@ -407,7 +451,11 @@ class JaccardJoin:
         classes = classes.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
         self.classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
         hubs, starred = self._hubs()
-        lists = self._lists(hubs, seen)
+        bitmaps = self._common(seen)
+        # The counts of shingles take more room than all else, and nothing after the bitmaps needs them.
+        documents = durable(seen.where("n >= 0").select("doc_id", "text_key", "n", "signature"), "documents")
+        release(seen)
+        lists = self._lists(hubs, bitmaps)
         met = self._meetings(lists)
         between, reached = self._between(hubs, met, starred)
         members = durable(self._open(hubs, lists, met, between, reached), "members")
@@ -417,7 +465,8 @@ class JaccardJoin:
         # The first document of a component: the smallest doc_id, then the smallest signature.
         heads = of_class.groupBy("component").agg(F.min(F.struct("rep", "signature")).alias("head"))
         named = durable(of_class.join(heads, "component").select("signature", "rep", "head"), "named")
-        rows = seen.where("n >= 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "signature").join(named, "signature", "left")
+        release(self.classes, hubs, lists, met, members, of_class)
+        rows = documents.withColumnRenamed("n", "n_shingles").join(named, "signature", "left")
         known = lambda column: F.when(F.col("doc_id").isNotNull(), F.coalesce(column, F.col("doc_id")))
         first = (F.col("doc_id") == F.col("head.rep")) & (F.col("signature") == F.col("head.signature"))
         return rows.select(

@@ -40,6 +40,8 @@ BINS = 10
 AT_ONCE = 5
 #: Rows of the samples to a partition: a fit is hundreds of passes over few bytes a row, each a task for every partition.
 ROWS_TOGETHER = 20_000
+#: The same where one model without trees is fitted to a fold: its passes cost a task far more than its rows do.
+LINEAR_TOGETHER = 250_000
 
 
 def _sketches(df: DataFrame, columns: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -222,14 +224,14 @@ def _side_by_side(calls: list[tuple]) -> list:
 
 
 @contextmanager
-def _in_folds(df: DataFrame, group: str, label: str, folds: int):
+def _in_folds(df: DataFrame, group: str, label: str, folds: int, together: int = ROWS_TOGETHER):
     """(samples, reasons): ``df`` with fold, label and weight, read once and kept in as many partitions as its rows call
-    for, and by fold why it cannot be judged, or None."""
+    for (``together`` in each), and by fold why it cannot be judged, or None."""
     given = df.persist()
     parts = None
     try:
-        together = max(1, -(-given.count() // ROWS_TOGETHER))
-        parts = balanced(with_folds(given, group, label, folds), label).repartition(together).persist()
+        tasks = max(1, -(-given.count() // together))
+        parts = balanced(with_folds(given, group, label, folds), label).repartition(tasks).persist()
         met = {(r.fold, r.label) for r in parts.select("fold", "label").distinct().collect()}  # folds by classes
         tested = {k for k, _ in met}
         classes = {k: {y for other, y in met if other != k} for k in range(folds)}
@@ -304,7 +306,8 @@ def permutation_importance(model, test: DataFrame, features: list[str], seed: in
 def fold_importances(df: DataFrame, features: list[str], label: str, group: str, estimator, folds: int = FOLDS, seed: int = 42) -> DataFrame:
     """fold, feature, importance of one kind of model, fitted anew for each fold and judged on the fold left out; for
     ``select_stable``. The number of folds is fixed; a fold that cannot be judged has no rows."""
-    with _in_folds(df, group, label, folds) as (parts, reasons):
+    trees = hasattr(estimator, "maxDepth")
+    with _in_folds(df, group, label, folds, ROWS_TOGETHER if trees else LINEAR_TOGETHER) as (parts, reasons):
 
         def judged(k):
             if reasons[k]:

@@ -71,3 +71,20 @@ def test_samples_are_kept_in_as_many_partitions_as_their_rows_call_for(spark):
     with models._in_folds(d, "source", "quality", 8) as (parts, reasons):
         assert parts.rdd.getNumPartitions() == 1 and parts.count() == 6
         assert sorted(r or "" for r in reasons.values()) == [""] * 6 + ["no test rows"] * 2
+
+
+def test_passes_of_a_linear_model_have_few_tasks(spark, sample, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_TOGETHER", 10)
+    real, met = models.pipeline, []
+
+    class Counted:
+        def __init__(self, *args):
+            self.pipeline, self.trees = real(*args), hasattr(args[1], "maxDepth")
+
+        def fit(self, train):
+            met.append((self.trees, train.rdd.getNumPartitions()))
+            return self.pipeline.fit(train)
+
+    monkeypatch.setattr(models, "pipeline", Counted)
+    models.fold_importances(sample, ["good"], "label", "grp", models.candidates()["logistic_regression"], folds=2)
+    assert met == [(False, 1)] * 2

@@ -17,6 +17,9 @@ _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 #: At most this many bytes of text are worked on at once in a Python task.
 SLICE_BYTES = 500_000
+#: Rows in a batch that Spark hands to Python. Its own 10,000 texts are tens of MB, which every task holds several times over,
+#: in Python and outside the JVM's heap.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,13 @@ def release(*frames: DataFrame) -> None:
         frames[0].sparkSession._jvm.System.gc()  # unreferenced shuffles go only when the driver's garbage is collected
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python hold ``BATCH_ROWS`` rows at most, unless it has a number of its own."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, None) is None:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
 # Arrow types of the column types that operators return.
 _ARROW = {
     "int": pa.int32(),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SpanHash, as_batch, durable, mix64, release, spans_within, table, text_slices, whole_text
+from .common import SpanHash, as_batch, durable, mix64, release, small_batches, spans_within, table, text_slices, whole_text
 from .components import smallest_reachable
 
 #: Minimum hashes by which hubs are found.
@@ -119,6 +119,7 @@ class JaccardJoin:
         self.spark = documents.sparkSession
         self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
         self.words, self.num, self.den = words, num, den
+        small_batches(self.spark)
 
     def _summaries(self) -> DataFrame:
         """One pass: a row for each document with its size, signature and minimum hashes, and rows (n = -1) with counts of
@@ -276,7 +277,8 @@ class JaccardJoin:
         some others, counted on whole sets. The heads of the sets rule out most of the rest first."""
         pairs = durable(pairs.select("a", "b", "floor", F.lit(0).cast("long").alias("common")), f"{label}-pairs")
         if pairs.isEmpty():
-            return self.spark.createDataFrame([], "a long, b long, common long, size_a long, size_b long")
+            # Without rows; a frame made of a local list would start Python workers of another kind on the executors.
+            return pairs.select("a", "b", "common", *[F.lit(0).cast("long").alias(c) for c in ("size_a", "size_b")])
         ends = lambda met: met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
         wanted = durable(ends(pairs).join(self.classes.select("node", "rep", "signature"), "node"), f"{label}-wanted")
         sets = self._sets_of(wanted, label)

@@ -14,6 +14,7 @@ cell's (1 in a cell without tokens). Rows with one doc_id share one draw; an emp
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +101,10 @@ def mix(documents: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, bu
     raked = rake(mass, codes, shares)
     weight = np.divide(raked, mass, out=np.ones_like(raked), where=mass > 0)
     factor = calibrate(mass, weight, budget)
-    known = spark.createDataFrame([(*[r[c] for c in cells], float(w), float(min(1.0, factor * w))) for r, w in zip(rows, weight)], ", ".join(f"{c} string" for c in cells) + ", mix_weight double, mix_probability double")
+    # From Arrow: a frame made of a local list would start Python workers of another kind on the executors.
+    known = {c: pa.array([r[c] for r in rows], pa.string()) for c in cells}
+    known |= {"mix_weight": pa.array(weight, pa.float64()), "mix_probability": pa.array(np.minimum(1.0, factor * weight), pa.float64())}
+    known = spark.createDataFrame(pa.table(known))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(_STEPS)) / F.lit(float(_STEPS))
     joined = counted.withColumns({c: category(n) for c, n in zip(cells, names)}).join(F.broadcast(known), cells, "left")
     return joined.drop(*cells).withColumn("mix_kept", draw < F.col("mix_probability"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, slices, spans, table, whole_text, with_columns
+from .common import SpanHash, slices, small_batches, spans, table, whole_text, with_columns
 
 #: Bound of the labelled sample that the neighbours come from, and of the latent directions.
 MAX_SAMPLE = 4096
@@ -170,6 +170,7 @@ def learn(documents: DataFrame, labels: DataFrame, idf: np.ndarray, max_sample:
 def score_quality(documents: DataFrame, labels: DataFrame, score: str = "score", neighbours: int = NEIGHBOURS, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """``documents`` with a column ``score``. ``labels``: doc_id and label (0 or 1), only those that may be learnt from."""
     spark = documents.sparkSession
+    small_batches(spark)
     found, total = document_frequency(documents)
     idf = np.log((1 + total) / (1 + found)).astype(np.float32) + np.float32(0.1)
     model = learn(documents, labels, idf, max_sample)

@@ -198,9 +198,9 @@ class JaccardJoin:
         return self.spark.sparkContext.broadcast(_bitmap(slots, bits, "slot"))
 
     def _sets_of(self, wanted: DataFrame, label: str) -> DataFrame:
-        """(rep, signature, n, head, tail) of the ``wanted`` sets, one row for each, and of a few others that the sieve lets
-        pass. ``head``: the members with the smallest hashes. The sets stay where the scan made them; only of keys that
-        rows repeat are they dealt by key."""
+        """(rep, signature, n, head, tail) of the sets of ``wanted`` (rep), one row for each, and of a few others that the
+        sieve lets pass. ``head``: the members with the smallest hashes. The sets stay where the scan made them; only of
+        keys that rows repeat are they dealt by key."""
         bits = _sieve_bits(wanted.count())
         slot = lambda column: F.pmod(F.xxhash64(column), F.lit(bits)).alias("slot")
         sieve, words = self._sieve(wanted.select(slot("rep")), bits), self.words
@@ -221,72 +221,81 @@ class JaccardJoin:
 
         scanned = self.documents.where("doc_id is not null").withColumn("slot", slot("doc_id"))
         found = durable(scanned.mapInArrow(run, schema).where("n > 0"), f"{label}-sets")
+        sieve.destroy()
+        if not self.repeats:
+            return found
         key = ["rep", "signature"]
         repeated = durable(found.groupBy(*key).count().where("count > 1").select(*key), f"{label}-repeated")
-        if repeated.isEmpty():
-            return found
         once = found.join(repeated, key, "left_semi").dropDuplicates(key)
         sets = durable(found.join(repeated, key, "left_anti").unionByName(once), f"{label}-sets")
         release(found)
         return sets
 
-    def _hot(self, pairs: DataFrame) -> DataFrame:
-        """(side, node, parts): sets that very many pairs want, fewer than 2 x BROADCAST_ROWS, and over how many copies to
-        deal them."""
-        together = max(PAIRS_TOGETHER, -(-pairs.count() // BROADCAST_ROWS))
-        ends = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("node")), F.struct(F.lit("b").alias("side"), F.col("b").alias("node"))))
-        counted = pairs.select(ends.alias("end")).groupBy("end").agg(F.ceil(F.count("*") / together).alias("parts"))
-        return durable(counted.where("parts > 1").select("end.side", "end.node", "parts"), "hot")
-
-    def _counted(self, pairs: DataFrame, wanted: DataFrame, sets: DataFrame, members: str) -> DataFrame:
-        """``pairs`` (a, b, floor, common) with the common ``members`` of both sets added to ``common``, and met_a, met_b
-        (members), size_a, size_b. ``wanted``: the keys (rep, signature) of the nodes' ``sets``. Hot sets are copied and
-        their pairs dealt over the copies. Where pairs are few, only the sets of one side move, to those of the other."""
-        schema = "a long, b long, floor double, common long, met_a long, met_b long, size_a long, size_b long"
-        last = F.coalesce("parts", F.lit(1)) - 1
-        met, all_hot, few = pairs, self._hot(pairs), pairs.count() <= BROADCAST_PAIRS
-        for side in ("a", "b"):
-            hot = F.broadcast(all_hot.where(F.col("side") == side).select(F.col("node").alias(side), "parts"))
-            met = met.join(hot, side, "left").withColumn(f"part_{side}", F.pmod(F.xxhash64("a", "b"), last + 1)).drop("parts")
-            met = met.join(wanted.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("signature").alias(f"signature_{side}")), side)
-        met = light = durable(met, "keyed")
+    def _hot(self, pairs: DataFrame, rows: int, label: str) -> DataFrame:
+        """(side, node, rep, signature, parts): sets that very many of the ``rows`` pairs want, fewer than
+        2 x BROADCAST_ROWS, and over how many copies to deal them."""
+        together = max(PAIRS_TOGETHER, -(-rows // BROADCAST_ROWS))
+        end = lambda side: F.struct(F.lit(side).alias("side"), F.col(side).alias("node"), F.col(f"rep_{side}").alias("rep"), F.col(f"signature_{side}").alias("signature"))
+        counted = pairs.select(F.explode(F.array(end("a"), end("b"))).alias("end")).groupBy("end").agg(F.ceil(F.count("*") / together).alias("parts"))
+        return durable(counted.where("parts > 1").select("end.*", "parts"), f"{label}-hot")
+
+    def _counted(self, pairs: DataFrame, sets: DataFrame, members: str, hot: dict[str, DataFrame], few: bool) -> DataFrame:
+        """``pairs`` (a, b, floor, common, and rep and signature of both) with the common ``members`` of both sets added to
+        ``common``, and met_a, met_b (members), size_a, size_b. ``hot``: by side, sets that are copied and their pairs dealt
+        over the copies. Where pairs are ``few``, only the sets of one side move, to those of the other."""
+        schema = "a long, b long, floor double, common long, rep_a long, signature_a binary, rep_b long, signature_b binary, met_a long, met_b long, size_a long, size_b long"
+        same = ["rep_a", "signature_a", "rep_b", "signature_b"]
+        met = pairs
         for side in ("a", "b"):
-            own = [f"rep_{side}", f"signature_{side}"]
-            hot = F.broadcast(all_hot.where(F.col("side") == side).join(wanted, "node").select(F.col("rep").alias(own[0]), F.col("signature").alias(own[1]), "parts"))
+            own, part, alone = [f"rep_{side}", f"signature_{side}"], f"part_{side}", few and side == "a"
             held = sets.select(F.col("rep").alias(own[0]), F.col("signature").alias(own[1]), F.col("n").alias(f"size_{side}"), F.col(members).alias(f"set_{side}"))
-            if few:
-                held = held.join(F.broadcast(light.select(*own).distinct()), own, "left_semi")
-            held = held.join(hot, own, "left").withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
-            met = (F.broadcast(met) if few and side == "a" else met).join(held, [*own, f"part_{side}"])
+            if few and not alone:
+                held = held.join(F.broadcast(pairs.select(*own).distinct()), own, "left_semi")
+            if side in hot and not alone:
+                parts = hot[side].select(F.col("node").alias(side), F.col("rep").alias(own[0]), F.col("signature").alias(own[1]), "parts")
+                last = F.coalesce("parts", F.lit(1)).cast("long") - 1
+                met = met.join(F.broadcast(parts.select(side, "parts")), side, "left").withColumn(part, F.pmod(F.xxhash64("a", "b"), last + 1)).drop("parts")
+                held = held.join(F.broadcast(parts.drop(side)), own, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
+                own = [*own, part]
+            met = (F.broadcast(met) if alone else met).join(held, own)
 
         def run(batches):
             for batch in batches:
                 rows = []
+                keys = zip(*[batch.column(c).to_pylist() for c in same])
                 for a, b, floor, known, n, m, x, y in zip(*[batch.column(c) for c in ("a", "b", "floor", "common", "size_a", "size_b", "set_a", "set_b")]):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     at = np.searchsorted(y, x)
                     at[at == len(y)] = 0
                     common = int((y[at] == x).sum()) if len(x) and len(y) else 0
-                    rows.append((a.as_py(), b.as_py(), floor.as_py(), known.as_py() + common, len(x), len(y), n.as_py(), m.as_py()))
+                    rows.append((a.as_py(), b.as_py(), floor.as_py(), known.as_py() + common, *next(keys), len(x), len(y), n.as_py(), m.as_py()))
                 yield as_batch(rows, schema)
 
-        return met.select("a", "b", "floor", "common", "size_a", "size_b", "set_a", "set_b").mapInArrow(run, schema)
+        return met.select("a", "b", "floor", "common", *same, "size_a", "size_b", "set_a", "set_b").mapInArrow(run, schema)
 
     def _compared(self, pairs: DataFrame, label: str) -> DataFrame:
-        """(a, b, common, size_a, size_b) of the pairs (a, b, floor) whose similarity is ``floor`` or more, and perhaps of
-        some others, counted on whole sets. The heads of the sets rule out most of the rest first."""
-        pairs = durable(pairs.select("a", "b", "floor", F.lit(0).cast("long").alias("common")), f"{label}-pairs")
-        if pairs.isEmpty():
-            # Without rows; a frame made of a local list would start Python workers of another kind on the executors.
-            return pairs.select("a", "b", "common", *[F.lit(0).cast("long").alias(c) for c in ("size_a", "size_b")])
-        ends = lambda met: met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
-        wanted = durable(ends(pairs).join(self.classes.select("node", "rep", "signature"), "node"), f"{label}-wanted")
-        sets = self._sets_of(wanted, label)
+        """(a, b, common, size_a, size_b) of the stored pairs (a, b, floor) whose similarity is ``floor`` or more, and
+        perhaps of some others, counted on whole sets. The heads of the sets rule out most of the rest first. The keys of
+        the sets are joined once, and hot sets sought once, for both counts: the driver keeps what each plan costs it."""
+        rows = pairs.count()
+        if not rows:
+            # Without rows; a frame made of a local list would start Python workers of another kind on the executors, and
+            # divisions of literals would be worked out beforehand.
+            return pairs.select("a", "b", *[F.col("a").alias(c) for c in ("common", "size_a", "size_b")])
+        of = lambda side: self.classes.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("signature").alias(f"signature_{side}"))
+        keyed = pairs.select("a", "b", "floor", F.lit(0).cast("long").alias("common")).join(of("a"), "a").join(of("b"), "b")
+        columns = ["a", "b", "floor", "common", "rep_a", "signature_a", "rep_b", "signature_b"]
+        keyed = durable(keyed.select(*columns), f"{label}-keyed")
+        sets = self._sets_of(keyed.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct(), label)
+        dealt = self._hot(keyed, rows, label)
+        hot = {r.side: dealt.where(F.col("side") == r.side) for r in dealt.select("side").distinct().collect()}
+        few = rows <= BROADCAST_PAIRS
         most = F.col("common") + F.least(F.col("size_a") - F.col("met_a"), F.col("size_b") - F.col("met_b"))
         could = most >= (F.col("floor") - 1e-9) * (F.col("size_a") + F.col("size_b") - most)
-        likely = durable(self._counted(pairs, wanted, sets, "head").where(could).select("a", "b", "floor", "common"), f"{label}-likely")
-        compared = durable(self._counted(likely, wanted, sets, "tail").select("a", "b", "common", "size_a", "size_b"), f"{label}-compared")
-        release(sets)
+        likely = durable(self._counted(keyed, sets, "head", hot, few).where(could).select(*columns), f"{label}-likely")
+        few = few or likely.count() <= BROADCAST_PAIRS
+        compared = durable(self._counted(likely, sets, "tail", hot, few).select("a", "b", "common", "size_a", "size_b"), f"{label}-compared")
+        release(keyed, sets, dealt, likely)
         return compared
 
     def _linked(self):
@@ -332,7 +341,8 @@ class JaccardJoin:
         near = near.where(F.least("n", "head.n") * den >= F.greatest("n", "head.n") * num)
         near = near.groupBy("node", "head.node", "head.rep").agg(F.count("*").alias("equal")).toDF("a", "b", "rep_b", "equal")
         stars = near.where(F.col("equal") * 2 >= HUB_KEYS).groupBy("a").agg(F.max_by("b", F.struct("equal", -F.col("rep_b"), -F.col("b"))).alias("b"))
-        starred = self._compared(stars.withColumn("floor", F.lit(num / den)), "hub").where(self._linked())
+        stars = durable(stars.withColumn("floor", F.lit(num / den)), "stars")
+        starred = self._compared(stars, "hub").where(self._linked())
         nearest = starred.select(F.col("a").alias("node"), F.col("b").alias("hub"), self._distance().alias("away"))
         hubs = self.classes.join(nearest, "node", "left")
         hubs = hubs.select("node", "rep", "signature", "n", F.coalesce("hub", "node").alias("hub"), F.coalesce("away", F.lit(0.0)).alias("away"))
@@ -365,6 +375,7 @@ class JaccardJoin:
                 yield pa.RecordBatch.from_arrays([*columns, pos.flatten().take(pa.array(kept)), shingle.take(pa.array(kept))], names=["node", "n", "hub", "away", "pos", "shingle"])
 
         lists = durable(prefixes.mapInArrow(run, "node long, n long, hub long, away double, pos int, shingle long"), "lists")
+        sieve.destroy()
         release(prefixes, met)
         return lists
 
@@ -402,7 +413,7 @@ class JaccardJoin:
         first = self._compared(best, "likeliest")
         reached = durable(smallest_reachable(starred.select("a", "b").unionByName(first.where(self._linked()).select("a", "b"))), "reached")
         rest = self._apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b", "floor"), reached)
-        more = self._compared(rest, "between")
+        more = self._compared(durable(rest, "rest"), "between")
         return first.unionByName(more), self._extended(reached, more.where(self._linked()))
 
     def _extended(self, reached: DataFrame, links: DataFrame) -> DataFrame:
@@ -452,12 +463,14 @@ class JaccardJoin:
         classes = seen.where("n > 0 and doc_id is not null").groupBy("signature")
         classes = classes.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
         self.classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        self.repeats = not seen.where("n > 0 and doc_id is not null").groupBy("doc_id", "signature").count().where("count > 1").isEmpty()
         hubs, starred = self._hubs()
         bitmaps = self._common(seen)
         # The counts of shingles take more room than all else, and nothing after the bitmaps needs them.
         documents = durable(seen.where("n >= 0").select("doc_id", "text_key", "n", "signature"), "documents")
         release(seen)
         lists = self._lists(hubs, bitmaps)
+        bitmaps.destroy()
         met = self._meetings(lists)
         between, reached = self._between(hubs, met, starred)
         members = durable(self._open(hubs, lists, met, between, reached), "members")
